@@ -4,7 +4,8 @@ Statistics of each whole text (words are runs of non-white-space bytes) feed two
 texts and texts made of repeated 3-word windows. The forest isolates points by random splits; a short mean path marks
 an anomaly. Its reject threshold is calibrated on all labelled rows that pass the base rules.
 
-Bounds: the forest is fitted on at most ``fit_rows`` labelled rows (lowest hash of doc_id first); calibration counts
+Bounds: the forests are fitted on at most ``fit_rows`` labelled rows (lowest hash of doc_id first; of the bad ones
+among them so many that they make up ``contamination``); calibration counts
 every labelled row in ``BINS`` score bins. Edge cases: a null or empty text has all statistics 0 and fails the base
 rules; without labels of both kinds, the method rejects nothing; repeated rows get equal verdicts.
 """
@@ -15,6 +16,7 @@ from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -58,12 +60,11 @@ def text_stats(body: bytes | None) -> tuple[int, ...]:
     ids = np.array([number.setdefault(w, len(number)) for w in words], np.int64)
     lines = [x for x in body.split(b"\n") if x.strip(ASCII_SPACE)]
     size = len(body)
-    bare = sum(1 for w in number if not w.strip(SYMBOLS + _MARKS + b".,"))
-    bare_words = sum(words.count(w) for w in number if not w.strip(SYMBOLS + _MARKS + b".,")) if bare else 0
+    bare = np.fromiter((not w.strip(SYMBOLS + _MARKS + b".,") for w in number), bool, len(number))
     lack = lambda drop: size - len(body.translate(None, drop))
     return (
         len(words), len(body.translate(None, ASCII_SPACE + _CONT)), lack(SYMBOLS), len(lines) - len(set(lines)), _repeated(ids, len(number)),
-        len(lines), lack(_UPPER), lack(_DIGIT), lack(_MARKS), bare_words, len(number),
+        len(lines), lack(_UPPER), lack(_DIGIT), lack(_MARKS), int(bare[ids].sum()), len(number),
     )
 
 
@@ -82,6 +83,10 @@ def base_failed(n_words, n_repeat_words):
     return (n_words < 50) | (100 * n_repeat_words > 50 * n_words)
 
 
+#: Columns of ``features`` that one forest judges together: wording and symbols, repetition, letter case and marks.
+GROUPS = ([0, 1, 7], [2, 3], [4, 5, 6])
+
+
 def features(x: dict[str, np.ndarray]) -> np.ndarray:
     """Rule statistics as rates, one row per document."""
     words, chars, lines = (np.maximum(x[c], 1).astype(float) for c in ("n_words", "word_chars", "n_lines"))
@@ -147,48 +152,59 @@ def fit_forest(x: np.ndarray, trees: int, sample: int, seed: int) -> Forest:
 
 @dataclass
 class Verdict:
-    """A fitted forest (None: keeps all) and the score from which a document is rejected."""
+    """For each group of features its forest and the score from which a document is rejected. Without any, all stay."""
 
-    forest: Forest | None
-    threshold: float
+    judges: list[tuple[list[int], Forest, float]]
 
     def kept(self, x: dict[str, np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
-        failed = base_failed(x["n_words"], x["n_repeat_words"])
-        score = self.forest.score(features(x)) if self.forest else np.zeros(len(failed))
-        return ~failed & (score < self.threshold), score
+        """Verdicts, and how far the worst group's score lies above its threshold (-1 without forests)."""
+        kept = ~base_failed(x["n_words"], x["n_repeat_words"])
+        excess = np.full(len(kept), -1.0)
+        rates = features(x)
+        for which, forest, threshold in self.judges:
+            excess = np.maximum(excess, forest.score(rates[:, which]) - threshold)
+        return kept & (excess < 0), excess
 
 
 def _columns(batch: pa.RecordBatch) -> dict[str, np.ndarray]:
     return {c: batch.column(c).to_numpy(zero_copy_only=False) for c in (*COUNTS, *EXTRA)}
 
 
-def calibrate(labelled: DataFrame, fit_rows: int = 8192, trees: int = 200, sample: int = 256, seed: int = 7, false_reject: float = 0.005) -> Verdict:
-    """Fit on ``labelled`` (statistics plus quality 0/1) and choose the threshold.
+def calibrate(labelled: DataFrame, fit_rows: int = 8192, trees: int = 100, sample: int = 256, seed: int = 7, false_reject: float = 0.003, contamination: float = 0.02) -> Verdict:
+    """Fit a forest for each group on ``labelled`` (statistics plus quality 0/1) and choose its threshold.
 
     Among thresholds that reject at most ``false_reject`` of the good rows, the one with the largest gap between the
-    rejected shares of bad and good rows.
+    rejected shares of bad and good rows; a group where no threshold rejects more bad rows than good ones is left out.
     """
     use = labelled.filter(~base_failed(F.col("n_words"), F.col("n_repeat_words")) & F.col("quality").isin(0, 1))
     fit = use.orderBy(F.xxhash64("doc_id"), "doc_id").limit(fit_rows).toPandas()
     if fit["quality"].nunique() < 2:
-        return Verdict(None, np.inf)
-    forest = fit_forest(features({c: fit[c].to_numpy() for c in (*COUNTS, *EXTRA)}), trees, sample, seed)
-    shared = use.sparkSession.sparkContext.broadcast(forest)  # trees x 2 * sample nodes: a fixed size
+        return Verdict([])
+    good, bad = fit[fit["quality"] == 1], fit[fit["quality"] == 0]
+    fit = pd.concat([good, bad.head(max(8, round(contamination * len(good))))])  # a dense cluster of bad rows would hide itself
+    rates = features({c: fit[c].to_numpy() for c in (*COUNTS, *EXTRA)})
+    forests = [(which, fit_forest(rates[:, which], trees, sample, seed + k)) for k, which in enumerate(GROUPS)]
+    shared = use.sparkSession.sparkContext.broadcast(forests)  # trees x 2 * sample nodes each: a fixed size
 
     def binned(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            at = np.minimum((shared.value.score(features(_columns(b))) * BINS).astype(np.int32), BINS - 1)
-            yield pa.RecordBatch.from_arrays([pa.array(at), b.column("quality").cast(pa.int32())], ["bin", "quality"])
+            x = features(_columns(b))
+            for k, (which, forest) in enumerate(shared.value):
+                at = np.minimum((forest.score(x[:, which]) * BINS).astype(np.int32), BINS - 1)
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(at), k, np.int32)), pa.array(at), b.column("quality").cast(pa.int32())], ["which", "bin", "quality"])
 
-    rows = use.select(*COUNTS, *EXTRA, "quality").mapInArrow(binned, "bin int, quality int").groupBy("bin", "quality").count().collect()
-    count = np.zeros((2, BINS + 1))
+    rows = use.select(*COUNTS, *EXTRA, "quality").mapInArrow(binned, "which int, bin int, quality int").groupBy("which", "bin", "quality").count().collect()
+    count = np.zeros((len(forests), 2, BINS + 1))
     for r in rows:
-        count[r["quality"], r["bin"]] += r["count"]
-    above = count[:, ::-1].cumsum(1)[:, ::-1]  # rows at or above each bin's lower edge
-    rate = above / np.maximum(above[:, :1], 1)
-    gain = np.where(rate[1] <= false_reject, rate[0] - rate[1], -1.0)
-    best = int(np.flatnonzero(gain == gain.max())[-1])
-    return Verdict(forest, best / BINS if gain.max() > 0 else np.inf)
+        count[r["which"], r["quality"], r["bin"]] += r["count"]
+    above = count[:, :, ::-1].cumsum(2)[:, :, ::-1]  # rows at or above each bin's lower edge
+    judges = []
+    for (which, forest), rate in zip(forests, above / np.maximum(above[:, :, :1], 1)):
+        gain = np.where(rate[1] <= false_reject, rate[0] - rate[1], -1.0)
+        if gain.max() > 0:
+            best = np.flatnonzero(gain == gain.max())
+            judges.append((which, forest, float(best[len(best) // 2]) / BINS))  # the middle of the gap between the kinds
+    return Verdict(judges)
 
 
 def fit_verdict(docs: DataFrame, labels: DataFrame, **params) -> tuple[Verdict, DataFrame]:
