@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from kinelattice.llm import byte_bpe, exact_dedup, language_id, quality_rules
+from kinelattice.llm import byte_bpe, exact_dedup, language_id, packing, quality_rules
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -43,6 +43,13 @@ def op3_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES["op3_quality_rules"] = op3_quality_rules
 
 
+def op9_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.pack(_table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
+
+
+QUERIES["op9_best_fit_packing"] = op9_best_fit_packing
+
+
 def op10_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.exact_dedup(_table(spark, sf_dir, "documents"))
 
