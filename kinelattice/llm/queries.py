@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from kinelattice.llm import byte_bpe, exact_dedup, language_id, packing, quality_rules
+from kinelattice.llm import byte_bpe, chat, exact_dedup, language_id, packing, quality_rules
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -43,6 +43,17 @@ def op3_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES["op3_quality_rules"] = op3_quality_rules
 
 
+def op8_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = _table(spark, sf_dir, "conversations")
+    said = "</s>[INST] ok [/INST]"
+    more = spark.createDataFrame([(-7, 0, "user", said), (-7, 1, "assistant", said)], "conv_id bigint, turn bigint, role string, text string")
+    path = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
+    return chat.read_back(chat.windows(rows.select("conv_id", "turn", "role", "text").unionByName(more), path, public_tokenizers.PATTERN))
+
+
+QUERIES["op8_chat_format"] = op8_chat_format
+
+
 def op9_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(_table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
 
