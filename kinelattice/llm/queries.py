@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from kinelattice.llm import byte_bpe, chat, exact_dedup, language_id, packing, quality_rules, secrets_scan
+from kinelattice.llm import byte_bpe, chat, exact_dedup, language_id, minhash, packing, quality_rules, secrets_scan
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -43,6 +43,13 @@ def op3_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES["op3_quality_rules"] = op3_quality_rules
 
 
+def op5_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return minhash.near_dup(_table(spark, sf_dir, "documents"))
+
+
+QUERIES["op5_minhash"] = op5_minhash
+
+
 def op6_secrets_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secrets_scan.secrets_scan(_table(spark, sf_dir, "documents"))
 
