@@ -54,6 +54,32 @@ def _unpack(b: bytes) -> np.ndarray:
     return np.ascontiguousarray(raw.reshape(4, -1).T).view(np.uint32).ravel().astype(np.int64)
 
 
+def _pack_refs(x: np.ndarray) -> bytes:
+    """Word numbers by frequency: a leading byte (the number under 128, else its high part), a low byte, a rare rest."""
+    z = zstandard.ZstdCompressor(level=3)
+    far = x >= 128
+    high = (x[far] - 128) >> 8
+    lead = x.astype(np.uint8)
+    lead[far] = 128 + np.minimum(high, 127)
+    parts = [z.compress(lead.tobytes()), z.compress((x[far] - 128).astype(np.uint8).tobytes()), _pack(high[high >= 127])]
+    return b"".join(len(p).to_bytes(4, "little") + p for p in parts)
+
+
+def _unpack_refs(b: bytes) -> np.ndarray:
+    parts, at = [], 0
+    while at < len(b):
+        n = int.from_bytes(b[at : at + 4], "little")
+        parts.append(b[at + 4 : at + 4 + n])
+        at += 4 + n
+    d = zstandard.ZstdDecompressor()
+    x = np.frombuffer(d.decompress(parts[0]), np.uint8).astype(np.int64)
+    far = x >= 128
+    high = x[far] - 128
+    high[high == 127] = _unpack(parts[2])
+    x[far] = 128 + (high << 8) + np.frombuffer(d.decompress(parts[1]), np.uint8)
+    return x
+
+
 def _spread(start: np.ndarray, size: np.ndarray) -> np.ndarray:
     """The indices start[k] .. start[k] + size[k] - 1 for each k in turn."""
     ends = np.cumsum(size)
@@ -69,16 +95,16 @@ def _block_rows(block: int, number: dict[str, int], chunks: list, buckets: int)
     new[np.argsort(-seen, kind="stable")] = np.arange(len(number))
     words = [w.encode() for w in number]
     bucket = np.fromiter((zlib.crc32(w) % buckets for w in words), np.int64, len(words))
-    order = np.argsort(bucket, kind="stable")
+    order = np.lexsort((new, bucket))
     for part in np.split(order, np.flatnonzero(np.diff(bucket[order])) + 1):
         if len(part):
             own = [words[k] for k in part]
             size = _pack(np.fromiter(map(len, own), np.int64, len(own)))
             body = zstandard.ZstdCompressor(level=3).compress(b"".join(own))
             a = len(size).to_bytes(4, "little") + size + body
-            yield _rows([(True, int(bucket[part[0]]), block, -1, None, a, _pack(new[part]))])
+            yield _rows([(True, int(bucket[part[0]]), block, -1, None, a, _pack(np.diff(new[part], prepend=0)))])
     for seq, (ids, sizes, refs) in enumerate(chunks):
-        yield _rows([(False, None, block, seq, ids, _pack(sizes), _pack(new[refs]))])
+        yield _rows([(False, None, block, seq, ids, _pack(sizes), _pack_refs(new[refs]))])
 
 
 def _rows(rows: list[tuple]) -> pa.RecordBatch:
@@ -146,7 +172,7 @@ def _reassemble(path: str, finish, names: list[str], kinds: list[pa.DataType]):
                     at, flat, start, size = block, [], None, None
                 if words:
                     n = int.from_bytes(a[:4], "little")
-                    flat.append((_unpack(b), _unpack(a[4 : 4 + n]), _unpack(a[4 + n :])))
+                    flat.append((np.cumsum(_unpack(b)), _unpack(a[4 : 4 + n]), _unpack(a[4 + n :])))
                     continue
                 if start is None:
                     n_words = sum(len(x[0]) for x in flat)
@@ -156,7 +182,7 @@ def _reassemble(path: str, finish, names: list[str], kinds: list[pa.DataType]):
                         start[nums] = base + np.cumsum(sizes) - sizes
                         base += len(ids)
                     flat = np.concatenate([x[2] for x in flat]) if flat else np.zeros(0, np.int64)
-                refs, per_doc = _unpack(b), _unpack(a)
+                refs, per_doc = _unpack_refs(b), _unpack(a)
                 ids = flat[_spread(start[refs], size[refs])].astype("<u4")
                 ends = np.concatenate([[0], np.cumsum(size[refs])])[np.cumsum(per_doc)] if len(per_doc) else []
                 done, last = [], 0
@@ -176,7 +202,7 @@ def _pipeline(docs: DataFrame, path: str, pattern: str, finish, ddl: str, names:
     return back.sortWithinPartitions("block", "seq").mapInArrow(_reassemble(path, finish, names, kinds), ddl)
 
 
-def encode(docs: DataFrame, path: str, pattern: str, block_bytes: int = 24 << 20) -> DataFrame:
+def encode(docs: DataFrame, path: str, pattern: str, block_bytes: int = 48 << 20) -> DataFrame:
     """doc_id, ids: the token ids of each whole text as an array."""
     return _pipeline(docs, path, pattern, lambda ids, _: (ids.astype(np.int32),), "doc_id bigint, ids array<int>", ["doc_id", "ids"], [pa.list_(pa.int32())], block_bytes)
 
@@ -197,7 +223,7 @@ def _digests(ids: np.ndarray, table: list[bytes]) -> tuple:
     return len(ids), hashlib.sha256(ids.tobytes()).hexdigest(), hashlib.sha256(decoded).hexdigest()
 
 
-def round_trip(docs: DataFrame, path: str, pattern: str, block_bytes: int = 24 << 20) -> DataFrame:
+def round_trip(docs: DataFrame, path: str, pattern: str, block_bytes: int = 48 << 20) -> DataFrame:
     """doc_id, n_tokens, ids_sha256, decoded_sha256: encoding and decoding in one pass, without keeping ids or bytes."""
     names = ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"]
     return _pipeline(docs, path, pattern, _digests, "doc_id bigint, n_tokens bigint, ids_sha256 string, decoded_sha256 string", names, [pa.int64(), pa.string(), pa.string()], block_bytes)
