@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from kinelattice.llm import byte_bpe, chat, exact_dedup, language_id, minhash, packing, quality_rules, secrets_scan
+from kinelattice.llm import byte_bpe, chat, exact_dedup, language_id, line_dedup, minhash, packing, quality_rules, secrets_scan
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -43,6 +43,22 @@ def op3_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES["op3_quality_rules"] = op3_quality_rules
 
 
+def op4_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """doc_id, n_lines, n_dropped, dropped_lines; documents without lines have 0 and an empty list."""
+    docs = _table(spark, sf_dir, "documents")
+    verdict = line_dedup.line_dedup(docs)
+    joined = docs.select("doc_id").join(verdict, "doc_id", "left")
+    return joined.select(
+        "doc_id",
+        F.coalesce("n_lines", F.lit(0)).cast("bigint").alias("n_lines"),
+        F.coalesce(F.size("dropped"), F.lit(0)).cast("bigint").alias("n_dropped"),
+        F.coalesce(F.array_join(F.col("dropped").cast("array<string>"), ","), F.lit("")).alias("dropped_lines"),
+    )
+
+
+QUERIES["op4_line_dedup"] = op4_line_dedup
+
+
 def op5_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return minhash.near_dup(_table(spark, sf_dir, "documents"))
 
