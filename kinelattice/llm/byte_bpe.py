@@ -1,12 +1,7 @@
-"""Byte-level BPE over a global shuffle of distinct words.
+"""Byte-level BPE over a global shuffle of distinct words (see ``distinct_words``).
 
-Encoding has three steps. (1) Each task cuts its texts into pre-tokens and keeps, for each block of documents, the
-distinct words and every document's word numbers in order (its positions). (2) The distinct words of all blocks meet
-by hash in buckets, where each distinct word is encoded once. (3) The ids go back to their blocks, and each document
-is put together again by position. Decoding looks ids up in the token-byte table, whose size the vocabulary fixes.
-
-A frequent word travels once per block of ``block_bytes``, however often it occurs, so it makes no hot key. Only
-words and word numbers are shuffled, packed; texts are not.
+Each match of the pattern is one pre-token; distinct pre-tokens are encoded once for the whole corpus and documents are
+put together again by position. Decoding looks ids up in the token-byte table, whose size the vocabulary fixes.
 
 Edge cases: a null or empty text has no ids; repeated rows are separate rows; special-token strings in a text are
 ordinary text; doc_id may be null.
@@ -16,24 +11,18 @@ from __future__ import annotations
 
 import base64
 import hashlib
-import zlib
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
 import regex
 import tiktoken
-import zstandard
-from pyspark import TaskContext
 from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
 
-from kinelattice.llm.textcols import in_chunks, texts
-from kinelattice.session import cut
+from kinelattice.llm.distinct_words import encode_words
 
-_ROW = pa.schema([("words", pa.bool_()), ("bucket", pa.int32()), ("block", pa.int64()), ("seq", pa.int32()), ("doc_ids", pa.list_(pa.int64())), ("a", pa.binary()), ("b", pa.binary())])
-_DDL = "words boolean, bucket int, block bigint, seq int, doc_ids array<bigint>, a binary, b binary"
 _ranks: dict[str, dict[bytes, int]] = {}
+_compiled: dict[str, regex.Pattern] = {}
 
 
 def ranks(path: str) -> dict[bytes, int]:
@@ -44,186 +33,61 @@ def ranks(path: str) -> dict[bytes, int]:
     return _ranks[path]
 
 
-def _pack(x: np.ndarray) -> bytes:
-    """Unsigned 32-bit numbers by byte planes, compressed: small numbers cost little."""
-    return zstandard.ZstdCompressor(level=3).compress(np.ascontiguousarray(np.asarray(x, np.uint32).view(np.uint8).reshape(-1, 4).T).tobytes())
-
-
-def _unpack(b: bytes) -> np.ndarray:
-    raw = np.frombuffer(zstandard.ZstdDecompressor().decompress(b), np.uint8)
-    return np.ascontiguousarray(raw.reshape(4, -1).T).view(np.uint32).ravel().astype(np.int64)
-
-
-def _pack_refs(x: np.ndarray) -> bytes:
-    """Word numbers by frequency: a leading byte (the number under 128, else its high part), a low byte, a rare rest."""
-    z = zstandard.ZstdCompressor(level=3)
-    far = x >= 128
-    high = (x[far] - 128) >> 8
-    lead = x.astype(np.uint8)
-    lead[far] = 128 + np.minimum(high, 127)
-    parts = [z.compress(lead.tobytes()), z.compress((x[far] - 128).astype(np.uint8).tobytes()), _pack(high[high >= 127])]
-    return b"".join(len(p).to_bytes(4, "little") + p for p in parts)
-
-
-def _unpack_refs(b: bytes) -> np.ndarray:
-    parts, at = [], 0
-    while at < len(b):
-        n = int.from_bytes(b[at : at + 4], "little")
-        parts.append(b[at + 4 : at + 4 + n])
-        at += 4 + n
-    d = zstandard.ZstdDecompressor()
-    x = np.frombuffer(d.decompress(parts[0]), np.uint8).astype(np.int64)
-    far = x >= 128
-    high = x[far] - 128
-    high[high == 127] = _unpack(parts[2])
-    x[far] = 128 + (high << 8) + np.frombuffer(d.decompress(parts[1]), np.uint8)
-    return x
-
-
-def _spread(start: np.ndarray, size: np.ndarray) -> np.ndarray:
-    """The indices start[k] .. start[k] + size[k] - 1 for each k in turn."""
-    ends = np.cumsum(size)
-    return np.repeat(start - (ends - size), size) + np.arange(ends[-1] if len(ends) else 0)
-
-
-def _block_rows(block: int, number: dict[str, int], chunks: list, buckets: int) -> Iterator[pa.RecordBatch]:
-    """Rows of one block: the words by bucket, then the documents in chunks. Words are numbered by frequency."""
-    seen = np.zeros(len(number), np.int64)
-    for _, _, refs in chunks:
-        seen += np.bincount(refs, minlength=len(number))
-    new = np.empty(len(number), np.int64)
-    new[np.argsort(-seen, kind="stable")] = np.arange(len(number))
-    words = [w.encode() for w in number]
-    bucket = np.fromiter((zlib.crc32(w) % buckets for w in words), np.int64, len(words))
-    order = np.lexsort((new, bucket))
-    for part in np.split(order, np.flatnonzero(np.diff(bucket[order])) + 1):
-        if len(part):
-            own = [words[k] for k in part]
-            size = _pack(np.fromiter(map(len, own), np.int64, len(own)))
-            body = zstandard.ZstdCompressor(level=3).compress(b"".join(own))
-            a = len(size).to_bytes(4, "little") + size + body
-            yield _rows([(True, int(bucket[part[0]]), block, -1, None, a, _pack(np.diff(new[part], prepend=0)))])
-    for seq, (ids, sizes, refs) in enumerate(chunks):
-        yield _rows([(False, None, block, seq, ids, _pack(sizes), _pack_refs(new[refs]))])
-
-
-def _rows(rows: list[tuple]) -> pa.RecordBatch:
-    return pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows), _ROW)], schema=_ROW)
-
-
-def _cutter(pattern: str, buckets: int, block_bytes: int):
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        find = regex.compile(pattern).findall
-        block, held = TaskContext.get().partitionId() << 24, 0
-        number: dict[str, int] = {}
-        chunks: list = []
-        for part in in_chunks(batches, "body", 1 << 20):
-            refs, sizes = [], []
-            for body in part.column("body").to_pylist():
-                words = find(body.decode()) if body else []
-                refs.append(np.fromiter((number.setdefault(w, len(number)) for w in words), np.int32, len(words)))
-                sizes.append(len(words))
-                held += len(body or b"")
-            chunks.append((part.column("doc_id").to_pylist(), sizes, np.concatenate(refs)))
-            if held >= block_bytes:
-                yield from _block_rows(block, number, chunks, buckets)
-                block, held, number, chunks = block + 1, 0, {}, []
-        if chunks:
-            yield from _block_rows(block, number, chunks, buckets)
-
-    return run
-
-
-def _word_encoder(path: str):
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def token_bytes(path: str) -> list[bytes]:
+    """The bytes of each token id."""
+    table = [b""] * (max(ranks(path).values()) + 1)
+    for token, k in ranks(path).items():
+        table[k] = token
+    return table
+
+
+def _splitter(pattern: str):
+    def split(body: bytes) -> list[str]:
+        if pattern not in _compiled:
+            _compiled[pattern] = regex.compile(pattern)
+        return _compiled[pattern].findall(body.decode())
+
+    return split
+
+
+def _encoder(path: str):
+    def make():
         # each word is one pre-token already: a pattern that takes it whole
         encode = tiktoken.Encoding("words", pat_str=r"(?s:.+)", mergeable_ranks=ranks(path), special_tokens={}).encode_ordinary
-        known: dict[bytes, bytes] = {}
-        for batch in batches:
-            for block, a, nums in zip(*(batch.column(c).to_pylist() for c in ("block", "a", "b"))):
-                n = int.from_bytes(a[:4], "little")
-                ends = np.cumsum(_unpack(a[4 : 4 + n])).tolist()
-                body = zstandard.ZstdDecompressor().decompress(a[4 + n :])
-                out, start = [], 0
-                for end in ends:
-                    word = body[start:end]
-                    got = known.get(word)
-                    if got is None:
-                        got = known[word] = np.array(encode(word.decode()), np.uint32).tobytes()
-                    out.append(got)
-                    start = end
-                size = _pack(np.fromiter(map(len, out), np.int64, len(out)) // 4)
-                yield _rows([(True, None, block, -1, None, len(size).to_bytes(4, "little") + size + _pack(np.frombuffer(b"".join(out), np.uint32)), nums)])
-
-    return run
-
-
-def _reassemble(path: str, finish, names: list[str], kinds: list[pa.DataType]):
-    """Documents from rows sorted by (block, words first, seq). ``finish(ids, table)`` makes the columns of a document."""
+        return lambda words: [np.array(encode(w.decode()), np.uint32).tobytes() for w in words]
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        table = [b""] * (max(ranks(path).values()) + 1)
-        for token, k in ranks(path).items():
-            table[k] = token
-        at, flat, start, size = None, None, None, None
-        for batch in batches:
-            for words, block, doc_ids, a, b in zip(*(batch.column(c).to_pylist() for c in ("words", "block", "doc_ids", "a", "b"))):
-                if block != at:
-                    at, flat, start, size = block, [], None, None
-                if words:
-                    n = int.from_bytes(a[:4], "little")
-                    flat.append((np.cumsum(_unpack(b)), _unpack(a[4 : 4 + n]), _unpack(a[4 + n :])))
-                    continue
-                if start is None:
-                    n_words = sum(len(x[0]) for x in flat)
-                    start, size, base = np.zeros(n_words, np.int64), np.zeros(n_words, np.int64), 0
-                    for nums, sizes, ids in flat:
-                        size[nums] = sizes
-                        start[nums] = base + np.cumsum(sizes) - sizes
-                        base += len(ids)
-                    flat = np.concatenate([x[2] for x in flat]) if flat else np.zeros(0, np.int64)
-                refs, per_doc = _unpack_refs(b), _unpack(a)
-                ids = flat[_spread(start[refs], size[refs])].astype("<u4")
-                ends = np.concatenate([[0], np.cumsum(size[refs])])[np.cumsum(per_doc)] if len(per_doc) else []
-                done, last = [], 0
-                for end in ends:
-                    done.append(finish(ids[last:end], table))
-                    last = end
-                yield pa.RecordBatch.from_arrays([pa.array(doc_ids, pa.int64()), *(pa.array(c, k) for c, k in zip(zip(*done), kinds))], names)
-
-    return run
-
-
-def _pipeline(docs: DataFrame, path: str, pattern: str, finish, ddl: str, names: list[str], kinds: list[pa.DataType], block_bytes: int) -> DataFrame:
-    n = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    rows = cut(texts(docs).mapInArrow(_cutter(pattern, 2 * n, block_bytes), _DDL), "bpe-words")
-    encoded = rows.filter("words").repartition(n, "bucket").mapInArrow(_word_encoder(path), _DDL)
-    back = encoded.unionByName(rows.filter(~F.col("words"))).repartition(n, "block")
-    return back.sortWithinPartitions("block", "seq").mapInArrow(_reassemble(path, finish, names, kinds), ddl)
-
-
-def encode(docs: DataFrame, path: str, pattern: str, block_bytes: int = 48 << 20) -> DataFrame:
+    return make
+
+
+def encode(docs: DataFrame, path: str, pattern: str) -> DataFrame:
     """doc_id, ids: the token ids of each whole text as an array."""
-    return _pipeline(docs, path, pattern, lambda ids, _: (ids.astype(np.int32),), "doc_id bigint, ids array<int>", ["doc_id", "ids"], [pa.list_(pa.int32())], block_bytes)
+    finisher = lambda: lambda doc_id, ids: [(doc_id, ids.astype(np.int32))]
+    return encode_words(docs, _splitter(pattern), _encoder(path), finisher, "doc_id bigint, ids array<int>", ["doc_id", "ids"], [pa.int64(), pa.list_(pa.int32())])
 
 
 def decode(encoded: DataFrame, path: str) -> DataFrame:
     """doc_id, decoded: the bytes of each row's ids. Null ids decode to no bytes."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        table = {k: token for token, k in ranks(path).items()}
+        table = token_bytes(path)
         for b in batches:
             yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array([b"".join(map(table.__getitem__, ids or ())) for ids in b.column("ids").to_pylist()], pa.binary())], ["doc_id", "decoded"])
 
     return encoded.select("doc_id", "ids").mapInArrow(run, "doc_id bigint, decoded binary")
 
 
-def _digests(ids: np.ndarray, table: list[bytes]) -> tuple:
-    decoded = b"".join(map(table.__getitem__, ids.tolist()))
-    return len(ids), hashlib.sha256(ids.tobytes()).hexdigest(), hashlib.sha256(decoded).hexdigest()
+def round_trip(docs: DataFrame, path: str, pattern: str) -> DataFrame:
+    """doc_id, n_tokens, ids_sha256, decoded_sha256: encoding and decoding in one pass, without keeping ids or bytes."""
 
+    def finisher():
+        table = token_bytes(path)
+
+        def finish(doc_id: int | None, ids: np.ndarray) -> list[tuple]:
+            decoded = b"".join(map(table.__getitem__, ids.tolist()))
+            return [(doc_id, len(ids), hashlib.sha256(ids.tobytes()).hexdigest(), hashlib.sha256(decoded).hexdigest())]
+
+        return finish
 
-def round_trip(docs: DataFrame, path: str, pattern: str, block_bytes: int = 48 << 20) -> DataFrame:
-    """doc_id, n_tokens, ids_sha256, decoded_sha256: encoding and decoding in one pass, without keeping ids or bytes."""
     names = ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"]
-    return _pipeline(docs, path, pattern, _digests, "doc_id bigint, n_tokens bigint, ids_sha256 string, decoded_sha256 string", names, [pa.int64(), pa.string(), pa.string()], block_bytes)
+    ddl = "doc_id bigint, n_tokens bigint, ids_sha256 string, decoded_sha256 string"
+    return encode_words(docs, _splitter(pattern), _encoder(path), finisher, ddl, names, [pa.int64(), pa.int64(), pa.string(), pa.string()])

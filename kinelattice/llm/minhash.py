@@ -54,7 +54,7 @@ def mix(x: np.ndarray) -> np.ndarray:
 _powers: dict[int, tuple[np.ndarray, np.ndarray]] = {}
 
 
-def _power(n: int) -> tuple[np.ndarray, np.ndarray]:
+def powers(n: int) -> tuple[np.ndarray, np.ndarray]:
     """The first powers of the base and of its inverse modulo 2**64."""
     size = 1 << max(16, n.bit_length())
     if size not in _powers:
@@ -71,7 +71,7 @@ def _power(n: int) -> tuple[np.ndarray, np.ndarray]:
 
 def segment_hashes(data: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
     """A 64-bit hash of each data[start:end], independent of where it stands."""
-    power, inverse = _power(len(data) + 1)
+    power, inverse = powers(len(data) + 1)
     sums = np.zeros(len(data) + 1, np.uint64)
     np.cumsum((data.astype(np.uint64) + np.uint64(1)) * power[: len(data)], out=sums[1:])
     return mix((sums[end] - sums[start]) * inverse[start] + (end - start).astype(np.uint64) * _M2)

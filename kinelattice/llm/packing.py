@@ -1,6 +1,6 @@
 """Best-fit packing by exact-complement hashing.
 
-Texts become token pieces of at most ``capacity`` tokens. Which lengths share a sequence depends on the histogram of
+Distinct words are tokenized once for the corpus (see ``distinct_words``). Texts become token pieces of at most ``capacity`` tokens. Which lengths share a sequence depends on the histogram of
 lengths alone, at most ``capacity`` numbers, so it is solved once on the driver however many pieces there are: a piece
 opens a sequence, and a hash of available lengths, pair sums and triple sums finds combinations that fill its gap
 exactly, taken as often as their counts allow; what has no exact complement is placed by best fit. The plan is a list
@@ -23,64 +23,53 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
-from kinelattice.llm.textcols import in_chunks, texts
+from kinelattice.llm.distinct_words import encode_words
 from kinelattice.session import cut
 
 CAPACITY = 2048
-#: Ids of frequent words stay in the worker between tasks, at most so many words of at most so many bytes.
-CACHE_WORDS, CACHE_BYTES = 400_000, 48
-_loaded: dict[str, tuple[Tokenizer, dict[bytes, bytes]]] = {}
 
 
-def text_ids(path: str, body: bytes) -> bytes:
-    """Ids of a text as little-endian 32-bit bytes.
+def _encoder(path: str):
+    """Ids of white-space separated words.
 
     The tokenizer drops white space and joins nothing across it, so a text's ids are its words' ids in order.
     """
-    if path not in _loaded:
+
+    def make():
         tokenizer = Tokenizer.from_file(path)
         tokenizer.encode_special_tokens = True
-        _loaded[path] = tokenizer, {}
-    tokenizer, known = _loaded[path]
-    words = body.split()
-    out = list(map(known.get, words))
-    if None in out:
-        new = list({w for w, x in zip(words, out) if x is None})
-        coded = tokenizer.encode_batch_fast([w.decode() for w in new], add_special_tokens=False)
-        got = {w: np.array(e.ids, "<u4").tobytes() for w, e in zip(new, coded)}
-        out = [got[w] if x is None else x for w, x in zip(words, out)]
-        if len(known) > CACHE_WORDS:
-            known.clear()
-        known.update((w, x) for w, x in got.items() if len(w) <= CACHE_BYTES)
-    return b"".join(out)
+        return lambda words: [np.array(e.ids, "<u4").tobytes() for e in tokenizer.encode_batch_fast([w.decode() for w in words], add_special_tokens=False)]
+
+    return make
 
 
 _PIECE = ["doc_id", "piece", "start", "length", "ids_crc32", "task", "rank", "ids"]
 _DDL = "doc_id bigint, piece int, start bigint, length bigint, ids_crc32 bigint, task int, rank bigint, ids binary"
 
 
-def _piecer(path: str, end_id: int, capacity: int, keep_ids: bool):
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _piecer(end_id: int, capacity: int, keep_ids: bool):
+    def finisher():
         task, seen = TaskContext.get().partitionId(), [0] * (capacity + 1)
-        end = np.array([end_id], "<u4").tobytes()
-        for part in in_chunks(batches, "body"):
-            rows = []
-            for doc_id, body in zip(part.column("doc_id").to_pylist(), part.column("body").to_pylist()):
-                ids = (text_ids(path, body) if body else b"") + end
-                for k, at in enumerate(range(0, len(ids), 4 * capacity)):
-                    own = ids[at : at + 4 * capacity]
-                    n = len(own) // 4
-                    rows.append((doc_id, k, at // 4, n, zlib.crc32(own), task, seen[n], own if keep_ids else None))
-                    seen[n] += 1
-            kinds = [pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.int64(), pa.binary()]
-            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows), kinds)], _PIECE)
-
-    return run
+        end = np.array([end_id], "<u4")
+
+        def finish(doc_id: int | None, ids: np.ndarray) -> list[tuple]:
+            body, rows = np.concatenate([ids, end]).astype("<u4").tobytes(), []
+            for k, at in enumerate(range(0, len(body), 4 * capacity)):
+                own = body[at : at + 4 * capacity]
+                n = len(own) // 4
+                rows.append((doc_id, k, at // 4, n, zlib.crc32(own), task, seen[n], own if keep_ids else None))
+                seen[n] += 1
+            return rows
+
+        return finish
+
+    return finisher
 
 
 def pieces(docs: DataFrame, path: str, end_id: int = 0, capacity: int = CAPACITY, keep_ids: bool = False) -> DataFrame:
     """Token pieces of all texts; ``rank`` numbers the pieces of one length within one task."""
-    return texts(docs).mapInArrow(_piecer(path, end_id, capacity, keep_ids), _DDL)
+    kinds = [pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.int64(), pa.binary()]
+    return encode_words(docs, bytes.split, _encoder(path), _piecer(end_id, capacity, keep_ids), _DDL, _PIECE, kinds)
 
 
 class _Lengths:
