@@ -7,6 +7,8 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from kinelattice.session import importable
+
 
 def confident(df: DataFrame, score: str = "score", above: float = 0.7) -> DataFrame:
     return df.filter(F.col(score) > above)
@@ -60,13 +62,21 @@ def kept_boxes(boxes: np.ndarray, scores: np.ndarray, threshold: float) -> list[
 
 
 def suppress_overlaps(df: DataFrame, keys: list[str], threshold: float = 0.9) -> DataFrame:
-    """Greedy suppression within a camera and frame. Order-dependent, hence per group; a group is one frame's people."""
+    """Greedy suppression within a camera and frame. It depends on the order, so a frame's few boxes go as one array."""
+    importable(df.sparkSession)
+    corners = ["x1", "y1", "x2", "y2"]
+    frames = df.groupBy(*keys).agg(F.array_sort(F.collect_list(F.struct("pos", F.array(*corners, "score").alias("box")))).alias("boxes"))
+
+    @F.pandas_udf("array<bigint>")
+    def kept(boxes: pd.Series) -> pd.Series:
+        def one(people) -> list[int]:
+            at = np.array([p["box"] for p in people], float)
+            return [int(people[k]["pos"]) for k in kept_boxes(at[:, :4], at[:, 4], threshold)]
 
-    def run(frame: pd.DataFrame) -> pd.DataFrame:
-        frame = frame.sort_values("pos")
-        return frame.iloc[kept_boxes(frame[["x1", "y1", "x2", "y2"]].to_numpy(), frame["score"].to_numpy(), threshold)]
+        return boxes.map(one)
 
-    return df.groupBy(*keys).applyInPandas(run, df.schema)
+    left = frames.select(*keys, F.explode(kept("boxes")).alias("pos"))
+    return df.join(left, [*keys, "pos"], "left_semi")
 
 
 def correct_people(df: DataFrame, keys: list[str], frame: str, n_subjects: int, above: float = 0.7, threshold: float = 0.9) -> DataFrame:
