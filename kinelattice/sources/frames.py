@@ -35,7 +35,7 @@ def image_paths(spark: SparkSession, cameras: list[str], known: list[str], start
 def listing(spark: SparkSession, folder: str, suffix: str) -> DataFrame:
     """(path) of the files below a folder with a suffix; contents are not read."""
     files = spark.read.format("binaryFile").option("pathGlobFilter", f"*{suffix}").option("recursiveFileLookup", True).load(folder)
-    return files.select(F.regexp_replace("path", "^file:(//)?", "").alias("path"))
+    return files.select(F.regexp_replace("path", "^file:/+", "/").alias("path"))
 
 
 def existing(paths: DataFrame, files: DataFrame) -> DataFrame:
@@ -73,7 +73,7 @@ _PROBE = "struct<streams:array<struct<codec_type:string,codec_name:string,avg_fr
 def video_properties(probes: DataFrame, text: str = "probe") -> DataFrame:
     """Adds codec, fps, n_frames, width, height, duration from a prober's JSON; the container's duration stands in."""
     got = F.from_json(F.col(text), _PROBE)
-    video = F.element_at(F.filter(got["streams"], lambda s: s["codec_type"] == "video"), 1)
+    video = F.get(F.filter(got["streams"], lambda s: s["codec_type"] == "video"), F.lit(0))
     fps = fraction(video["avg_frame_rate"])
     duration = F.coalesce(video["duration"].try_cast("double"), got["format"]["duration"].try_cast("double"))
     frames = F.coalesce(video["nb_frames"].try_cast("bigint"), (fps * duration).cast("bigint"))

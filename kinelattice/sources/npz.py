@@ -118,7 +118,9 @@ class NpzReader(DataSourceReader):
             raise FileNotFoundError(f"no .npz archives under {self.root!r}")
         return out
 
-    def read(self, partition: ArrayPartition) -> Iterator[pa.RecordBatch]:
+    def read(self, partition: ArrayPartition | None) -> Iterator[pa.RecordBatch]:
+        if partition is None:  # no archive had what was asked for
+            return
         axes = description(partition.path)[partition.array]
         data = np.asarray(read_array(partition.path, partition.array), float)
         names = [axes.get(f"axis{k}") for k in range(data.ndim)]
