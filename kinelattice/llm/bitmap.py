@@ -56,7 +56,7 @@ def build(ids: DataFrame, column: str) -> np.ndarray:
         yield _rows(have)
 
     out = np.zeros(size // 8, np.uint8)
-    for r in ids.mapInArrow(blocks, "block int, bits binary").repartition("block").mapInArrow(merge, "block int, bits binary").toLocalIterator():
+    for r in ids.mapInArrow(blocks, "block int, bits binary").repartition("block").mapInArrow(merge, "block int, bits binary").collect():  # CAP_BITS / 8 bytes at most
         out[r["block"] * _BLOCK : (r["block"] + 1) * _BLOCK] = np.frombuffer(r["bits"], np.uint8)
     return out
 

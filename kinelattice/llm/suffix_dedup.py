@@ -32,13 +32,15 @@ from kinelattice.llm import bitmap
 from kinelattice.llm.distinct_words import spread
 from kinelattice.llm.minhash import mix, powers, segment_hashes
 from kinelattice.llm.textcols import in_chunks
-from kinelattice.session import importable
+from kinelattice.session import cut, importable
 
 DEPTH, KMER = 200, 32
 _POS = 21
 _MASK = (1 << _POS) - 1
 #: Texts are parsed in slices of at most so many bytes that overlap by DEPTH - 1, so that positions fit in _POS bits.
 _SLICE = 1 << 20
+#: Bytes that are parsed together, and surroundings that are sorted together: small arrays stay in the CPU's cache.
+_TOGETHER, _SORTED = 1 << 18, 150
 
 
 def _window_hashes(data: np.ndarray, length: int) -> np.ndarray:
@@ -87,9 +89,10 @@ def samples(bodies: list[bytes | None]) -> tuple[np.ndarray, np.ndarray, np.ndar
 
 
 def _groups(end: np.ndarray, size: np.ndarray) -> Iterator[tuple[int, int]]:
+    """Ranges of slices of at most _TOGETHER bytes; a longer slice comes alone."""
     low = 0
     for high in range(1, len(end) + 1):
-        if high == len(end) or end[high] - (end[low] - size[low]) > _MASK:
+        if high == len(end) or end[high] - (end[low] - size[low]) > _TOGETHER:
             yield low, high
             low = high
 
@@ -101,7 +104,7 @@ def _rows(docs: DataFrame) -> DataFrame:
 
 
 def _words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for part in in_chunks(batches, "body", _SLICE):
+    for part in in_chunks(batches, "body", _TOGETHER):
         yield pa.RecordBatch.from_arrays([pa.array(samples(part.column("body").to_pylist())[4])], ["word"])
 
 
@@ -118,16 +121,21 @@ def _surroundings(bodies: list[bytes], repeated: np.ndarray):
     return row, at, low, word, around, mix(name + (at - low).astype(np.uint64)).view(np.int64)
 
 
-def _distinct(repeated):
+_FOUND = "doc_id bigint, key bigint, at bigint, word bigint, name bigint, offset int, n bigint, around binary"
+
+
+def _find(repeated):
+    """Every sample of a possibly repeated word; of equal surroundings in a chunk the first has the bytes and their number."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for part in in_chunks(batches, "body", 4 * _SLICE):
-            _, at, low, word, around, name = _surroundings(part.column("body").to_pylist(), repeated.value)
-            key = np.column_stack([word, name])
-            _, first, count = np.unique(key, axis=0, return_index=True, return_counts=True) if len(key) else (None, np.zeros(0, np.int64), np.zeros(0, np.int64))
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(word[first]), pa.array(name[first]), pa.array((at - low)[first].astype(np.int32)), pa.array(count.astype(np.int64)), pa.array([around[k] for k in first.tolist()], pa.binary())],
-                ["word", "name", "offset", "n", "around"],
-            )
+        for part in in_chunks(batches, "body", 2 * _SLICE):
+            row, at, low, word, around, name = _surroundings(part.column("body").to_pylist(), repeated.value)
+            _, first, count = np.unique(mix(word.view(np.uint64)) ^ name.view(np.uint64), return_index=True, return_counts=True)
+            n = np.zeros(len(word), np.int64)
+            n[first] = count
+            own = [part.column(c).take(pa.array(row)) for c in ("doc_id", "key")]
+            bytes_ = pa.array([x if k else None for x, k in zip(around, n.tolist())], pa.binary())
+            yield pa.RecordBatch.from_arrays([*own, pa.array(at), pa.array(word), pa.array(name), pa.array((at - low).astype(np.int32)), pa.array(n), bytes_], [c.split(" ")[0] for c in _FOUND.split(", ")])
 
     return run
 
@@ -219,7 +227,7 @@ def _compare(word: np.ndarray, name: np.ndarray, offset: np.ndarray, n: np.ndarr
     sort = np.flatnonzero(~alone)
     low = 0
     while low < len(sort):  # groups of whole words; ranks have 21 bits
-        high = min(low + 1000, len(sort))
+        high = min(low + _SORTED, len(sort))
         while high < len(sort) and word[sort[high]] == word[sort[high - 1]]:
             high += 1
         own = sort[low:high]
@@ -256,16 +264,6 @@ def _repeats(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield from flush(held)
 
 
-def _places(repeated):
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for part in in_chunks(batches, "body", 4 * _SLICE):
-            row, at, _, word, _, name = _surroundings(part.column("body").to_pylist(), repeated.value)
-            own = [part.column(c).take(pa.array(row)) for c in ("doc_id", "key")]
-            yield pa.RecordBatch.from_arrays([*own, pa.array(at), pa.array(word), pa.array(name)], ["doc_id", "key", "at", "word", "name"])
-
-    return run
-
-
 def _compress(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     z = zstandard.ZstdCompressor(level=1)
     for b in batches:
@@ -290,11 +288,12 @@ def repeated_ranges(docs: DataFrame) -> DataFrame:
     spark = docs.sparkSession
     words = rows.select("body").mapInArrow(_words, "word bigint").groupBy("word").agg(F.count("*").alias("n")).filter("n > 1").select("word")
     repeated = spark.sparkContext.broadcast(bitmap.build(words, "word"))
-    met = rows.select("body").mapInArrow(_distinct(repeated), "word bigint, name bigint, offset int, n bigint, around binary")
+    samples_ = cut(rows.mapInArrow(_find(repeated), _FOUND), "suffix-samples")
+    met = samples_.filter("n > 0").select("word", "name", "offset", "n", "around")
     n = int(spark.conf.get("spark.sql.shuffle.partitions"))
     found = met.repartition(n, "word").sortWithinPartitions("word", "name").mapInArrow(_repeats, "word bigint, name bigint, low int, high int")
-    places = rows.mapInArrow(_places(repeated), "doc_id bigint, key bigint, at bigint, word bigint, name bigint")
-    hit = places.join(found, ["word", "name"]).select("doc_id", "key", F.array(F.col("at") + F.col("low"), F.col("at") + F.col("high")).alias("range"))
+    hit = samples_.select("doc_id", "key", "at", "word", "name").join(found, ["word", "name"])
+    hit = hit.select("doc_id", "key", F.array(F.col("at") + F.col("low"), F.col("at") + F.col("high")).alias("range"))
     return hit.groupBy("doc_id", "key").agg(F.flatten(F.collect_list("range")).alias("ranges"))
 
 
