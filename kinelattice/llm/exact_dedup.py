@@ -44,9 +44,10 @@ def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
 
 
 def keep_first(docs: DataFrame) -> DataFrame:
-    """The rows of ``docs`` that stay, with all their columns."""
+    """The rows of ``docs`` that stay, with all their columns: one row for each different text."""
     verdict = exact_dedup(docs)
-    kept = verdict.filter("kept").select(F.col("doc_id").alias("_kl_id"))
-    out = docs.join(kept, docs["doc_id"].eqNullSafe(F.col("_kl_id")), "left_semi")
-    again = verdict.groupBy("doc_id").agg(F.count("*").alias("n")).filter("n > 1").limit(1).count()
-    return out.dropDuplicates(["doc_id", "text"]) if again else out
+    kept = verdict.filter("kept").select(F.col("doc_id").alias("_kl_id"), F.col("text_sha256").alias("_kl_kept"))
+    rows = docs.withColumn("_kl_sha", F.sha2(normalise(F.col("text")), 256))
+    out = rows.join(kept, rows["doc_id"].eqNullSafe(F.col("_kl_id")) & (F.col("_kl_sha") == F.col("_kl_kept")), "left_semi")
+    again = verdict.groupBy("doc_id", "text_sha256").agg(F.count("*").alias("n")).filter("n > 1").limit(1).count()
+    return (out.dropDuplicates(["doc_id", "_kl_sha"]) if again else out).drop("_kl_sha")
