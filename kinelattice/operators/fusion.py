@@ -74,3 +74,13 @@ def project_gaze(gaze: DataFrame, cameras: DataFrame, keys: list[str], v: str =
 def display_arrow(v: Column) -> Column:
     """A 3-D gaze as drawn: negated and halved."""
     return F.transform(v, lambda x: -x / 2)
+
+
+def mid_point(points: DataFrame, keys: list[str], coords: list[str], labels: list[str], label: str = "label") -> DataFrame:
+    """keys and coords: the point between the named keypoints (eyes, say); missing if one of them is."""
+    return points.filter(F.col(label).isin(*labels)).groupBy(*keys).agg(*(F.when(F.count(c) == len(labels), F.avg(c)).alias(c) for c in coords))
+
+
+def face_centre(x: Column, y: Column, rank: Column, width: Column, height: Column) -> tuple[Column, Column]:
+    """A face centre for display; where it is missing, a third or two thirds across the image for the first or second person."""
+    return F.coalesce(x, width * (rank + 1) / 3), F.coalesce(y, height / 3)

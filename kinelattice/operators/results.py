@@ -144,3 +144,9 @@ def create_summaries(results: Results, summaries: list[Summary], output_dir: str
         table = summarise(results, s)
         out[s.name] = None if table is None else write_csv(table, output_dir, s.name)
     return out
+
+
+def write_metric_summaries(summary: DataFrame, output_dir: str, dataset: str) -> list[str]:
+    """One CSV folder ``<dataset>_<metric_type>_summary.csv`` per metric type of (metric_type, metric, ..., value) rows."""
+    types = [r[0] for r in summary.select("metric_type").distinct().orderBy("metric_type").collect()]
+    return [write_csv(summary.filter(F.col("metric_type") == t), output_dir, f"{dataset}_{t}_summary") for t in types]

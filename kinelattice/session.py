@@ -12,12 +12,18 @@ from pyspark.sql import DataFrame, SparkSession
 _ROOT = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
 
 
+_BATCH_BYTES = "spark.sql.execution.arrow.maxBytesPerBatch"
+
+
 def importable(spark: SparkSession) -> None:
-    """Let Python workers import this package where the driver runs it from a source tree.
+    """Make the session fit for functions that read whole texts in Python workers.
 
-    A cluster deployment ships the package (``--py-files`` or an installed wheel); in local mode the
-    workers only inherit PYTHONPATH, so the source root is added for functions made from now on.
+    Workers import this package where the driver runs it from a source tree: a cluster deployment ships the package
+    (``--py-files`` or an installed wheel); in local mode the workers only inherit PYTHONPATH, so the source root is
+    added for functions made from now on. Arrow batches are held to 16 MB where the session has Spark's default of 64.
     """
+    if spark.conf.get(_BATCH_BYTES, "") == "67108864b":
+        spark.conf.set(_BATCH_BYTES, "16m")
     env = spark.sparkContext.environment
     paths = [p for p in (env.get("PYTHONPATH"), os.environ.get("PYTHONPATH")) if p]
     if _ROOT not in os.pathsep.join(paths).split(os.pathsep):

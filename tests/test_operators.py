@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from kinelattice.functions import vec
 from kinelattice.operators import align, cameras, detections, dyads, features, fusion, metrics, tables, temporal
-from kinelattice.operators.results import Results, Summary, create_summaries, summarise, write_small_csv
+from kinelattice.operators.results import Results, Summary, create_summaries, summarise, write_metric_summaries, write_small_csv
 
 
 def one(spark, **exprs):
@@ -249,6 +249,15 @@ def test_head_axes_and_projection(spark):
     assert got == {0: (0, 0), 1: (None, None)}
 
 
+def test_points_between_and_summaries(spark, tmp_path):
+    pts = spark.createDataFrame([(0, "l", 0.0), (0, "r", 2.0), (1, "l", 1.0), (1, "r", None)], "f int, label string, x double")
+    assert {r["f"]: r["x"] for r in fusion.mid_point(pts, ["f"], ["x"], ["l", "r"]).collect()} == {0: 1.0, 1: None}
+    r = one(spark, **{f"c{k}": c for k, c in enumerate(fusion.face_centre(F.lit(None).cast("double"), F.lit(5.0), F.lit(1), F.lit(900.0), F.lit(600.0)))})
+    assert (r["c0"], r["c1"]) == (600.0, 5.0)
+    rows = spark.createDataFrame([("kp", "jpe", 1.0), ("cat", "f1", 0.5)], "metric_type string, metric string, value double")
+    assert [p.rsplit("/", 1)[1] for p in write_metric_summaries(rows, str(tmp_path), "d")] == ["d_cat_summary.csv", "d_kp_summary.csv"]
+
+
 def test_table_shapes(spark):
     assert tables.keypoint_names({"nose": 0, "eye": [1, 2], "hand": {"wrist": 3}}) == {0: "nose", 1: "eye_0", 2: "eye_1", 3: "wrist"}
     assert tables.wide_names("a", None, 1, True) == "a_1" and tables.wide_names("a", "x", 0, False) == "a_x"
