@@ -2,7 +2,7 @@
 
 A document's set holds its distinct 5-word shingles as 64-bit hashes. Documents with equal sets are one class and only
 its least doc_id goes on. ``BANDS`` bands of ``ROWS`` full minima generate candidates (a pair at similarity 0.75 shares
-no band with probability 5e-6); of every minimum ``BITS`` low bits are kept, packed in longs, and a bit count of the
+no band with probability 5e-6); of each of ``HASHES`` minima ``BITS`` low bits are kept, packed in longs, and a bit count of the
 difference estimates the similarity, corrected for chance collisions. Candidates within ``MARGIN`` of the threshold
 are confirmed on the full sets.
 
@@ -28,13 +28,16 @@ import zstandard
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from kinelattice.llm import bitmap
 from kinelattice.llm.components import components
 from kinelattice.llm.textcols import in_chunks, texts
 from kinelattice.session import cut, drop
 
-BANDS, ROWS, BITS = 32, 4, 4
-HASHES = BANDS * ROWS
-MARGIN = 0.2
+BANDS, ROWS = 32, 4
+#: Hashes and bits of each minimum in the packed signature; its estimate at similarity 0.75 has a deviation of 0.02.
+HASHES, BITS = 512, 4
+#: Candidates are confirmed from four deviations below the threshold.
+MARGIN = 0.08
 #: Members that one task confirms against a copy of their hub.
 HUB_CHUNK = 1024
 _M1, _M2 = np.uint64(0xFF51AFD7ED558CCD), np.uint64(0xC4CEB9FE1A85EC53)
@@ -51,22 +54,20 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(33))
 
 
-_powers: dict[int, tuple[np.ndarray, np.ndarray]] = {}
+_powers: list[np.ndarray] = []
 
 
-def powers(n: int) -> tuple[np.ndarray, np.ndarray]:
-    """The first powers of the base and of its inverse modulo 2**64."""
-    size = 1 << max(16, n.bit_length())
-    if size not in _powers:
-        _powers.clear()
+def powers(n: int) -> list[np.ndarray]:
+    """At least the first ``n`` powers of the base and of its inverse modulo 2**64."""
+    if not _powers or len(_powers[0]) < n:
         inverse = pow(_BASE, -1, 1 << 64)
         made = []
         for base in (_BASE, inverse):
-            p = np.full(size, np.uint64(base))
+            p = np.full(1 << max(18, (n - 1).bit_length()), np.uint64(base))
             p[0] = 1
             made.append(np.multiply.accumulate(p))
-        _powers[size] = tuple(made)
-    return _powers[size]
+        _powers[:] = made
+    return _powers
 
 
 def segment_hashes(data: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
@@ -109,7 +110,7 @@ def shingles(bodies: list[bytes | None], width: int = 5) -> tuple[np.ndarray, np
 def minima(values: np.ndarray, n: np.ndarray, hashes: int, seed: int = 1) -> np.ndarray:
     """MinHash minima, texts x hashes, of consecutive runs of n[k] values; every n[k] > 0."""
     odd = np.random.default_rng(seed).integers(0, 1 << 31, hashes, dtype=np.uint32) * np.uint32(2) + np.uint32(1)
-    low = (values >> np.uint64(32)).astype(np.uint32)
+    low = values if values.dtype == np.uint32 else (values >> np.uint64(32)).astype(np.uint32)
     start = np.cumsum(n) - n
     buffer = np.empty_like(low)
     out = np.empty((len(n), hashes), np.uint32)
@@ -121,7 +122,7 @@ def minima(values: np.ndarray, n: np.ndarray, hashes: int, seed: int = 1) -> np.
 
 def bands(minimum: np.ndarray, rows: int) -> np.ndarray:
     """One 64-bit value per text and band of ``rows`` full minima; different bands never share a value on purpose."""
-    x = minimum.astype(np.uint64).reshape(len(minimum), -1, rows)
+    x = minimum.astype(np.uint64).reshape(len(minimum), minimum.shape[1] // rows, rows)
     out = np.tile(np.arange(x.shape[1], dtype=np.uint64), (len(minimum), 1))
     for k in range(rows):
         out = mix(out * np.uint64(_BASE) + x[:, :, k])
@@ -131,7 +132,7 @@ def bands(minimum: np.ndarray, rows: int) -> np.ndarray:
 def pack_bits(minimum: np.ndarray, bits: int) -> np.ndarray:
     """The low bits of the minima, packed in 64-bit words."""
     per = 64 // bits
-    x = (minimum & np.uint32((1 << bits) - 1)).astype(np.uint64).reshape(len(minimum), -1, per)
+    x = (minimum & np.uint32((1 << bits) - 1)).astype(np.uint64).reshape(len(minimum), minimum.shape[1] // per, per)
     shift = np.arange(per, dtype=np.uint64) * np.uint64(bits)
     return np.bitwise_or.reduce(x << shift, axis=2).view(np.int64)
 
@@ -154,7 +155,7 @@ def estimate(a: Column, b: Column, longs: int, bits: int) -> Column:
 
 def _sign(width: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for part in in_chunks(batches, "body"):
+        for part in in_chunks(batches, "body", 1 << 20):
             values, n = shingles(part.column("body").to_pylist(), width)
             some = np.flatnonzero(n)
             low = minima(values, n[some], HASHES)
@@ -168,17 +169,23 @@ def _sign(width: int):
             where = np.full(len(n), -1)
             where[some] = np.arange(len(some))
             yield pa.RecordBatch.from_arrays(
-                [part.column("doc_id"), pa.array(count), pa.array(key, pa.binary()), pa.array(each(bands(low, ROWS)), pa.list_(pa.int64())), pa.array(each(pack_bits(low, BITS)), pa.list_(pa.int64()))],
+                [part.column("doc_id"), pa.array(count), pa.array(key, pa.binary()), pa.array(each(bands(low[:, : BANDS * ROWS], ROWS)), pa.list_(pa.int64())), pa.array(each(pack_bits(low, BITS)), pa.list_(pa.int64()))],
                 ["doc_id", "n", "key", "bands", "packed"],
             )
 
     return run
 
 
-def _compress(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    z = zstandard.ZstdCompressor(level=1)
-    for b in batches:
-        yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array([z.compress(x or b"") for x in b.column("body").to_pylist()], pa.binary())], ["doc_id", "body"])
+def _compress(asked):
+    """Texts whose doc_id may be asked for, compressed for the shuffle."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        z = zstandard.ZstdCompressor(level=1)
+        for b in batches:
+            b = b.filter(pa.array(bitmap.may_contain(asked.value, b.column("doc_id").to_numpy())))
+            yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array([z.compress(x or b"") for x in b.column("body").to_pylist()], pa.binary())], ["doc_id", "body"])
+
+    return run
 
 
 def _confirm(width: int, percent: int):
@@ -187,7 +194,7 @@ def _confirm(width: int, percent: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         z = zstandard.ZstdDecompressor()
         at, own = None, np.zeros(0, np.uint64)
-        for part in in_chunks(batches, "body", 1 << 20):
+        for part in in_chunks(batches, "body", 1 << 18):
             values, n = shingles([z.decompress(b) for b in part.column("body").to_pylist()], width)
             ends, a, b = np.cumsum(n), [], []
             for k, (hub, salt, node) in enumerate(zip(*(part.column(c).to_pylist() for c in ("hub", "salt", "node")))):
@@ -196,7 +203,7 @@ def _confirm(width: int, percent: int):
                     at, own = (hub, salt), have
                     if node == hub:
                         continue
-                both = len(own) + len(have) - len(np.union1d(own, have))
+                both = len(np.intersect1d(own, have, assume_unique=True))
                 if 100 * both >= percent * (len(own) + len(have) - both):
                     a.append(hub)
                     b.append(node)
@@ -205,6 +212,17 @@ def _confirm(width: int, percent: int):
     return run
 
 
+def _shared_bands(many):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            band = b.column("bands").flatten().to_numpy()
+            hit = np.flatnonzero(bitmap.may_contain(many.value, band))
+            of = pa.array(hit // BANDS)
+            yield pa.RecordBatch.from_arrays([pa.array(band[hit]), b.column("rep").take(of)], ["band", "rep"])
+
+    return run
+
+
 def confirm(docs: DataFrame, pairs: DataFrame, width: int, percent: int) -> DataFrame:
     """The rows of ``pairs`` (a, b: distinct doc_ids, a the hub) whose full sets have the similarity; written once.
 
@@ -213,8 +231,9 @@ def confirm(docs: DataFrame, pairs: DataFrame, width: int, percent: int) -> Data
     many = pairs.groupBy("a").agg(F.count("*").alias("n")).select("a", F.ceil(F.col("n") / HUB_CHUNK).cast("int").alias("salts"))
     members = pairs.join(many, "a").select(F.col("b").alias("node"), F.col("a").alias("hub"), F.pmod(F.xxhash64("b"), F.col("salts")).cast("int").alias("salt"))
     hubs = many.select(F.col("a").alias("node"), F.col("a").alias("hub"), F.explode(F.sequence(F.lit(0), F.col("salts") - 1)).alias("salt"))
-    asked = members.unionByName(hubs)
-    bodies = texts(docs).filter(F.col("doc_id").isNotNull()).mapInArrow(_compress, "doc_id bigint, body binary")
+    asked = cut(members.unionByName(hubs), "asked")
+    nodes = docs.sparkSession.sparkContext.broadcast(bitmap.build(asked, "node"))
+    bodies = texts(docs).filter(F.col("doc_id").isNotNull()).mapInArrow(_compress(nodes), "doc_id bigint, body binary")
     rows = bodies.join(asked, bodies["doc_id"] == asked["node"]).select("hub", "salt", "node", "body")
     placed = rows.repartition("hub", "salt").sortWithinPartitions("hub", "salt", F.col("node") != F.col("hub"))
     return cut(placed.mapInArrow(_confirm(width, percent), "a bigint, b bigint").distinct(), "links")
@@ -226,29 +245,28 @@ def near_dup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", wi
     signed = cut(texts(docs).mapInArrow(_sign(width), "doc_id bigint, n bigint, key binary, bands array<bigint>, packed array<bigint>"), "signatures")
     classes = signed.filter(F.col("key").isNotNull() & F.col("doc_id").isNotNull()).groupBy("key")
     reps = cut(classes.agg(F.min("doc_id").alias("rep"), F.first("bands").alias("bands"), F.first("packed").alias("packed")), "classes")
-    at_band = reps.select(F.explode("bands").alias("band"), "rep")
-    hubs = at_band.groupBy("band").agg(F.min("rep").alias("hub"), F.count("*").alias("n")).filter("n > 1").select("band", "hub")
+    hubs = reps.select(F.explode("bands").alias("band"), "rep").groupBy("band").agg(F.min("rep").alias("hub"), F.count("*").alias("n"))
+    hubs = cut(hubs.filter("n > 1").select("band", "hub"), "hubs")
+    many = docs.sparkSession.sparkContext.broadcast(bitmap.build(hubs, "band"))
+    at_band = reps.mapInArrow(_shared_bands(many), "band bigint, rep bigint")
     shared = cut(at_band.join(hubs, "band"), "bands")  # members of band values that several classes have
     least = percent / 100 - MARGIN
     longs = HASHES // _PER_LONG
     by = reps.select("rep", "packed")
-
-    def likely(pairs: DataFrame) -> DataFrame:
-        """Distinct (a, b) whose estimated similarity is near the threshold or above."""
-        a, b = by.toDF("a", "packed_a"), by.toDF("b", "packed_b")
-        return pairs.distinct().join(a, "a").join(b, "b").filter(estimate(F.col("packed_a"), F.col("packed_b"), longs, BITS) >= least).select("a", "b")
-
-    first = likely(shared.filter("rep <> hub").select(F.col("hub").alias("a"), F.col("rep").alias("b")))
-    tried = cut(first.groupBy("b").agg(F.min("a").alias("a")).select("a", "b"), "tried")  # each member and its least likely hub
+    first = shared.filter("rep <> hub").groupBy("rep").agg(F.min("hub").alias("hub")).join(by, "rep")  # each member and its least hub
+    near = (F.col("hub") == F.col("h")) & (estimate(F.col("packed"), F.col("packed_h"), longs, BITS) >= least)
+    tried = cut(first.join(by.toDF("h", "packed_h"), near).select(F.col("hub").alias("a"), F.col("rep").alias("b")), "tried")
     links = confirm(docs, tried, width, percent)
     found = components(links)
 
-    named = shared.select("band", "rep").join(found, F.col("rep") == F.col("node"), "left").select("band", "rep", F.coalesce("component", "rep").alias("component"))
+    named = shared.join(found, F.col("rep") == F.col("node"), "left").select("band", "rep", F.coalesce("component", "rep").alias("component"))
     mixed = named.groupBy("band").agg(F.min("component").alias("low"), F.max("component").alias("high")).filter("low <> high").select("band")
-    open_ = named.join(mixed, "band").join(by, "rep")
-    x, y = open_.toDF("rep_a", "band", "of_a", "packed_a"), open_.toDF("rep_b", "band_b", "of_b", "packed_b")
-    across = (F.col("band") == F.col("band_b")) & (F.col("of_a") < F.col("of_b")) & (estimate(F.col("packed_a"), F.col("packed_b"), longs, BITS) >= least)
-    rest = x.join(y, across).select(F.least("rep_a", "rep_b").alias("a"), F.greatest("rep_a", "rep_b").alias("b")).distinct()
+    open_ = named.join(mixed, "band").join(reps, "rep").select("rep", "band", "component", "packed", "bands")
+    x, y = (open_.select(*(F.col(c).alias(f"{c}_{s}") for c in open_.columns)) for s in "xy")
+    across = (F.col("band_x") == F.col("band_y")) & (F.col("component_x") < F.col("component_y"))
+    across &= estimate(F.col("packed_x"), F.col("packed_y"), longs, BITS) >= least
+    across &= F.array_min(F.array_intersect("bands_x", "bands_y")) == F.col("band_x")  # each pair at one of its bands
+    rest = x.join(y, across).select(F.least("rep_x", "rep_y").alias("a"), F.greatest("rep_x", "rep_y").alias("b"))
     rest = cut(rest.join(tried, ["a", "b"], "left_anti"), "across")
     if not rest.isEmpty():
         more = confirm(docs, rest, width, percent)
