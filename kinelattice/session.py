@@ -22,7 +22,7 @@ def importable(spark: SparkSession) -> None:
     (``--py-files`` or an installed wheel); in local mode the workers only inherit PYTHONPATH, so the source root is
     added for functions made from now on. Arrow batches are held to 16 MB where the session has Spark's default of 64.
     """
-    if spark.conf.get(_BATCH_BYTES, "") == "67108864b":
+    if spark.conf.get(_BATCH_BYTES, None) == "67108864b":
         spark.conf.set(_BATCH_BYTES, "16m")
     env = spark.sparkContext.environment
     paths = [p for p in (env.get("PYTHONPATH"), os.environ.get("PYTHONPATH")) if p]
