@@ -144,7 +144,9 @@ def _reassemble(finisher: Callable[[], Callable[[int | None, np.ndarray], list[t
         finish = finisher()
         at, flat, start, size = None, None, None, None
         for batch in batches:
-            for words, block, doc_ids, a, b in zip(*(batch.column(c).to_pylist() for c in ("words", "block", "doc_ids", "a", "b"))):
+            columns = [batch.column(c) for c in ("words", "block", "doc_ids", "a", "b")]
+            for k in range(batch.num_rows):  # large values, taken out one by one
+                words, block, doc_ids, a, b = (c[k].as_py() for c in columns)
                 if block != at:
                     at, flat, start, size = block, [], None, None
                 if words:

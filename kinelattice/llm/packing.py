@@ -13,7 +13,9 @@ empty table gives no rows.
 
 from __future__ import annotations
 
+import os
 import zlib
+from array import array
 from collections.abc import Iterator
 
 import numpy as np
@@ -27,6 +29,13 @@ from kinelattice.llm.distinct_words import encode_words
 from kinelattice.session import cut
 
 CAPACITY = 2048
+#: The tokenizer of each file, read once in each process.
+_loaded: dict[str, Tokenizer] = {}
+
+
+def _split(body: bytes) -> list[bytes]:
+    """Words in lower case (A-Z), as the tokenizer takes them: fewer distinct ones."""
+    return body.lower().split()
 
 
 def _encoder(path: str):
@@ -36,9 +45,12 @@ def _encoder(path: str):
     """
 
     def make():
-        tokenizer = Tokenizer.from_file(path)
-        tokenizer.encode_special_tokens = True
-        return lambda words: [np.array(e.ids, "<u4").tobytes() for e in tokenizer.encode_batch_fast([w.decode() for w in words], add_special_tokens=False)]
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"  # one task, one thread
+        if path not in _loaded:
+            _loaded[path] = Tokenizer.from_file(path)
+            _loaded[path].encode_special_tokens = True
+        tokenizer = _loaded[path]
+        return lambda words: [array("I", e.ids).tobytes() for e in tokenizer.encode_batch_fast([w.decode() for w in words], add_special_tokens=False)]
 
     return make
 
@@ -69,7 +81,7 @@ def _piecer(end_id: int, capacity: int, keep_ids: bool):
 def pieces(docs: DataFrame, path: str, end_id: int = 0, capacity: int = CAPACITY, keep_ids: bool = False) -> DataFrame:
     """Token pieces of all texts; ``rank`` numbers the pieces of one length within one task."""
     kinds = [pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.int64(), pa.binary()]
-    return encode_words(docs, bytes.split, _encoder(path), _piecer(end_id, capacity, keep_ids), _DDL, _PIECE, kinds)
+    return encode_words(docs, _split, _encoder(path), _piecer(end_id, capacity, keep_ids), _DDL, _PIECE, kinds, block_bytes=24 << 20)
 
 
 class _Lengths:
@@ -104,13 +116,17 @@ class _Lengths:
                 return got
         return None
 
-    def exact(self, opener: int, gap: int) -> tuple[int, ...] | None:
-        """A pattern of ``opener`` and one, two or three available lengths that fill ``gap``."""
+    def exact(self, opener: int, gap: int, most: int) -> tuple[int, ...] | None:
+        """A pattern of ``opener`` and up to ``most`` (of three) available lengths that fill ``gap``."""
         if self.count[gap] and self.times((opener, gap)):
             return (opener, gap)
+        if most == 1:
+            return None
         sums = self.pair_sums()
         if sums[gap] and (got := self._pair(gap, (opener,))):
             return got
+        if most == 2:
+            return None
         third = np.flatnonzero((self.count[1:gap] > 0) & sums[gap - 1 : 0 : -1]) + 1
         for c in third.tolist():
             if self.times((opener, c)) and (got := self._pair(gap - c, (opener, c))):
@@ -119,13 +135,21 @@ class _Lengths:
 
 
 def plan(count: np.ndarray, capacity: int = CAPACITY) -> list[tuple[tuple[int, ...], int]]:
-    """Patterns of lengths (each at most ``capacity`` in sum) and how often each is used; ``count[n]`` pieces of n tokens."""
+    """Patterns of lengths (each at most ``capacity`` in sum) and how often each is used; ``count[n]`` pieces of n tokens.
+
+    Small pieces that fill gaps early can be missed later, so complements of up to three, two and one pieces are tried
+    in full and the plan with the fewest sequences is taken.
+    """
+    return min((_plan(count, capacity, most) for most in (3, 2, 1)), key=lambda p: sum(times for _, times in p))
+
+
+def _plan(count: np.ndarray, capacity: int, most: int) -> list[tuple[tuple[int, ...], int]]:
     left = _Lengths(np.array(count, np.int64))
     out: list[tuple[tuple[int, ...], int]] = []
     rest: list[tuple[int, int]] = []
     for n in range(capacity, 0, -1):
         while left.count[n]:
-            pattern = (n,) if n == capacity else left.exact(n, capacity - n)
+            pattern = (n,) if n == capacity else left.exact(n, capacity - n, most)
             if pattern is None:
                 rest.append((n, int(left.count[n])))
                 left.take((n,), int(left.count[n]))
