@@ -49,10 +49,9 @@ def _print(edges: DataFrame) -> tuple:
 def components(edges: DataFrame) -> DataFrame:
     """(node, component) for the nodes of ``edges`` (a, b: bigint) that are not the least of their component."""
     importable(edges.sparkSession)
-    given = cut(edges.filter("a <> b").select("a", "b"), "edges")
+    given = edges.select("a", "b") if hasattr(edges, "_kl_path") else cut(edges.select("a", "b"), "edges")
     tasks = -(-given.count() // EDGES_PER_TASK) or 1
-    now = cut(given.repartition(tasks).mapInArrow(_union_find, "a bigint, b bigint"), "edges")
-    drop(given)
+    now = cut(given.filter("a <> b").repartition(tasks).mapInArrow(_union_find, "a bigint, b bigint"), "edges")
     mark = _print(now) if tasks > 1 else None
     while mark and mark[0]:
         both = now.select(F.col("a").alias("u"), F.col("b").alias("v")).unionByName(now.select(F.col("b").alias("u"), F.col("a").alias("v")))

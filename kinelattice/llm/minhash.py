@@ -38,8 +38,8 @@ BANDS, ROWS = 32, 4
 HASHES, BITS = 512, 4
 #: Candidates are confirmed from four deviations below the threshold.
 MARGIN = 0.08
-#: Members that one task confirms against a copy of their hub.
-HUB_CHUNK = 1024
+#: A hub's members are confirmed by up to so many tasks, each with a copy of the hub.
+HUB_SALTS = 64
 _M1, _M2 = np.uint64(0xFF51AFD7ED558CCD), np.uint64(0xC4CEB9FE1A85EC53)
 _BASE = 0x9E3779B97F4A7C15
 _PER_LONG = 64 // BITS
@@ -226,17 +226,16 @@ def _shared_bands(many):
 def confirm(docs: DataFrame, pairs: DataFrame, width: int, percent: int) -> DataFrame:
     """The rows of ``pairs`` (a, b: distinct doc_ids, a the hub) whose full sets have the similarity; written once.
 
-    Hubs are repeated for chunks of their members, so a hub with many members is confirmed by many tasks.
+    A hub is repeated for every salt of its members, so a hub with many members is confirmed by many tasks.
     """
-    many = pairs.groupBy("a").agg(F.count("*").alias("n")).select("a", F.ceil(F.col("n") / HUB_CHUNK).cast("int").alias("salts"))
-    members = pairs.join(many, "a").select(F.col("b").alias("node"), F.col("a").alias("hub"), F.pmod(F.xxhash64("b"), F.col("salts")).cast("int").alias("salt"))
-    hubs = many.select(F.col("a").alias("node"), F.col("a").alias("hub"), F.explode(F.sequence(F.lit(0), F.col("salts") - 1)).alias("salt"))
+    members = pairs.select(F.col("b").alias("node"), F.col("a").alias("hub"), F.pmod(F.xxhash64("b"), F.lit(HUB_SALTS)).cast("int").alias("salt"))
+    hubs = members.select(F.col("hub").alias("node"), "hub", "salt").distinct()
     asked = cut(members.unionByName(hubs), "asked")
     nodes = docs.sparkSession.sparkContext.broadcast(bitmap.build(asked, "node"))
     bodies = texts(docs).filter(F.col("doc_id").isNotNull()).mapInArrow(_compress(nodes), "doc_id bigint, body binary")
     rows = bodies.join(asked, bodies["doc_id"] == asked["node"]).select("hub", "salt", "node", "body")
     placed = rows.repartition("hub", "salt").sortWithinPartitions("hub", "salt", F.col("node") != F.col("hub"))
-    return cut(placed.mapInArrow(_confirm(width, percent), "a bigint, b bigint").distinct(), "links")
+    return cut(placed.mapInArrow(_confirm(width, percent), "a bigint, b bigint"), "links")
 
 
 def near_dup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 5, percent: int = 75) -> DataFrame:
@@ -267,15 +266,14 @@ def near_dup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", wi
     across &= estimate(F.col("packed_x"), F.col("packed_y"), longs, BITS) >= least
     across &= F.array_min(F.array_intersect("bands_x", "bands_y")) == F.col("band_x")  # each pair at one of its bands
     rest = x.join(y, across).select(F.least("rep_x", "rep_y").alias("a"), F.greatest("rep_x", "rep_y").alias("b"))
-    rest = cut(rest.join(tried, ["a", "b"], "left_anti"), "across")
+    rest = cut(rest, "across")
     if not rest.isEmpty():
         more = confirm(docs, rest, width, percent)
         if not more.isEmpty():
             found = components(found.select(F.col("node").alias("a"), F.col("component").alias("b")).unionByName(more))
-    classes = reps.select("rep").join(found, F.col("rep") == F.col("node"), "left").select("rep", F.coalesce("component", "rep").alias("component"))
     drop(shared)
 
-    of_key = signed.filter("key is not null and doc_id is not null").groupBy("key").agg(F.min("doc_id").alias("rep")).join(classes.dropDuplicates(["rep"]), "rep").select("key", "component")
+    of_key = reps.select("key", "rep").join(found, F.col("rep") == F.col("node"), "left").select("key", F.coalesce("component", "rep").alias("component"))
     rows = signed.select("doc_id", "n", "key").join(of_key, "key", "left")
     own = F.when(F.col("doc_id").isNotNull(), F.coalesce("component", "doc_id"))
     return rows.select("doc_id", F.col("n").alias("n_shingles"), own.alias("component_id"), F.coalesce(F.col("doc_id") == own, F.lit(True)).alias("kept"))
