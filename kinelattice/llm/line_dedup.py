@@ -3,11 +3,12 @@
 Every line with a word gets a 64-bit id from its bytes (equal lines share it) and ``BANDS`` x ``ROWS`` minima over its
 character shingles. Band values travel packed to hash buckets; lines that share one are candidates: all pairs of up to
 ``SMALL`` lines, in larger runs each line with the run's first line and with its neighbours. Candidates are verified by exact
-Jaccard similarity, a distributed union-find (alternating stars) joins them, and of each component the first line of
-the corpus, by (doc_id, line number), stays.
+Jaccard similarity and a distributed union-find (alternating stars) joins them. Larger runs that still hold several
+components are then opened again and all their pairs across components are verified, block by block in many tasks, so
+every pair of lines that shares a band is either verified or in one component already. Of each component the first
+line of the corpus, by (doc_id, line number), stays.
 
-At similarity 0.8 a pair shares no band with probability 2e-3; in large runs a line meets other lines in each of its
-bands, which keeps components together. Where one chunk of texts holds more than ``LOCAL`` lines of one band value,
+At similarity 0.8 a pair shares no band with probability 2e-3. Where one chunk of texts holds more than ``LOCAL`` lines of one band value,
 their candidates are made there and only the first line goes on, so a frequent line makes no large bucket. Lines
 collide in their ids with probability n * n / 2**65.
 
@@ -29,10 +30,12 @@ from kinelattice.llm import bitmap
 from kinelattice.llm.components import components
 from kinelattice.llm.minhash import bands, minima, mix, segment_hashes
 from kinelattice.llm.textcols import ASCII_SPACE, in_chunks, texts
-from kinelattice.session import cut
+from kinelattice.session import cut, drop
 
 BANDS, ROWS, WIDTH = 12, 4, 7
 SMALL, LOCAL = 8, 64
+#: Lines and bytes of a block; two blocks of a large run are compared in one go.
+BLOCK, BLOCK_BYTES = 512, 1 << 18
 _C = np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -84,14 +87,26 @@ def line_shingles(lines: list[bytes], bits: int = 64) -> tuple[np.ndarray, np.nd
     return h, n
 
 
-def _pairs(band: np.ndarray, ids: np.ndarray, most: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Candidates among the entries of runs of at least ``most`` equal bands, and a mask of the entries in other runs."""
+def _runs(band: np.ndarray, ids: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """The distinct entries by band and id, where each stood, and the start and size of every run of equal bands."""
     order = np.lexsort((ids, band))
     band, ids = band[order], ids[order]
     new = np.concatenate([[True], (band[1:] != band[:-1]) | (ids[1:] != ids[:-1])]) if len(band) else np.zeros(0, bool)
     band, ids, order = band[new], ids[new], order[new]
     start = np.flatnonzero(np.concatenate([[True], band[1:] != band[:-1]])) if len(band) else np.zeros(0, np.int64)
-    size = np.diff(np.append(start, len(band)))
+    return band, ids, order, start, np.diff(np.append(start, len(band)))
+
+
+def _large(band: np.ndarray, ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The distinct entries of the runs whose pairs are not all candidates."""
+    band, ids, _, _, size = _runs(band, ids)
+    hit = np.repeat(size, size) > SMALL
+    return band[hit], ids[hit]
+
+
+def _pairs(band: np.ndarray, ids: np.ndarray, most: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Candidates among the entries of runs of at least ``most`` equal bands, and a mask of the entries in other runs."""
+    band, ids, order, start, size = _runs(band, ids)
     at = np.arange(len(band)) - np.repeat(start, size)
     big = np.repeat(size, size) >= most
     a, b = [], []
@@ -108,6 +123,7 @@ def _pairs(band: np.ndarray, ids: np.ndarray, most: int) -> tuple[np.ndarray, np
 
 
 _SENT = "bucket int, bands binary, ids binary"
+_MET = ["run", "a", "b"]
 
 
 def _packed(bucket: int, x: np.ndarray, y: np.ndarray) -> pa.RecordBatch:
@@ -160,19 +176,23 @@ def _send(buckets: int):
 
 
 def _meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Candidates of the buckets in this partition."""
+    """Candidates (a, b) of the buckets in this partition, and the members (run, a) of its large runs."""
+    none = lambda n: pa.nulls(n, pa.int64())
     held: dict[int, list] = {}
     for batch in batches:
         for bucket, x, y in zip(*(batch.column(c).to_pylist() for c in ("bucket", "bands", "ids"))):
             if bucket < 0:
-                yield pa.RecordBatch.from_arrays([pa.array(np.frombuffer(x, np.int64)), pa.array(np.frombuffer(y, np.int64))], ["a", "b"])
+                yield pa.RecordBatch.from_arrays([none(len(x) // 8), pa.array(np.frombuffer(x, np.int64)), pa.array(np.frombuffer(y, np.int64))], _MET)
             else:
                 held.setdefault(bucket, []).append((np.frombuffer(x, np.uint32), np.frombuffer(y, np.int64)))
-    for parts in held.values():
-        a, b, _ = _pairs(np.concatenate([p[0] for p in parts]), np.concatenate([p[1] for p in parts]), 2)
+    for bucket, parts in held.items():
+        band, ids = (np.concatenate([p[k] for p in parts]) for k in (0, 1))
+        a, b, _ = _pairs(band, ids, 2)
         low, high = np.minimum(a, b), np.maximum(a, b)
         once = np.unique(np.column_stack([low, high]), axis=0) if len(low) else np.zeros((0, 2), np.int64)
-        yield pa.RecordBatch.from_arrays([pa.array(once[:, 0]), pa.array(once[:, 1])], ["a", "b"])
+        yield pa.RecordBatch.from_arrays([none(len(once)), pa.array(once[:, 0]), pa.array(once[:, 1])], _MET)
+        band, ids = _large(band, ids)
+        yield pa.RecordBatch.from_arrays([pa.array(band.astype(np.int64) | bucket << 32), pa.array(ids), none(len(ids))], _MET)
 
 
 def _occurrences(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -214,13 +234,100 @@ def _sorted(x: np.ndarray) -> np.ndarray:
     return x[np.append(True, x[1:] != x[:-1])]
 
 
+def _compare(cell: pa.Table, percent: int) -> tuple[list[int], list[int]]:
+    """Links between the components of two blocks (x, y; the same one twice on the diagonal), from all pairs across."""
+    x, y, block = (cell.column(c).to_numpy() for c in ("x", "y", "block"))
+    values, n = line_shingles(cell.column("line").to_pylist())
+    kinds, code = np.unique(values, return_inverse=True)
+    mine = np.unique(np.repeat(np.arange(len(n)), n) * len(kinds) + code)
+    count = np.bincount(mine // len(kinds), minlength=len(n))
+    order = np.lexsort((count, block != x))  # block x, then block y, each by the number of distinct shingles
+    rank = np.empty(len(n), np.int64)
+    rank[order] = np.arange(len(n))
+    mine = np.sort(rank[mine // len(kinds)] * len(kinds) + mine % len(kinds))
+    code, count = mine % len(kinds), count[order]
+    ids, label = (cell.column(c).to_numpy()[order] for c in ("id", "component"))
+    end = np.cumsum(count)
+    start, has, diagonal = end - count, np.zeros(len(kinds), np.int32), x[0] == y[0]
+    n_x = int(np.count_nonzero(block == x))
+    first, a, b = 0 if diagonal else n_x, [], []
+    for k in range(n_x):
+        low = k + 1 if diagonal else first + int(np.searchsorted(100 * count[first:], percent * count[k]))
+        high = first + int(np.searchsorted(percent * count[first:], 100 * count[k], "right"))
+        if low >= high or (label[low:high] == label[k]).all():
+            continue
+        own = code[start[k] : end[k]]
+        has[own] = 1
+        both = np.add.reduceat(has[code[start[low] : end[high - 1]]], start[low:high] - start[low])
+        has[own] = 0
+        hit = low + np.flatnonzero((100 * both >= percent * (count[k] + count[low:high] - both)) & (label[low:high] != label[k]))
+        joined, at = np.unique(label[hit], return_index=True)
+        a += [int(ids[k])] * len(joined)
+        b += ids[hit[at]].tolist()
+        if len(joined):
+            label[np.isin(label, joined)] = label[k]
+    return a, b
+
+
+def _cells(percent: int):
+    """Rows sorted by (run, x, y): links from each cell's pairs across components."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        at, held = None, []
+
+        def done() -> pa.RecordBatch:
+            a, b = _compare(pa.Table.from_batches(held), percent)
+            return pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], ["a", "b"])
+
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            keys = np.column_stack([batch.column(c).to_numpy() for c in ("run", "x", "y")])
+            edge = [0, *(np.flatnonzero((keys[1:] != keys[:-1]).any(axis=1)) + 1).tolist(), len(keys)]
+            for low, high in zip(edge, edge[1:]):
+                if (key := tuple(keys[low].tolist())) != at:
+                    if held:
+                        yield done()
+                    at, held = key, []
+                held.append(batch.slice(low, high - low))
+        if held:
+            yield done()
+
+    return run
+
+
+def _across(runs: DataFrame, found: DataFrame, lines: DataFrame, percent: int) -> DataFrame:
+    """Links (a, b) between the components that one run (run, id) holds, from all its pairs across components.
+
+    The lines of a run outside its largest component meet all others. They fill blocks 0 .. less - 1, the largest
+    component fills the blocks after them; a line goes to every cell (x, y), x <= y and x < less, of its block.
+    """
+    named = runs.join(found, F.col("id") == F.col("node"), "left").select("run", "id", F.coalesce("component", "id").alias("component"))
+    named = cut(named.join(lines.select("id", F.length("line").alias("bytes")), "id"), "line-named")
+    parts = named.groupBy("run", "component").agg(F.struct(F.count("*").alias("n"), F.sum("bytes").alias("bytes"), "component").alias("part"))
+    whole = parts.groupBy("run").agg(F.max("part").alias("top"), F.sum("part.n").alias("n"), F.sum("part.bytes").alias("bytes")).filter("n > top.n")
+    blocks = lambda n, size: F.ceil(F.greatest(n / BLOCK, size / BLOCK_BYTES))
+    whole = whole.select("run", F.col("top.component").alias("top"), blocks(F.col("n") - F.col("top.n"), F.col("bytes") - F.col("top.bytes")).alias("less"), blocks(F.col("top.n"), F.col("top.bytes")).alias("more"))
+    spot = F.xxhash64("id")
+    block = F.when(F.col("component") == F.col("top"), F.col("less") + F.pmod(spot, "more")).otherwise(F.pmod(spot, "less"))
+    placed = named.join(whole, "run").withColumn("block", block)
+    cell = lambda x, y: F.struct(x.cast("bigint").alias("x"), y.cast("bigint").alias("y"))
+    as_y = F.transform(F.sequence(F.lit(0), F.least("block", F.col("less") - 1)), lambda x: cell(x, F.col("block")))
+    last = F.col("less") + F.col("more") - 1
+    as_x = F.when(F.col("block") < F.col("less"), F.transform(F.sequence(F.col("block") + 1, last), lambda y: cell(F.col("block"), y)))
+    cells = placed.select("run", "block", "id", "component", F.explode(F.concat(as_y, F.coalesce(as_x, F.array().cast("array<struct<x:bigint,y:bigint>>")))).alias("cell"))
+    rows = cells.join(lines, "id").select("run", "cell.x", "cell.y", "block", "id", "component", "line")
+    return rows.repartition("run", "x", "y").sortWithinPartitions("run", "x", "y").mapInArrow(_cells(percent), "a bigint, b bigint")
+
+
 def similar_lines(docs: DataFrame, percent: int = 80) -> DataFrame:
     """(node, component): ids of lines that are not the least of their component of similar lines."""
     spark = docs.sparkSession
     n = int(spark.conf.get("spark.sql.shuffle.partitions"))
     body = texts(docs).filter("doc_id is not null")
     sent = body.select("doc_id", "body").mapInArrow(_send(4 * n), _SENT)
-    pairs = cut(sent.repartition(n, "bucket").mapInArrow(_meet, "a bigint, b bigint").filter("a <> b").distinct(), "line-pairs")
+    met = cut(sent.repartition(n, "bucket").mapInArrow(_meet, "run bigint, a bigint, b bigint"), "line-runs")
+    pairs = cut(met.filter("run is null and a <> b").select("a", "b").distinct(), "line-pairs")
     nodes = pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct()
     asked = spark.sparkContext.broadcast(bitmap.build(nodes, "id"))
 
@@ -234,7 +341,12 @@ def similar_lines(docs: DataFrame, percent: int = 80) -> DataFrame:
     found = cut(found, "line-texts")
     both = pairs.join(found.toDF("a", "text_a"), "a").join(found.toDF("b", "text_b"), "b")
     links = cut(both.repartition("a").sortWithinPartitions("a").mapInArrow(_verify(percent), "a bigint, b bigint"), "line-links")
-    return components(links)
+    linked = components(links)
+    more = cut(_across(met.filter("run is not null").select("run", F.col("a").alias("id")), linked, found, percent), "line-across")
+    drop(met)
+    if more.isEmpty():
+        return linked
+    return components(linked.select(F.col("node").alias("a"), F.col("component").alias("b")).unionByName(more))
 
 
 def line_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", percent: int = 80) -> DataFrame:

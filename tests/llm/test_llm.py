@@ -209,6 +209,36 @@ def test_line_pairs_local_and_large():
     assert rest[0] and rest[100] and rest[102] and not rest[5]
 
 
+def star(n=250):
+    """A line and n variants, each similar to the line and (nearly all) not to one another; the line is not the first."""
+    rng = random.Random(11)
+    line = [chr(97 + rng.randrange(26)) for _ in range(2000)]
+    rows = []
+    for k in range(n):
+        own = list(line)
+        for j in rng.sample(range(2000), 20):
+            own[j] = "#"
+        rows.append((k, "".join(own)))
+    return [*rows, (n, "".join(line))]
+
+
+def assert_lines_equal_brute_force(rows, docs):
+    sets = [frozenset(x[j : j + 7] for j in range(len(x) - 6)) for _, x in rows]
+    label = list(range(len(rows)))
+    for a in range(len(rows)):
+        for b in range(a):
+            if label[a] != label[b] and 100 * len(sets[a] & sets[b]) >= 80 * len(sets[a] | sets[b]):
+                low, high = sorted((label[a], label[b]))
+                label = [low if x == high else x for x in label]
+    got = {r["doc_id"]: r["dropped"] for r in line_dedup.line_dedup(docs).collect()}
+    assert got == {i: [0] if label[k] != k else [] for k, (i, _) in enumerate(rows)}
+
+
+def test_line_dedup_star_of_variants(spark):
+    rows = star()
+    assert_lines_equal_brute_force(rows, frame(spark, rows).repartition(8))
+
+
 def test_suffix_dedup_equals_brute_force(spark, docs, corpus):
     texts = [(t or "").encode() for _, t in corpus]
     count = collections.Counter(b[k : k + 200] for b in texts for k in range(len(b) - 199))
