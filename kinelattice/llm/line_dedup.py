@@ -8,9 +8,9 @@ components are then opened again and all their pairs across components are verif
 every pair of lines that shares a band is either verified or in one component already. Of each component the first
 line of the corpus, by (doc_id, line number), stays.
 
-At similarity 0.8 a pair shares no band with probability 2e-3. Where one chunk of texts holds more than ``LOCAL`` lines of one band value,
-their candidates are made there and only the first line goes on, so a frequent line makes no large bucket. Lines
-collide in their ids with probability n * n / 2**65.
+At similarity 0.8 a pair shares no band with probability 2e-3. Every distinct line of a chunk goes to all its buckets,
+so the result does not depend on how the input is partitioned; a frequent line is sent once by each task, and a band
+value of many lines is one packed array of 12 bytes a line. Lines collide in their ids with probability n * n / 2**65.
 
 Edge cases: null and empty texts have no lines; lines without a word are never dropped; lines shorter than a shingle
 are one shingle; repeated lines of one text count; rows with a null doc_id keep all lines; repeated rows share their
@@ -33,7 +33,7 @@ from kinelattice.llm.textcols import ASCII_SPACE, in_chunks, texts
 from kinelattice.session import cut, drop
 
 BANDS, ROWS, WIDTH = 12, 4, 7
-SMALL, LOCAL = 8, 64
+SMALL = 8
 #: Lines and bytes of a block; two blocks of a large run are compared in one go.
 BLOCK, BLOCK_BYTES = 512, 1 << 18
 _C = np.uint64(0x9E3779B97F4A7C15)
@@ -131,7 +131,7 @@ def _packed(bucket: int, x: np.ndarray, y: np.ndarray) -> pa.RecordBatch:
 
 
 def _send(buckets: int):
-    """Per chunk and bucket the packed (band, line id) entries; bucket -1 holds candidates made on the spot."""
+    """Per chunk and bucket the packed (band, line id) entries."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: set[int] = set()
@@ -140,11 +140,6 @@ def _send(buckets: int):
 
         def flush() -> Iterator[pa.RecordBatch]:
             band, ids = (np.concatenate([h[k] for h in held]) for k in (0, 1))
-            a, b, rest = _pairs(band, ids, LOCAL)
-            if len(a):
-                yield _packed(-1, a, b)
-            kept = np.flatnonzero(rest)
-            band, ids = band[kept], ids[kept]
             bucket = ((band.view(np.uint64) >> np.uint64(32)) % np.uint64(buckets)).astype(np.int64)
             order = np.argsort(bucket, kind="stable")
             for part in np.split(order, np.flatnonzero(np.diff(bucket[order])) + 1):
@@ -181,10 +176,7 @@ def _meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     held: dict[int, list] = {}
     for batch in batches:
         for bucket, x, y in zip(*(batch.column(c).to_pylist() for c in ("bucket", "bands", "ids"))):
-            if bucket < 0:
-                yield pa.RecordBatch.from_arrays([none(len(x) // 8), pa.array(np.frombuffer(x, np.int64)), pa.array(np.frombuffer(y, np.int64))], _MET)
-            else:
-                held.setdefault(bucket, []).append((np.frombuffer(x, np.uint32), np.frombuffer(y, np.int64)))
+            held.setdefault(bucket, []).append((np.frombuffer(x, np.uint32), np.frombuffer(y, np.int64)))
     for bucket, parts in held.items():
         band, ids = (np.concatenate([p[k] for p in parts]) for k in (0, 1))
         a, b, _ = _pairs(band, ids, 2)

@@ -239,6 +239,11 @@ def test_line_dedup_star_of_variants(spark):
     assert_lines_equal_brute_force(rows, frame(spark, rows).repartition(8))
 
 
+def test_line_dedup_star_in_one_chunk(spark):
+    rows = star()
+    assert_lines_equal_brute_force(rows, frame(spark, rows).coalesce(1))
+
+
 def test_suffix_dedup_equals_brute_force(spark, docs, corpus):
     texts = [(t or "").encode() for _, t in corpus]
     count = collections.Counter(b[k : k + 200] for b in texts for k in range(len(b) - 199))
