@@ -86,7 +86,7 @@ def correct_people(df: DataFrame, keys: list[str], frame: str, n_subjects: int,
     frame of the series stands in (empty at the start). Frames without detections need a row in ``df`` with NULL pos.
     """
     by = [*keys, frame]
-    sure = confident(df)
+    sure = confident(df, above=above)
     few = sure.groupBy(*by).agg(F.count(F.lit(1)).alias("n"))
     right = sure.join(few.filter(F.col("n") == n_subjects).select(*by), by, "left_semi")
     wrong = suppress_overlaps(sure.join(few.filter(F.col("n") != n_subjects).select(*by), by, "left_semi"), by, threshold)

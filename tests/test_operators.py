@@ -210,6 +210,28 @@ def test_detections(spark):
     assert sorted(r["subject"] for r in detections.assign_visible(df.filter("frame = 0"), ["camera", "frame"], vis, fallback=2).collect()) == [1, 1]
 
 
+def test_correct_people_above_equals_brute_force(spark):
+    rng = np.random.default_rng(3)
+    rows = []
+    for frame in range(60):
+        for pos in range(int(rng.integers(1, 5))):
+            x, y = (float(v) for v in rng.integers(0, 5, 2) * 20)
+            rows.append(("c", frame, pos, x, y, x + 10, y + 10, float(rng.integers(0, 100)) / 100))
+    df = spark.createDataFrame(rows, "camera string, frame int, pos int, x1 double, y1 double, x2 double, y2 double, score double")
+    assert sum(0.3 < r[-1] <= 0.7 for r in rows) > 20
+    want, last = {}, []
+    for frame in range(60):
+        own = [r for r in rows if r[1] == frame and r[-1] > 0.3]
+        if len(own) != 2 and own:
+            left = detections.kept_boxes(np.array([r[3:7] for r in own]), np.array([r[7] for r in own]), 0.9)
+            own = [own[k] for k in left]
+        if len(own) == 2:
+            last = [r[2] for r in sorted(own, key=lambda r: (r[3], r[2]))]
+        want[frame] = last
+    got = {r["frame"]: [p["pos"] for p in r["people"]] for r in detections.correct_people(df, ["camera"], "frame", 2, above=0.3).collect()}
+    assert got == want
+
+
 def test_calibration_and_triangulation(spark):
     r = np.array([0.1, -0.4, 0.2])
     m = cameras.rodrigues(r)
