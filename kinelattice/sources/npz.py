@@ -1,7 +1,7 @@
 """Array archives (.npz) as a Spark data source and sink.
 
 Every array starts with persons, cameras and frames; its ``data_description`` names the positions of each axis. Reading
-gives the packed form: one row per person, camera, frame and label, the last axis in ``v``. One input partition is one
+gives the packed form: one row per person, camera, frame and label, the last axis in ``v`` and its names in ``axis``. One input partition is one
 array of one file, and filters on ``array_name`` and ``component`` reach the planner, so arrays that nobody asks for
 are never opened. Descriptions may be JSON text or a pickled dict; pickles pass a reader that admits plain containers
 and arrays only.
@@ -26,7 +26,7 @@ from pyspark.sql.datasource import DataSource, DataSourceReader, EqualTo, Filter
 
 from kinelattice.session import importable
 
-SCHEMA = "path string, dataset string, session string, sequence string, component string, algorithm string, array_name string, person string, camera string, frame int, frame_idx int, label string, v array<double>, conf double"
+SCHEMA = "path string, dataset string, session string, sequence string, component string, algorithm string, array_name string, person string, camera string, frame int, frame_idx int, label string, v array<double>, conf double, axis array<string>"
 _ADMITTED = {("numpy.core.multiarray", "_reconstruct"), ("numpy._core.multiarray", "_reconstruct"), ("numpy", "ndarray"), ("numpy", "dtype"), ("numpy.core.multiarray", "scalar"), ("numpy._core.multiarray", "scalar")}
 _CONF = {"conf", "confidence", "confidence_score"}
 
@@ -129,6 +129,8 @@ class NpzReader(DataSourceReader):
         labels = [labels] if isinstance(labels, str) else labels
         last = names[-1] if data.ndim > 3 else None
         split = isinstance(last, (list, tuple)) and len(last) and str(last[-1]) in _CONF
+        shown = [last] if isinstance(last, str) else list(map(str, last)) if last is not None else []
+        shown = (shown[:-1] if split else shown) or None
         base = parse_path(partition.path)
         for i, person in enumerate(persons):
             for j, camera in enumerate(cameras):
@@ -144,6 +146,7 @@ class NpzReader(DataSourceReader):
                     "frame": pa.array(np.repeat(frame, k)), "frame_idx": pa.array(np.repeat(np.arange(n, dtype=np.int32), k)),
                     "label": pa.array(list(labels) * n if labels else [None] * n, pa.string()),
                     "v": pa.ListArray.from_arrays(pa.array(np.arange(n * k + 1, dtype=np.int32) * v.shape[1]), flat), "conf": pa.array(conf, from_pandas=True),
+                    "axis": pa.array([shown] * (n * k), pa.list_(pa.string())),
                 }
                 columns = same | own
                 order = [c.split(" ")[0] for c in SCHEMA.split(", ")]
@@ -201,7 +204,17 @@ def write_npz(values: DataFrame, root: str) -> DataFrame:
 
 
 def long_values(arrays: DataFrame, axis: DataFrame | None = None) -> DataFrame:
-    """Read metric archives in the long schema; the algorithm's ``__`` suffix is the metric type."""
+    """Read metric archives in the long schema; the algorithm's ``__`` suffix is the metric type.
+
+    The label is the array's own or, in grids [person, camera, frame, label], the last axis' name at pos; ``axis``
+    (pos, label) goes before the names in the archive.
+    """
     parts = F.split("algorithm", "__", 2)
     out = arrays.withColumns({"metric_type": F.try_element_at(parts, F.lit(2)), "algorithm": F.element_at(parts, 1), "metric_name": F.col("array_name")})
-    return out.select("metric_name", "dataset", "session", "sequence", "component", "algorithm", "metric_type", "person", "camera", "frame", "frame_idx", F.posexplode("v").alias("pos", "value"))
+    head = ["metric_name", "dataset", "session", "sequence", "component", "algorithm", "metric_type", "person", "camera"]
+    out = out.select(*head, "label", "axis", "frame", "frame_idx", F.posexplode("v").alias("pos", "value"))
+    names = [F.col("label"), F.get("axis", "pos")]
+    if axis is not None:
+        out = out.join(F.broadcast(axis.select("pos", F.col("label").alias("given"))), "pos", "left")
+        names.insert(1, F.col("given"))
+    return out.select(*head, F.coalesce(*names).alias("label"), "frame", "frame_idx", "pos", "value")

@@ -1,5 +1,6 @@
 """Archives, configuration, frames, calibration and streaming."""
 
+import itertools
 import json
 
 import numpy as np
@@ -64,6 +65,21 @@ def test_npz_round_trip(spark, tmp_path):
     assert view.aggregate("person").count() == 2
 
 
+def test_npz_round_trip_keeps_labels(spark, tmp_path):
+    rows = [("jpe", "d", "s", None, "body", "alg", "kp", p, c, f, l, float(k)) for k, (p, c, f, l) in enumerate(itertools.product("ab", ("c1", "c2"), (3, 4), ("nose", "hip", "knee")))]
+    schema = "metric_name string, dataset string, session string, sequence string, component string, algorithm string, metric_type string, person string, camera string, frame int, label string, value double"
+    npz.write_npz(spark.createDataFrame(rows, schema), str(tmp_path)).collect()
+    arrays = npz.read_npz(spark, str(tmp_path))
+    back = npz.long_values(arrays)
+    columns = [c.split(" ")[0] for c in schema.split(", ")]
+    assert sorted(map(str, map(tuple, back.select(*columns).collect()))) == sorted(map(str, rows))
+    view = Results.of(back)
+    assert "label" in view.levels and view.query(label="hip").view.count() == 8
+    assert view.aggregate(["label"]).count() == 3
+    axis = spark.createDataFrame([(0, "x"), (1, "y")], "pos int, label string")
+    assert {(r["pos"], r["label"]) for r in npz.long_values(arrays, axis).collect()} == {(0, "x"), (1, "y"), (2, "nose")}
+
+
 def test_placeholders():
     got = config.resolve({"v1": "a", "v2": "<v1>b", "v3": "<v2>c", "v4": {"x": ["<v3>d", 1]}})
     assert got["v4"] == {"x": ["abcd", 1]}
