@@ -86,6 +86,12 @@ def results_filter_dropna(spark, sf_dir):
     return _values(spark, sf_dir).query(metric_name="click", person=["1", "2", "3"]).to_dataframe(dropna=True)
 
 
+@query(f"SELECT metric_name, sequence, person, value FROM {_LONG} WHERE value IS NOT NULL")
+def results_dropna(spark, sf_dir):
+    """The rows with a value, of the whole table."""
+    return _values(spark, sf_dir).to_dataframe(dropna=True)
+
+
 # temporal -----------------------------------------------------------------------------------------------------------
 
 

@@ -41,6 +41,10 @@ def test_query(spark, sf, duck, name):
         assert len(got)
 
 
+def test_dropna_covers_the_whole_table(spark, sf, duck):
+    assert catalog.QUERIES["results_dropna"](spark, sf).count() == duck.execute("SELECT count(value) FROM events").fetchone()[0]
+
+
 def test_entry(spark):
     import __spark_entry__
 
