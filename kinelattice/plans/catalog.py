@@ -194,6 +194,18 @@ def frame_times(spark, sf_dir):
     return s.select("user_id", "frame", r6(temporal.frame_time(F.col("frame"), 30.0)).alias("seconds"), temporal.real_frame(F.col("frame"), 100).alias("real_frame"))
 
 
+@query(f"SELECT user_id, frame, round(frame / 30.0, 6) AS seconds, CAST(frame + 99 AS INT) AS real_frame FROM {_S}")
+def frame_times_all(spark, sf_dir):
+    """Times and real frame numbers of all frames."""
+    return _series(spark, sf_dir).select("user_id", "frame", r6(temporal.frame_time(F.col("frame"), 30.0)).alias("seconds"), temporal.real_frame(F.col("frame"), 100).alias("real_frame"))
+
+
+@query(f"SELECT user_id, frame, x FROM {_S} WHERE (frame - 1) % 5 = 0 AND frame >= 3")
+def every_nth_open(spark, sf_dir):
+    """Every fifth frame from the third on, without an upper bound."""
+    return temporal.every_nth(_series(spark, sf_dir), 5, 1, "frame").filter(align.frame_range(3, -1)).select("user_id", "frame", "x")
+
+
 # metrics and alignment ----------------------------------------------------------------------------------------------
 
 
@@ -444,6 +456,14 @@ def bodypart_means(spark, sf_dir):
     return fusion.bodypart_means(s, ["event_type", "frame"], "x", parts, "joint").withColumn("x", r6("x"))
 
 
+@query(f"SELECT event_type, frame, CASE WHEN user_id % 4 < 2 THEN 'arm' ELSE 'leg' END AS bodypart, round(avg(x), 6) AS x FROM {_S} GROUP BY ALL")
+def bodypart_means_all(spark, sf_dir):
+    """As bodypart_means, with a body part for each joint."""
+    parts = spark.createDataFrame([("arm", 0), ("arm", 1), ("leg", 2), ("leg", 3)], "bodypart string, joint long")
+    s = _series(spark, sf_dir).withColumn("joint", F.col("user_id") % 4)
+    return fusion.bodypart_means(s, ["event_type", "frame"], "x", parts, "joint").withColumn("x", r6("x"))
+
+
 @query()
 def leaning(spark, sf_dir):
     """Body angle over three midpoints of joints, with its gradient along the vectors of a label."""

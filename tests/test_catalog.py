@@ -45,6 +45,12 @@ def test_dropna_covers_the_whole_table(spark, sf, duck):
     assert catalog.QUERIES["results_dropna"](spark, sf).count() == duck.execute("SELECT count(value) FROM events").fetchone()[0]
 
 
+def test_frame_times_cover_all_frames(spark, sf, duck):
+    n = duck.execute("SELECT count(*) FROM events").fetchone()[0]
+    assert catalog.QUERIES["frame_times_all"](spark, sf).count() == n
+    assert catalog.QUERIES["every_nth_open"](spark, sf).filter("frame >= 63").count() > 0
+
+
 def test_entry(spark):
     import __spark_entry__
 
