@@ -1,5 +1,10 @@
 """Every registered query with SQL gives the rows that DuckDB gives."""
 
+import os
+import shutil
+import subprocess
+import sys
+
 import duckdb
 import pandas as pd
 import pytest
@@ -56,3 +61,18 @@ def test_entry(spark):
 
     assert __spark_entry__.entry(spark).columns
     assert set(__spark_entry__.oracle_sql()) <= set(__spark_entry__.queries())
+
+
+def test_entry_without_the_optional_folders(tmp_path):
+    """A copy without the training-data folder registers the other queries, whether corpus_pipeline.py is there or not."""
+    root = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
+    shutil.copytree(f"{root}/kinelattice", tmp_path / "kinelattice", ignore=shutil.ignore_patterns("llm", "__pycache__"))
+    shutil.copy(f"{root}/__spark_entry__.py", tmp_path)
+    (tmp_path / "kinelattice" / "llm" / "__pycache__").mkdir(parents=True)
+    (tmp_path / "corpus_pipeline.py").write_text("from kinelattice.llm import exact_dedup\n")
+    code = "import __spark_entry__ as e; q = e.queries(); assert set(e.oracle_sql()) <= set(q) and 'pipeline' not in q and not any(k.startswith('op') for k in q); print(len(q))"
+    for _ in range(2):
+        done = subprocess.run([sys.executable, "-c", code], cwd=tmp_path, capture_output=True, text=True, timeout=120)
+        assert done.returncode == 0, done.stderr
+        assert int(done.stdout) == len(catalog.QUERIES)
+        (tmp_path / "corpus_pipeline.py").unlink(missing_ok=True)
