@@ -1,19 +1,22 @@
 """Best-fit packing by exact-complement hashing.
 
-Distinct words are tokenized once for the corpus (see ``distinct_words``). Texts become token pieces of at most ``capacity`` tokens. Which lengths share a sequence depends on the histogram of
-lengths alone, at most ``capacity`` numbers, so it is solved once on the driver however many pieces there are: a piece
-opens a sequence, and a hash of available lengths, pair sums and triple sums finds combinations that fill its gap
-exactly, taken as often as their counts allow; what has no exact complement is placed by best fit. The plan is a list
-of patterns with multiplicities. Pieces find their place by rank within their length, computed from counts by
+Distinct words are tokenized once for the corpus (see ``distinct_words``). Texts, long ones too, become token pieces of
+at most ``capacity`` tokens, with the ids that the library gives by its defaults: its added tokens (``<|endoftext|>``)
+have their own ids in a text. Which lengths share a sequence depends on the histogram of lengths alone, at most
+``capacity`` numbers, so it is solved once on the driver however many pieces there are: a piece opens a sequence, and an
+index of single, pair and triple sums of the available lengths finds combinations that fill its gap exactly, taken as
+often as their counts allow; what has no exact complement is placed by best fit, the least gap left. Ties: the complement of fewest pieces,
+then the one with the largest piece (pairs) or the least (triples). The plan is a list of patterns with multiplicities. Pieces find their place by rank within their length, computed from counts by
 (length, task), so a length that a third of all pieces share is never gathered.
 
-Edge cases: a null or empty text is one piece of the end token; repeated rows are packed each; doc_id may be null; an
-empty table gives no rows.
+Edge cases: a null or empty text is one piece of the end token; repeated rows are packed each; doc_id may be null; other
+columns are not read, so their names never clash; an empty table gives no rows.
 """
 
 from __future__ import annotations
 
 import os
+import re
 import zlib
 from array import array
 from collections.abc import Iterator
@@ -30,12 +33,41 @@ from kinelattice.session import cut
 
 CAPACITY = 2048
 #: The tokenizer of each file, read once in each process.
-_loaded: dict[str, Tokenizer] = {}
+_loaded: dict[str, tuple[Tokenizer, re.Pattern | None, dict[bytes, bytes]]] = {}
 
 
-def _split(body: bytes) -> list[bytes]:
-    """Words in lower case (A-Z), as the tokenizer takes them: fewer distinct ones."""
-    return body.lower().split()
+def _vocabulary(path: str) -> tuple[Tokenizer, re.Pattern | None, dict[bytes, bytes]]:
+    """The tokenizer, a pattern for its added tokens, and their ids."""
+    if path not in _loaded:
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"  # one task, one thread
+        tokenizer = Tokenizer.from_file(path)
+        added = tokenizer.get_added_tokens_decoder()
+        if odd := [t.content for t in added.values() if t.normalized or t.lstrip or t.rstrip or t.single_word]:
+            raise ValueError(f"added tokens that depend on their surroundings: {odd}")
+        by_length = sorted((t.content.encode() for t in added.values()), key=len, reverse=True)
+        marks = re.compile(b"(" + b"|".join(map(re.escape, by_length)) + b")") if added else None
+        tokenizer.encode_special_tokens = True  # the words' own letters; added tokens are taken out of the text before
+        _loaded[path] = tokenizer, marks, {b" " + t.content.encode(): np.array([k], "<u4").tobytes() for k, t in added.items()}
+    return _loaded[path]
+
+
+def _splitter(path: str):
+    """Words in lower case (A-Z), as the tokenizer takes them: fewer distinct ones.
+
+    Added tokens of the vocabulary are found in the text as it is, as the library does; a leading space, which no word
+    has, tells them apart.
+    """
+
+    def split(body: bytes) -> list[bytes]:
+        marks = _vocabulary(path)[1]
+        if marks is None or not marks.search(body):
+            return body.lower().split()
+        out: list[bytes] = []
+        for k, part in enumerate(marks.split(body)):
+            out += [b" " + part] if k % 2 else part.lower().split()
+        return out
+
+    return split
 
 
 def _encoder(path: str):
@@ -45,12 +77,14 @@ def _encoder(path: str):
     """
 
     def make():
-        os.environ["TOKENIZERS_PARALLELISM"] = "false"  # one task, one thread
-        if path not in _loaded:
-            _loaded[path] = Tokenizer.from_file(path)
-            _loaded[path].encode_special_tokens = True
-        tokenizer = _loaded[path]
-        return lambda words: [array("I", e.ids).tobytes() for e in tokenizer.encode_batch_fast([w.decode() for w in words], add_special_tokens=False)]
+        tokenizer, _, added = _vocabulary(path)
+
+        def encode(words: list[bytes]) -> list[bytes]:
+            plain = [w for w in words if w not in added]
+            ids = iter(tokenizer.encode_batch_fast([w.decode() for w in plain], add_special_tokens=False))
+            return [added[w] if w in added else array("I", next(ids).ids).tobytes() for w in words]
+
+        return encode
 
     return make
 
@@ -81,103 +115,84 @@ def _piecer(end_id: int, capacity: int, keep_ids: bool):
 def pieces(docs: DataFrame, path: str, end_id: int = 0, capacity: int = CAPACITY, keep_ids: bool = False) -> DataFrame:
     """Token pieces of all texts; ``rank`` numbers the pieces of one length within one task."""
     kinds = [pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.int64(), pa.binary()]
-    return encode_words(docs, _split, _encoder(path), _piecer(end_id, capacity, keep_ids), _DDL, _PIECE, kinds, block_bytes=24 << 20)
+    return encode_words(docs, _splitter(path), _encoder(path), _piecer(end_id, capacity, keep_ids), _DDL, _PIECE, kinds, block_bytes=24 << 20)
 
 
 class _Lengths:
-    """Available pieces by length, with an index of the sums of two available lengths."""
+    """Available pieces by length, with an index of the sums of one, two and three of them.
+
+    Counts only fall, so a combination that its sum has passed over never becomes available again: the index holds, for
+    each sum, how far its combinations are used up, and a look-up goes on from there.
+    """
 
     def __init__(self, count: np.ndarray):
-        self.count = count
-        self._pairs: np.ndarray | None = None
+        self.count: list[int] = np.asarray(count).tolist()
+        self.pair_at: dict[int, int] = {}  # the larger length of the next pair
+        self.triple_at: dict[int, int] = {}  # the least length of the next triple
+        self.below = list(range(len(self.count)))  # the next sum, from here down, that may still be found
 
     def take(self, pattern: tuple[int, ...], times: int) -> None:
         for n in pattern:
             self.count[n] -= times
-            if not self.count[n]:
-                self._pairs = None  # a length ran out
 
     def times(self, pattern: tuple[int, ...]) -> int:
-        return min(int(self.count[n]) // pattern.count(n) for n in pattern)
-
-    def pair_sums(self) -> np.ndarray:
-        if self._pairs is None:
-            size = 2 * len(self.count)
-            spectrum = np.fft.rfft((self.count > 0).astype(float), size)
-            self._pairs = np.rint(np.fft.irfft(spectrum * spectrum, size)) > 0
-        return self._pairs
-
-    def _pair(self, total: int, base: tuple[int, ...]) -> tuple[int, ...] | None:
-        """``base`` and two available lengths of sum ``total``, the larger as large as can be."""
-        have = self.count[: total + 1] > 0
-        both = np.flatnonzero(have[(total + 1) // 2 :] & have[: total // 2 + 1][::-1]) + (total + 1) // 2
-        for a in both[::-1].tolist():
-            if self.times(got := (*base, a, total - a)):
-                return got
+        return min(self.count[n] // pattern.count(n) for n in set(pattern))
+
+    def single(self, total: int) -> tuple[int] | None:
+        return (total,) if self.count[total] else None
+
+    def _pair_from(self, total: int, a: int, beside: tuple[int, ...] = ()) -> int:
+        """The next larger member, from ``a`` down, of a pair that is available together with ``beside``."""
+        while 2 * a >= total and not self.times((a, total - a, *beside)):
+            a -= 1
+        return a
+
+    def pair(self, total: int) -> tuple[int, int] | None:
+        a = self.pair_at[total] = self._pair_from(total, self.pair_at.get(total, min(total, len(self.count)) - 1))
+        return (a, total - a) if 2 * a >= total else None
+
+    def triple(self, total: int) -> tuple[int, int, int] | None:
+        for c in range(self.triple_at.get(total, 1), total // 3 + 1):
+            if self.count[c] and (got := self.pair(total - c)):
+                a = self._pair_from(total - c, got[0], (c,))
+                if 2 * a >= total - c:
+                    self.triple_at[total] = c
+                    return (c, a, total - c - a)
+        self.triple_at[total] = total
         return None
 
-    def exact(self, opener: int, gap: int, most: int) -> tuple[int, ...] | None:
-        """A pattern of ``opener`` and up to ``most`` (of three) available lengths that fill ``gap``."""
-        if self.count[gap] and self.times((opener, gap)):
-            return (opener, gap)
-        if most == 1:
-            return None
-        sums = self.pair_sums()
-        if sums[gap] and (got := self._pair(gap, (opener,))):
-            return got
-        if most == 2:
-            return None
-        third = np.flatnonzero((self.count[1:gap] > 0) & sums[gap - 1 : 0 : -1]) + 1
-        for c in third.tolist():
-            if self.times((opener, c)) and (got := self._pair(gap - c, (opener, c))):
-                return got
-        return None
+    def complement(self, gap: int) -> tuple[int, ...]:
+        """One, two or three available lengths that fill ``gap`` exactly or, where none do, leave the least of it."""
+        total = gap
+        while total:
+            while self.below[total] != total:  # over the sums that are used up
+                self.below[total] = total = self.below[self.below[total]]
+            if not total or (got := self.single(total) or self.pair(total) or self.triple(total)):
+                break
+            self.below[total] = total - 1
+        return got if total else ()
 
 
 def plan(count: np.ndarray, capacity: int = CAPACITY) -> list[tuple[tuple[int, ...], int]]:
     """Patterns of lengths (each at most ``capacity`` in sum) and how often each is used; ``count[n]`` pieces of n tokens.
 
-    Small pieces that fill gaps early can be missed later, so complements of up to three, two and one pieces are tried
-    in full and the plan with the fewest sequences is taken.
+    The longest piece left opens a sequence, and the index gives what fills its gap exactly; what has no exact complement
+    is placed by best fit, the combination that leaves the least gap, until nothing fits. A pattern is repeated as often
+    as the counts allow.
     """
-    return min((_plan(count, capacity, most) for most in (3, 2, 1)), key=lambda p: sum(times for _, times in p))
-
-
-def _plan(count: np.ndarray, capacity: int, most: int) -> list[tuple[tuple[int, ...], int]]:
-    left = _Lengths(np.array(count, np.int64))
+    left = _Lengths(count)
     out: list[tuple[tuple[int, ...], int]] = []
-    rest: list[tuple[int, int]] = []
     for n in range(capacity, 0, -1):
         while left.count[n]:
-            pattern = (n,) if n == capacity else left.exact(n, capacity - n, most)
-            if pattern is None:
-                rest.append((n, int(left.count[n])))
-                left.take((n,), int(left.count[n]))
-                break
-            times = left.times(pattern)
-            out.append((pattern, times))
-            left.take(pattern, times)
-    open_by_gap: dict[int, list[tuple[tuple[int, ...], int]]] = {}
-    for n, many in rest:  # longest first, each into the fullest sequence that has room
-        while many:
-            gap = min((g for g in open_by_gap if g >= n), default=None)
-            if gap is None:
-                per = capacity // n  # equal pieces open sequences together
-                full, last = divmod(many, per)
-                for pattern, times in (((n,) * per, full), ((n,) * last, 1 if last else 0)):
-                    if times:
-                        open_by_gap.setdefault(capacity - n * len(pattern), []).append((pattern, times))
-                break
-            pattern, times = open_by_gap[gap].pop()
-            fit = min(gap // n, many)  # how many of them one sequence takes
-            use = min(times, many // fit)
-            if times > use:
-                open_by_gap[gap].append((pattern, times - use))
-            if not open_by_gap[gap]:
-                del open_by_gap[gap]
-            open_by_gap.setdefault(gap - n * fit, []).append((pattern + (n,) * fit, use))
-            many -= use * fit
-    return out + [x for same in open_by_gap.values() for x in same]
+            pattern, gap, more = (n,), capacity - n, (n,)
+            left.take(more, 1)
+            while more := left.complement(gap):
+                left.take(more, 1)
+                pattern, gap = pattern + more, gap - sum(more)
+            again = left.times(pattern)
+            left.take(pattern, again)
+            out.append((pattern, 1 + again))
+    return out
 
 
 class Places:

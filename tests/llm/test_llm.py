@@ -3,6 +3,7 @@
 import base64
 import collections
 import hashlib
+import itertools
 import random
 import re
 import zlib
@@ -291,9 +292,9 @@ def test_byte_bpe_equals_library(spark, docs, corpus):
 
 def test_packing(spark, docs, corpus):
     path = public_tokenizers.path("word_bpe_49k.json")
-    t = Tokenizer.from_file(path)
-    t.encode_special_tokens = True
-    extra = [(900, "<|endoftext|> Don't STOP now, 日本語 é!")]
+    t = Tokenizer.from_file(path)  # the library's own defaults
+    assert t.encode("a<|endoftext|>", add_special_tokens=False).ids[-1] == 49407
+    extra = [(900, "<|endoftext|> Don't STOP now, 日本語 é!"), (901, "a<|endoftext|>b <|ENDOFTEXT|> <|startoftext|><|endoftext|>"), (902, "<|endoftext|"), (903, "<|endoftext|>")]
     want = collections.Counter()
     for (i, text) in [*corpus, *extra]:
         ids = np.array([*t.encode(text or "", add_special_tokens=False).ids, 0], "<u4")
@@ -331,9 +332,26 @@ def test_plan_uses_every_piece_once(seed):
     assert (used == count).all()
     lower = max(-(-int((count * np.arange(101)).sum()) // 100), int(count[51:].sum()))
     assert sum(t for _, t in plan) <= lower * 1.05 + 1
+    sizes = [len(p) for p, _ in plan if sum(p) == 100]
+    assert {2, 3} <= set(sizes) or not seed % 2
     assert [p for p, _ in packing.plan(np.eye(1, 101, 100, dtype=np.int64)[0], 100)] == [(100,)] and packing.plan(np.zeros(101, np.int64), 100) == []
 
 
+@pytest.mark.parametrize("seed", range(4))
+def test_sum_index_finds_every_complement(seed):
+    """Single, pair and triple sums against all combinations, while counts fall."""
+    rng = random.Random(seed)
+    left = packing._Lengths(np.array([0, *(rng.choice([0, 0, 1, 1, 2]) for _ in range(40))]))
+    for _ in range(60):
+        gap = rng.randint(1, 40)
+        have = [n for n, k in enumerate(left.count) for _ in range(k)]
+        for size, found in ((2, left.pair(gap)), (3, left.triple(gap))):
+            want = any(sum(x) == gap for x in itertools.combinations(have, size))
+            assert bool(found) == want and (not found or (sum(found) == gap and left.times(found) > 0))
+        if have:
+            left.take((rng.choice(have),), 1)
+
+
 def test_quality_statistics():
     def brute(text):
         words = re.findall(r"[^\x20\x09-\x0D]+", text)
