@@ -1,15 +1,21 @@
 """Secret scans in DataFrame expressions only.
 
 Base patterns find assigned credentials, access keys and hexadecimal runs. A battery of randomness tests looks at
-every other long token: its encoding is inferred, then a chi-squared test of alphabet uniformity, a runs test about
-the middle of the alphabet and the lag-1 serial correlation are taken. A token counts as random when its alphabet use
-is significantly *more* uniform than text of that encoding could be (an equivalence test against a least deviation),
-and neither other test speaks against chance. Short tokens carry little evidence, so the false-discovery control is
-length-aware: Benjamini-Hochberg runs over all tokens of the corpus within each encoding and length band, from counts
-of binned p-values. Everything else is decided row by row, without a shuffle.
+every other token of 12 characters or more: its encoding is inferred, then three equivalence tests are taken, each of
+which has a small p-value where the token looks like chance: chi-squared for the uniformity of the alphabet (against a
+least deviation that text of that encoding has), runs about the middle of the alphabet, and lag-1 serial correlation
+(each against a margin). A token is random only if all three say so, so its p-value is the greatest of the three
+(an intersection-union test), and this one goes into the false-discovery control. Short tokens carry little evidence,
+so the control is length-aware: Benjamini-Hochberg runs over all tokens of the corpus within each encoding and length
+band, from counts of binned p-values. Everything else is decided row by row, without a shuffle.
+
+Normal tails have a relative error under 2e-7 at any distance. Work per text grows with its length and, for running sums
+over its spans, with their number to the power of 1.5 at most.
 
 Positions are code points, end exclusive. Edge cases: a null or empty text has no spans; repeated rows get equal
-answers; an empty table gives no rows; spans of the method that overlap a base span are left to the base span.
+answers; an empty table gives no rows; spans of the method that overlap a base span are left to the base span; ties in
+p-values are found together or not at all; a very long text is one row and scanned whole; other columns stay (names that
+begin with ``_kl_`` are the module's own).
 """
 
 from __future__ import annotations
@@ -25,7 +31,7 @@ KINDS = ("assign", "access", "hex", "random")
 _ASSIGN = r"""(?i:(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+))"""
 _ACCESS = r"AKIA[A-Z0-9]{14,}"
 _HEX = r"[0-9a-f]{16,}"
-_TOKEN = r"[A-Za-z0-9+/_=-]{20,}"
+_TOKEN = r"[A-Za-z0-9+/_=-]{12,}"
 #: Inferred encodings, the first that fits: pattern, alphabet, least deviation from uniformity per character of text
 #: that is not random (k * sum of squared letter shares - 1, for prose or numbers in that alphabet, halved).
 ENCODINGS = (
@@ -37,6 +43,12 @@ ENCODINGS = (
     ("base64", r"", "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/-_=", 1.5),
 )
 P_BINS, P_STEP = 320, 0.05
+#: Deviations that speak against chance: of the number of runs, for each character, and of the serial correlation.
+RUNS_MARGIN, SERIAL_MARGIN = 0.4, 0.75
+#: Characters of a segment of a text that is put together again.
+SEGMENT = 4096
+#: A Chebyshev fit of log(erfc(x) * exp(x * x) / t) in t = 1 / (1 + x / 2): fixed values, from the constant term on.
+_ERFC = (-1.26551223, 1.00002368, 0.37409196, 0.09678418, -0.18628806, 0.27886807, -1.13520398, 1.48851587, -0.82215223, 0.17087277)
 
 
 _SPANS = "array<struct<start:int,end:int,hit:string>>"
@@ -46,6 +58,31 @@ def _none(kind: str) -> Column:
     return F.array().cast(kind)
 
 
+def _let(value: Column, body) -> Column:
+    """``body(value)`` with ``value`` computed once."""
+    return F.element_at(F.transform(F.array(value), body), 1)
+
+
+def _running(values: Column, add) -> Column:
+    """Running totals (sums, or whatever ``add`` joins) of an array.
+
+    Appending copies an array, so totals are made within blocks of about the square root of its size, then over blocks.
+    """
+
+    def within(part: Column) -> Column:
+        return F.aggregate(F.slice(part, 2, F.size(part)), F.slice(part, 1, 1), lambda acc, x: F.concat(acc, F.array(add(F.element_at(acc, -1), x))))
+
+    def of(v: Column) -> Column:
+        width = F.ceil(F.sqrt(F.size(v))).cast("int")
+        return _let(F.transform(F.sequence(F.lit(1), F.size(v), width), lambda s: within(F.slice(v, s, width))), over)
+
+    def over(blocks: Column) -> Column:
+        ends = within(F.transform(blocks, lambda x: F.element_at(x, -1)))
+        return _let(ends, lambda e: F.flatten(F.transform(blocks, lambda x, k: F.when(k == 0, x).otherwise(F.transform(x, lambda y: add(F.get(e, k - 1), y))))))
+
+    return _let(values, lambda v: F.when(F.size(v) < 2, v).otherwise(of(v)))
+
+
 def _found(text: Column, pattern: str, valid=None) -> Column:
     """Spans of the matches of ``pattern``: array of (start, end, hit), leftmost and non-overlapping.
 
@@ -56,15 +93,12 @@ def _found(text: Column, pattern: str, valid=None) -> Column:
     gaps = F.transform(F.regexp_extract_all(text, whole, F.lit(1)), lambda g: F.length(g))
     pairs = F.arrays_zip(gaps.alias("gap"), F.regexp_extract_all(text, whole, F.lit(2)).alias("hit"))
 
-    def step(acc: Column, pair: Column) -> Column:
-        begin = acc["at"] + pair["gap"]
-        end = begin + F.length(pair["hit"])
-        good = F.length(pair["hit"]) > 0
-        good = good if valid is None else good & valid(pair["hit"])
-        span = F.struct(begin.alias("start"), end.alias("end"), pair["hit"].alias("hit"))
-        return F.struct(end.alias("at"), F.when(good, F.concat(acc["spans"], F.array(span))).otherwise(acc["spans"]).alias("spans"))
+    def spans(pairs: Column) -> Column:
+        ends = _running(F.transform(pairs, lambda p: p["gap"] + F.length(p["hit"])), lambda a, b: a + b)
+        every = F.zip_with(ends, pairs, lambda e, p: F.struct((e - F.length(p["hit"])).alias("start"), e.alias("end"), p["hit"].alias("hit")))
+        return F.filter(every, lambda s: (F.length(s["hit"]) > 0) & (F.lit(True) if valid is None else valid(s["hit"])))
 
-    return F.aggregate(pairs, F.struct(F.lit(0).alias("at"), _none(_SPANS).alias("spans")), step, lambda acc: acc["spans"])
+    return _let(pairs, spans)
 
 
 def _if(could: Column, spans: Column) -> Column:
@@ -72,58 +106,107 @@ def _if(could: Column, spans: Column) -> Column:
     return F.when(could, spans).otherwise(_none(_SPANS))
 
 
-def _let(value: Column, body) -> Column:
-    """``body(value)`` with ``value`` computed once."""
-    return F.element_at(F.transform(F.array(value), body), 1)
+def phi(z: Column) -> Column:
+    """The normal distribution function, to a relative error of 2e-7 in its lower tail."""
+
+    def tail(x: Column) -> Column:  # at -x * sqrt(2), x >= 0
+        def of(t: Column) -> Column:
+            power = F.lit(_ERFC[-1])
+            for c in _ERFC[-2::-1]:
+                power = power * t + F.lit(c)
+            return t * F.exp(power - x * x) / 2
 
+        return _let(1 / (1 + x / 2), of)
 
-def _phi(z: Column) -> Column:
-    """The normal distribution function by a logistic curve, to about 1e-4."""
-    return 1 / (1 + F.exp(F.greatest(F.lit(-700.0), F.least(F.lit(700.0), -1.5976 * z - 0.07056 * z * z * z))))
+    return F.when(z <= 0, _let(-z / F.sqrt(F.lit(2.0)), tail)).otherwise(1 - _let(z / F.sqrt(F.lit(2.0)), tail))
 
 
 def _sum(values: Column) -> Column:
     return F.aggregate(values, F.lit(0.0), lambda a, x: a + x)
 
 
-def _battery(codes: Column, n: Column, k: Column, least: Column) -> Column:
-    """p of the equivalence test, 1 where runs or serial correlation speak against chance. ``codes``: 1 to ``k``."""
-    squares = _sum(F.transform(F.sequence(F.lit(1), k.cast("int")), lambda a: F.pow(F.size(F.filter(codes, lambda c: c == a)), F.lit(2))))
-    chi2 = k * squares / n - n
-    p = _phi((chi2 - (k - 1) - n * least) / F.sqrt(2 * (k - 1) + 4 * n * least))
-    after = lambda f: _sum(F.zip_with(F.slice(codes, F.lit(1), F.size(codes) - 1), F.slice(codes, F.lit(2), F.size(codes) - 1), f))
+def _uniform(body: Column, letters: Column, n: Column, k: Column, least: Column) -> Column:
+    """z of Pearson's statistic among those of texts with the least deviation (non-central), by their cube roots."""
+    squares = _sum(F.transform(letters, lambda c: F.pow(n - F.length(F.replace(body, c, F.lit(""))), F.lit(2.0))))
+    mean = k - 1 + n * least
+    spread = 2.0 / 9 * (k - 1 + 2 * n * least) / (mean * mean)
+    return (F.cbrt((k * squares / n - n) / mean) - 1 + spread) / F.sqrt(spread)
+
+
+def _runs(codes: Column, n: Column, k: Column) -> Column:
+    """z of the number of runs about the middle: how far it is from the expected one, less the margin."""
     upper = F.size(F.filter(codes, lambda c: c > k / 2)).cast("double")
-    runs = 1 + after(lambda a, b: F.when((a > k / 2) != (b > k / 2), 1.0).otherwise(0.0))
-    expected = 1 + 2 * upper * (n - upper) / n
-    spread = F.sqrt(F.greatest((expected - 1) * (expected - 2) / (n - 1), F.lit(1e-9)))
-    mean = _sum(codes) / n
-    variance = _sum(F.transform(codes, lambda c: (c - mean) * (c - mean)))
-    serial = F.coalesce(F.try_divide(after(lambda a, b: (a - mean) * (b - mean)), variance), F.lit(1.0))
-    plain = (F.abs(runs - expected) > 3 * spread) | (F.abs(serial + 1 / n) * F.sqrt(n) > 3)
-    return F.when(plain, F.lit(1.0)).otherwise(p)
+    changes = F.zip_with(F.slice(codes, F.lit(1), F.size(codes) - 1), F.slice(codes, F.lit(2), F.size(codes) - 1), lambda a, b: (a > k / 2) != (b > k / 2))
+    runs = (1 + F.size(F.filter(changes, lambda x: x))).cast("double")
 
+    def z(expected: Column) -> Column:
+        return (F.abs(runs - expected) - RUNS_MARGIN * n) / F.sqrt(F.greatest((expected - 1) * (expected - 2) / (n - 1), n / 16))
 
-def _tested(span: Column) -> Column:
-    """(start, end, stratum, bin) of one token."""
-    token = span["hit"]
+    return _let(1 + 2 * upper * (n - upper) / n, z)
+
+
+def _serial(codes: Column, n: Column) -> Column:
+    """z of the lag-1 serial correlation: its size, less the margin. Equal characters are fully correlated."""
+
+    def z(mean: Column) -> Column:
+        product = _sum(F.zip_with(F.slice(codes, F.lit(1), F.size(codes) - 1), F.slice(codes, F.lit(2), F.size(codes) - 1), lambda a, b: (a - mean) * (b - mean)))
+        variance = _sum(F.transform(codes, lambda c: (c - mean) * (c - mean)))
+        return (F.abs(F.coalesce(F.try_divide(product, variance), F.lit(1.0)) + 1 / n) - SERIAL_MARGIN) * F.sqrt(n)
+
+    return _let(_sum(codes) / n, z)
+
+
+def battery(token: Column) -> Column:
+    """(encoding, uniform, runs, serial): the inferred encoding, from 1, and the three p-values of a token."""
     encoding = F.lit(len(ENCODINGS))
     for k in range(len(ENCODINGS) - 2, -1, -1):
         encoding = F.when(token.rlike(ENCODINGS[k][1]), F.lit(k + 1)).otherwise(encoding)
-    of = lambda e, column: F.element_at(F.array(*(F.lit(x[column]) for x in ENCODINGS)), e)
+    of = lambda e, values: F.element_at(F.array(*values), e)
 
     def judged(e: Column) -> Column:
-        alphabet = of(e, 2)
-        body = F.when(e == len(ENCODINGS), token).otherwise(F.lower(token))  # all others are of one case
-        codes = F.transform(F.filter(F.split(body, ""), lambda c: c != ""), lambda c: F.call_function("instr", alphabet, c).cast("double"))
+        alphabet = of(e, [F.lit(x[2]) for x in ENCODINGS])
+        letters = of(e, [F.array(*map(F.lit, x[2])) for x in ENCODINGS])
+        k, least = (of(e, [F.lit(float(v)) for v in values]) for values in ([len(x[2]) for x in ENCODINGS], [x[3] for x in ENCODINGS]))
         n = F.length(token).cast("double")
-        p = _let(codes, lambda c: _battery(c, n, F.length(alphabet).cast("double"), of(e, 3)))
-        at = F.least(F.floor(-F.log10(F.greatest(p, F.lit(1e-300))) / P_STEP), F.lit(P_BINS - 1)).cast("int")
-        stratum = (e * 32 + F.floor(F.log2(n))).cast("int")
-        return F.struct(span["start"].alias("start"), span["end"].alias("end"), stratum.alias("stratum"), at.alias("bin"))
+
+        def tests(body: Column) -> Column:
+            codes = F.transform(F.filter(F.split(body, ""), lambda c: c != ""), lambda c: F.call_function("instr", alphabet, c).cast("double"))
+            both = lambda c: F.struct(_uniform(body, letters, n, k, least).alias("u"), _runs(c, n, k).alias("r"), _serial(c, n).alias("s"))
+            z = _let(codes, both)
+            return _let(z, lambda z: F.struct(e.alias("encoding"), phi(z["u"]).alias("uniform"), phi(z["r"]).alias("runs"), phi(z["s"]).alias("serial")))
+
+        return _let(F.when(e == len(ENCODINGS), token).otherwise(F.lower(token)), tests)  # all others are of one case
 
     return _let(encoding, judged)
 
 
+def _tested(span: Column) -> Column:
+    """(start, end, stratum, bin) of one token."""
+
+    def judged(b: Column) -> Column:
+        p = F.greatest(b["uniform"], b["runs"], b["serial"], F.lit(1e-300))
+        at = F.least(F.floor(-F.log10(p) / P_STEP), F.lit(P_BINS - 1)).cast("int")
+        stratum = (b["encoding"] * 32 + F.floor(F.log2(F.length(span["hit"]).cast("double")))).cast("int")
+        return F.struct(span["start"].alias("start"), span["end"].alias("end"), stratum.alias("stratum"), at.alias("bin"))
+
+    return _let(battery(span["hit"]), judged)
+
+
+def _free(tokens: Column, base: Column) -> Column:
+    """The tokens that overlap no base span: both in one order, compared with what ends before and what follows."""
+    event = lambda x, kind, hit: F.struct(x["start"].alias("start"), F.lit(kind).alias("kind"), x["end"].alias("end"), hit.alias("hit"))
+    both = F.array_sort(F.concat(F.transform(base, lambda b: event(b, 0, F.lit(None).cast("string"))), F.transform(tokens, lambda t: event(t, 1, t["hit"]))))
+
+    def of(events: Column) -> Column:
+        reach = _running(F.transform(events, lambda x: F.when(x["kind"] == 0, x["end"]).otherwise(0)), F.greatest)
+        after = F.transform(F.slice(events, 2, F.size(events)), lambda x: F.when(x["kind"] == 0, x["start"]))
+        rows = F.arrays_zip(events.alias("token"), reach.alias("reach"), after.alias("after"))
+        clear = lambda r: (r["token"]["kind"] == 1) & (r["reach"] <= r["token"]["start"]) & F.coalesce(r["after"] >= r["token"]["end"], F.lit(True))
+        return F.transform(F.filter(rows, clear), lambda r: F.struct(r["token"]["start"].alias("start"), r["token"]["end"].alias("end"), r["token"]["hit"].alias("hit")))
+
+    return F.when((F.size(base) == 0) | (F.size(tokens) == 0), tokens).otherwise(_let(both, of))
+
+
 def _kind(spans: Column, k: int) -> Column:
     return F.transform(spans, lambda s: F.struct(s["start"].alias("start"), F.lit(k).alias("kind"), s["end"].alias("end")))
 
@@ -139,10 +222,8 @@ def scan(docs: DataFrame, text_col: str = "text") -> DataFrame:
     access = _if(text.contains("AKIA"), _found(text, _ACCESS))
     hexes = _if(text.rlike(_HEX), _found(text, _HEX))
     base = F.array_sort(F.concat(_kind(assign, 1), _kind(access, 2), _kind(hexes, 3)))
-    tokens = _if(text.rlike(_TOKEN), _found(text, _TOKEN))
-    out = docs.withColumn("_kl_base", base).withColumn("_kl_found", tokens)
-    free = F.filter("_kl_found", lambda t: ~F.exists("_kl_base", lambda b: (b["start"] < t["end"]) & (t["start"] < b["end"])))
-    return out.withColumn("_kl_tokens", F.transform(free, _tested)).drop("_kl_found")
+    out = docs.withColumn("_kl_base", base).withColumn("_kl_found", _found(text, _TOKEN))
+    return out.withColumn("_kl_tokens", F.transform(_free(F.col("_kl_found"), F.col("_kl_base")), _tested)).drop("_kl_found")
 
 
 def thresholds(scanned: DataFrame, q: float = 0.05) -> dict[int, int]:
@@ -184,19 +265,32 @@ def secrets_scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     return out.select("doc_id", of(1).alias("n_assign"), of(2).alias("n_access"), of(3).alias("n_hex"), F.sha2(_joined("_kl_base"), 256).alias("base_sha256"), _joined("_kl_spans").alias("spans"))
 
 
+def _piece(segments: Column, start: Column, end: Column) -> Column:
+    """Characters ``start`` to ``end`` of a text that is cut into segments."""
+    part = lambda k: F.substring(F.get(segments, k), F.greatest(start - k * SEGMENT, F.lit(0)) + 1, F.least(end - k * SEGMENT, F.lit(SEGMENT)) - F.greatest(start - k * SEGMENT, F.lit(0)))
+    inside = F.sequence(F.floor(start / SEGMENT).cast("int"), F.floor((F.greatest(end, F.lit(1)) - 1) / SEGMENT).cast("int"))
+    return F.when(start >= end, F.lit("")).otherwise(F.array_join(F.transform(inside, part), ""))
+
+
 def redact(docs: DataFrame, q: float = 0.05, mark: str = "[SECRET]") -> DataFrame:
-    """``docs`` with every span of the text replaced by ``mark`` (overlapping spans by one) and n_chars to match."""
-    found = thresholds(cut(scan(docs.select("text")).select("_kl_tokens"), "secret-tokens"), q)
-    rows = with_spans(scan(docs), found)
+    """``docs`` with every span of the text replaced by ``mark`` (overlapping spans by one) and n_chars to match.
+
+    Every text is scanned once: the rows go to a table with what was found in them. The text is put together from
+    pieces, so the work does not grow with spans times length.
+    """
+    rows = cut(scan(docs), "secret-scan")
+    rows = with_spans(rows, thresholds(rows, q))
     text = F.coalesce(F.col("text"), F.lit(""))
 
-    def step(acc: Column, s: Column) -> Column:
-        fresh = F.concat(acc["out"], F.substring(text, acc["at"] + 1, s["start"] - acc["at"]), F.lit(mark))
-        return F.struct(F.greatest(acc["at"], s["end"]).alias("at"), F.when(s["start"] >= acc["at"], fresh).otherwise(acc["out"]).alias("out"))
+    def clean(segments: Column, reach: Column) -> Column:
+        steps = F.arrays_zip(F.col("_kl_spans").alias("span"), F.concat(F.array(F.lit(0)), reach).alias("at"))
+        fresh = F.filter(steps, lambda x: x["span"]["start"] >= x["at"])
+        kept = F.transform(fresh, lambda x: F.concat(_piece(segments, x["at"], x["span"]["start"]), F.lit(mark)))
+        return F.array_join(F.concat(kept, F.array(_piece(segments, F.element_at(reach, -1), F.length(text)))), "")
 
-    start = F.struct(F.lit(0).alias("at"), F.lit("").alias("out"))
-    clean = F.aggregate("_kl_spans", start, step, lambda acc: F.concat(acc["out"], F.substring(text, acc["at"] + 1, F.length(text) - acc["at"])))
+    reach = _running(F.transform("_kl_spans", lambda s: s["end"]), F.greatest)
+    whole = F.regexp_extract_all(text, F.lit(rf"(?s).{{1,{SEGMENT}}}"), F.lit(0))
     hit = F.size("_kl_spans") > 0
-    rows = rows.withColumn("_kl_text", F.when(hit, clean).otherwise(F.col("text")))
+    rows = rows.withColumn("_kl_text", F.when(hit, _let(whole, lambda x: _let(reach, lambda r: clean(x, r)))).otherwise(F.col("text")))
     own = {"text": F.col("_kl_text"), "n_chars": F.when(hit, F.length("_kl_text").cast("bigint")).otherwise(F.col("n_chars")) if "n_chars" in docs.columns else None}
     return rows.select(*(own[c].alias(c) if own.get(c) is not None else F.col(c) for c in docs.columns))
