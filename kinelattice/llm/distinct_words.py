@@ -6,7 +6,9 @@ each distinct word is encoded once. (3) The ids go back to their blocks, and eac
 position.
 
 A frequent word travels once per block of ``block_bytes``, however often it occurs, so it makes no hot key. Only words
-and word numbers are shuffled, packed; texts are not.
+and word numbers are shuffled, packed; texts are not. Buckets and blocks are dealt to as many tasks as the bytes of the
+input ask for, one block to a task, so the largest task does not grow with the corpus; a task keeps the words of one
+bucket at a time.
 """
 
 from __future__ import annotations
@@ -21,10 +23,12 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from kinelattice.llm.textcols import in_chunks, texts
+from kinelattice.llm.textcols import in_chunks, tasks_for, texts
 from kinelattice.session import cut
 
 _ROW = pa.schema([("words", pa.bool_()), ("bucket", pa.int32()), ("block", pa.int64()), ("seq", pa.int32()), ("doc_ids", pa.list_(pa.int64())), ("a", pa.binary()), ("b", pa.binary())])
+#: Input bytes whose words share a bucket.
+BUCKET_BYTES = 64 << 20
 _DDL = "words boolean, bucket int, block bigint, seq int, doc_ids array<bigint>, a binary, b binary"
 
 
@@ -121,8 +125,11 @@ def _word_encoder(encoder: Callable[[], Callable[[list[bytes]], list[bytes]]]):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encode = encoder()
         known: dict[bytes, bytes] = {}
+        at = None
         for batch in batches:
-            for block, a, nums in zip(*(batch.column(c).to_pylist() for c in ("block", "a", "b"))):
+            for bucket, block, a, nums in zip(*(batch.column(c).to_pylist() for c in ("bucket", "block", "a", "b"))):
+                if bucket != at:
+                    at, known = bucket, {}
                 n = int.from_bytes(a[:4], "little")
                 ends = np.cumsum(_unpack(a[4 : 4 + n])).tolist()
                 body = zstandard.ZstdDecompressor().decompress(a[4 + n :])
@@ -180,8 +187,12 @@ def encode_words(docs: DataFrame, split, encoder, finisher, ddl: str, names: lis
     ``split(body)`` gives the words of a text; ``encoder()`` makes a function from words to their ids as little-endian
     32-bit bytes; ``finisher()`` makes one from (doc_id, ids) to rows. Both are called once in each task.
     """
-    n = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    rows = cut(texts(docs).mapInArrow(_cutter(split, 2 * n, block_bytes), _DDL), "words")
-    encoded = rows.filter("words").repartition(n, "bucket").mapInArrow(_word_encoder(encoder), _DDL)
-    back = encoded.unionByName(rows.filter(~F.col("words"))).repartition(n, "block")
+    buckets = tasks_for(docs, BUCKET_BYTES)
+    rows = cut(texts(docs).mapInArrow(_cutter(split, buckets, block_bytes), _DDL), "words")
+    task, nth = F.shiftright("block", 24), F.col("block").bitwiseAND(0xFFFFFF)  # what cut the block, and which of its blocks it is
+    first = rows.filter(~F.col("words") & (F.col("seq") == 0)).agg(F.count("*").alias("blocks"), F.max(task).alias("task"), F.max(nth).alias("nth")).first()
+    tasks, deep = (first["task"] or 0) + 1, (first["nth"] or 0) + 1
+    n = min(tasks * deep, 2 * first["blocks"]) or 1  # blocks number their tasks' outputs, so nearly all have a task of their own
+    encoded = rows.filter("words").repartitionById(buckets, F.col("bucket")).sortWithinPartitions("bucket").mapInArrow(_word_encoder(encoder), _DDL)
+    back = encoded.unionByName(rows.filter(~F.col("words"))).repartitionById(n, F.pmod(task + nth * tasks, F.lit(n)).cast("int"))
     return back.sortWithinPartitions("block", "seq").mapInArrow(_reassemble(finisher, names, kinds), ddl)

@@ -36,6 +36,12 @@ def in_chunks(batches: Iterator[pa.RecordBatch], column: str, limit: int = 4 <<
             start = end
 
 
+def tasks_for(docs: DataFrame, per_task: int, text_col: str = "text") -> int:
+    """Tasks that share out the texts' bytes, and at least the session's shuffle partitions."""
+    size = docs.agg(F.sum(F.octet_length(F.col(text_col)))).first()[0] or 0
+    return max(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-size // per_task))
+
+
 def table(schema: pa.Schema, **columns) -> pa.RecordBatch:
     """A record batch from columns by name, in the order of ``schema``."""
     return pa.RecordBatch.from_arrays([pa.array(columns[f.name], f.type) if not isinstance(columns[f.name], pa.Array) else columns[f.name] for f in schema], schema=schema)
