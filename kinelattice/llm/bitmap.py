@@ -1,6 +1,6 @@
 """A bounded membership bitmap, to thin rows before a join.
 
-One bit per hashed id, at most ``CAP_BITS`` bits (32 MB) however many ids there are: with more ids it lets more rows
+One bit per hashed id (a bigint, or a digest, of which the first eight bytes count), at most ``CAP_BITS`` bits (32 MB) however many ids there are: with more ids it lets more rows
 through, never fewer, so a join after it decides exactly.
 """
 
@@ -24,13 +24,18 @@ def _spot(ids: np.ndarray, mask: int) -> np.ndarray:
     return ((x ^ (x >> np.uint64(31))) & np.uint64(mask)).astype(np.int64)
 
 
+def longs(digests: list[bytes]) -> np.ndarray:
+    """The first eight bytes of 16-byte digests."""
+    return np.frombuffer(b"".join(digests), np.int64)[::2]
+
+
 def may_contain(bits: np.ndarray, ids: np.ndarray) -> np.ndarray:
     at = _spot(ids, len(bits) * 8 - 1)
     return (bits[at >> 3] >> (at & 7).astype(np.uint8)) & 1 == 1
 
 
 def build(ids: DataFrame, column: str) -> np.ndarray:
-    """The bitmap of a bigint column; blocks are joined by OR in tasks, the driver receives each block once."""
+    """The bitmap of a bigint or digest column; blocks are joined by OR in tasks, the driver receives each block once."""
     importable(ids.sparkSession)
     ids = ids.select(F.col(column).alias("id")).filter("id is not null")
     size = min(CAP_BITS, 1 << max(15, (16 * ids.count()).bit_length()))
@@ -38,7 +43,8 @@ def build(ids: DataFrame, column: str) -> np.ndarray:
     def blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         have: dict[int, np.ndarray] = {}
         for b in batches:
-            at = np.unique(_spot(b.column("id").to_numpy(), size - 1))
+            own = b.column("id")
+            at = np.unique(_spot(longs(own.to_pylist()) if pa.types.is_binary(own.type) else own.to_numpy(), size - 1))
             for part in np.split(at, np.flatnonzero(np.diff(at >> 15)) + 1):
                 if len(part):
                     bits = np.zeros(_BLOCK * 8, np.uint8)

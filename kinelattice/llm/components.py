@@ -3,7 +3,8 @@
 Edges are dealt to as many tasks as their number asks for; each joins its own edges by union-find and hands on one
 edge per node. Between tasks, each round rewires every edge to the least neighbour on one side, so paths shrink
 geometrically. Only minima are taken per node (aggregated before the shuffle), and neighbour lists are never gathered,
-so a hub of any degree is no problem. Rounds are cut with written tables in the shared folder.
+so a hub of any degree is no problem. Rounds are cut with written tables in the shared folder. Nodes are numbers or
+16-byte digests.
 """
 
 from __future__ import annotations
@@ -22,9 +23,10 @@ EDGES_PER_TASK = 250_000
 
 def _union_find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """(a, b) with b the least node that a's edges in this task reach."""
-    root: dict[int, int] = {}
+    root: dict = {}
+    kind = pa.int64()
 
-    def find(x: int) -> int:
+    def find(x):
         top = x
         while root.get(top, top) != top:
             top = root[top]
@@ -33,12 +35,13 @@ def _union_find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         return top
 
     for batch in batches:
+        kind = batch.column("a").type
         for a, b in zip(batch.column("a").to_pylist(), batch.column("b").to_pylist()):
             a, b = find(a), find(b)
             if a != b:
                 root[max(a, b)] = min(a, b)
     nodes = list(root)
-    yield pa.RecordBatch.from_arrays([pa.array(nodes, pa.int64()), pa.array([find(x) for x in nodes], pa.int64())], ["a", "b"])
+    yield pa.RecordBatch.from_arrays([pa.array(nodes, kind), pa.array([find(x) for x in nodes], kind)], ["a", "b"])
 
 
 def _print(edges: DataFrame) -> tuple:
@@ -47,11 +50,14 @@ def _print(edges: DataFrame) -> tuple:
 
 
 def components(edges: DataFrame) -> DataFrame:
-    """(node, component) for the nodes of ``edges`` (a, b: bigint) that are not the least of their component."""
+    """(node, component) for the nodes of ``edges`` (a, b: bigint or binary) that are not the least of their component."""
     importable(edges.sparkSession)
-    given = edges.select("a", "b") if hasattr(edges, "_kl_path") else cut(edges.select("a", "b"), "edges")
+    given = edges if hasattr(edges, "_kl_path") else cut(edges.select("a", "b"), "edges")
+    kind = dict(given.dtypes)["a"]
     tasks = -(-given.count() // EDGES_PER_TASK) or 1
-    now = cut(given.filter("a <> b").repartition(tasks).mapInArrow(_union_find, "a bigint, b bigint"), "edges")
+    now = cut(given.select("a", "b").filter("a <> b").repartition(tasks).mapInArrow(_union_find, f"a {kind}, b {kind}"), "edges")
+    if given is not edges:
+        drop(given)
     mark = _print(now) if tasks > 1 else None
     while mark and mark[0]:
         both = now.select(F.col("a").alias("u"), F.col("b").alias("v")).unionByName(now.select(F.col("b").alias("u"), F.col("a").alias("v")))

@@ -1,10 +1,10 @@
 """Near-duplicate documents by b-bit MinHash.
 
-A document's set holds its distinct 5-word shingles as 64-bit hashes. Documents with equal sets are one class and only
-its least doc_id goes on. ``BANDS`` bands of ``ROWS`` full minima generate candidates (a pair at similarity 0.75 shares
+A document's set holds its distinct 5-word shingles. Documents with equal sets, by a 128-bit digest of the digests of all
+shingles, are one class and only its least doc_id goes on. ``BANDS`` bands of ``ROWS`` full minima generate candidates (a pair at similarity 0.75 shares
 no band with probability 5e-6); of each of ``HASHES`` minima ``BITS`` low bits are kept, packed in longs, and a bit count of the
 difference estimates the similarity, corrected for chance collisions. Candidates within ``MARGIN`` of the threshold
-are confirmed on the full sets.
+are confirmed on the full sets of shingles, word by word and not by hashes.
 
 Groups of any size stay spread. Each band value is aggregated to its least member, and every member is confirmed
 against that hub alone; components of these links follow. Then only band values that still hold several components
@@ -13,7 +13,8 @@ while a group of near copies never makes all its pairs.
 
 Edge cases: texts without words (null, empty) have an empty set and are linked with nothing; texts of under five
 words are one shingle; rows with a null doc_id are not linked and have a null component; rows that repeat a doc_id
-are one node; an empty table gives no rows.
+are one node (ties between its texts: any of them stands for it); a very long text is one row of its chunk and is read
+whole; other columns are not read, so their names never clash; an empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -21,6 +22,7 @@ from __future__ import annotations
 import hashlib
 from collections.abc import Iterator
 from functools import reduce
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -54,57 +56,76 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(33))
 
 
-_powers: list[np.ndarray] = []
+class _Digests(dict):
+    """128-bit digests of words; short words are remembered, at most ``most`` of them."""
 
+    def __init__(self, most: int = 1 << 18):
+        self.most = most
 
-def powers(n: int) -> list[np.ndarray]:
-    """At least the first ``n`` powers of the base and of its inverse modulo 2**64."""
-    if not _powers or len(_powers[0]) < n:
-        inverse = pow(_BASE, -1, 1 << 64)
-        made = []
-        for base in (_BASE, inverse):
-            p = np.full(1 << max(18, (n - 1).bit_length()), np.uint64(base))
-            p[0] = 1
-            made.append(np.multiply.accumulate(p))
-        _powers[:] = made
-    return _powers
+    def __missing__(self, word: bytes) -> bytes:
+        digest = hashlib.blake2b(word, digest_size=16).digest()
+        if len(word) <= 64:
+            if len(self) >= self.most:
+                self.clear()
+            self[word] = digest
+        return digest
 
 
-def segment_hashes(data: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
-    """A 64-bit hash of each data[start:end], independent of where it stands."""
-    power, inverse = powers(len(data) + 1)
-    sums = np.zeros(len(data) + 1, np.uint64)
-    np.cumsum((data.astype(np.uint64) + np.uint64(1)) * power[: len(data)], out=sums[1:])
-    return mix((sums[end] - sums[start]) * inverse[start] + (end - start).astype(np.uint64) * _M2)
+_digests = _Digests()
 
 
-_SPACE = np.zeros(256, bool)
-_SPACE[[9, 10, 11, 12, 13, 32]] = True
+def _windows(size: np.ndarray, width: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """First symbol and length of every window of ``width`` symbols, and the number of each text's windows.
+
+    A shorter text is one window, an empty one none.
+    """
+    n = np.where(size >= width, size - width + 1, np.minimum(size, 1))
+    first = np.cumsum(size) - size
+    return np.repeat(first - (np.cumsum(n) - n), n) + np.arange(n.sum()), np.repeat(np.minimum(size, width), n), n
 
 
 def shingles(bodies: list[bytes | None], width: int = 5) -> tuple[np.ndarray, np.ndarray]:
-    """Hashes of all shingles of all texts, in text order, and the number of each text's (0 for texts without words)."""
-    joined = b"\n".join(b or b"" for b in bodies) + b"\n"
-    size = np.array([len(b or b"") + 1 for b in bodies], np.int64)
-    data = np.frombuffer(joined.lower(), np.uint8)
-    word = ~_SPACE[data]
-    edge = np.flatnonzero(np.diff(word, prepend=False, append=False))
-    start, end = edge[::2], edge[1::2]
-    hashes = segment_hashes(data, start, end)
-    text_end = np.cumsum(size)
-    first = np.searchsorted(start, text_end - size)
-    n_words = np.searchsorted(start, text_end) - first
-    n = np.where(n_words >= width, n_words - width + 1, np.minimum(n_words, 1))
-    take = np.minimum(n_words, width)
-    at = np.repeat(first - (np.cumsum(n) - n), n) + np.arange(n.sum())
-    many = np.repeat(take, n)
-    out = many.astype(np.uint64)
+    """128-bit hashes (2 x shingles) of all shingles of all texts in text order, and the number of each text's.
+
+    They combine cryptographic digests of the words, so no structure of the texts makes different shingles collide.
+    """
+    words = [(b or b"").lower().split() for b in bodies]
+    size = np.fromiter(map(len, words), np.int64, len(words))
+    own = np.frombuffer(b"".join(map(_digests.__getitem__, chain.from_iterable(words))), np.uint64).reshape(-1, 2)
+    at, many, n = _windows(size, width)
+    out = np.empty((2, len(at)), np.uint64)
+    for lane in (0, 1):
+        digest, x = np.ascontiguousarray(own[:, lane]), many.astype(np.uint64)
+        for k in range(width):
+            inside = many > k
+            part = digest[at + k] if inside.all() else np.where(inside, digest[np.where(inside, at + k, 0)], np.uint64(0))
+            x = (x + part) * np.uint64(_BASE)
+        out[lane] = mix(x)
+    return out, n
+
+
+def number_windows(symbols: np.ndarray, size: np.ndarray, width: int) -> tuple[np.ndarray, np.ndarray]:
+    """Numbers that are equal exactly where windows of ``width`` symbols (from 0) are, and the number of each text's."""
+    at, many, n = _windows(size, width)
+    base, top = int(symbols.max(initial=-1)) + 2, 1
+    code = np.zeros(len(at), np.int64)
     for k in range(width):
+        if top * base > 1 << 62:  # no hash: the prefixes so far are numbered
+            code = np.unique(code, return_inverse=True)[1].astype(np.int64)
+            top = len(code) + 1
         inside = many > k
-        own = np.zeros(len(at), np.uint64)
-        own[inside] = hashes[at[inside] + k]
-        out = (out + own) * np.uint64(_BASE)
-    return mix(out), n
+        own = symbols[at + k] + 1 if inside.all() else np.where(inside, symbols[np.where(inside, at + k, 0)] + 1, 0)
+        code, top = code * base + own, top * base
+    return code, n
+
+
+def numbered_shingles(bodies: list[bytes | None], width: int = 5) -> tuple[np.ndarray, np.ndarray]:
+    """Numbers of all shingles of all texts, equal exactly for equal shingles of these texts, and each text's number."""
+    words = [(b or b"").lower().split() for b in bodies]
+    size = np.fromiter(map(len, words), np.int64, len(words))
+    number: dict[bytes, int] = {}
+    symbols = np.fromiter((number.setdefault(w, len(number)) for w in chain.from_iterable(words)), np.int64, int(size.sum()))
+    return number_windows(symbols, size, width)
 
 
 def minima(values: np.ndarray, n: np.ndarray, hashes: int, seed: int = 1) -> np.ndarray:
@@ -169,15 +190,16 @@ def _alike(least: float) -> Column:
 def _sign(width: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in in_chunks(batches, "body", 1 << 20):
-            values, n = shingles(part.column("body").to_pylist(), width)
+            (values, more), n = shingles(part.column("body").to_pylist(), width)
             some = np.flatnonzero(n)
             low = minima(values, n[some], HASHES)
             key: list[bytes | None] = [None] * len(n)
             count = np.zeros(len(n), np.int64)
             ends = np.cumsum(n)
             for k in some.tolist():
-                own = np.unique(values[ends[k] - n[k] : ends[k]])
-                count[k], key[k] = len(own), hashlib.blake2b(own.tobytes(), digest_size=16).digest()
+                own, at = np.unique(values[ends[k] - n[k] : ends[k]], return_index=True)
+                full = own.tobytes() + more[ends[k] - n[k] + at].tobytes()
+                count[k], key[k] = len(own), hashlib.blake2b(full, digest_size=16).digest()
             each = lambda x: [x[j] if j >= 0 else None for j in where]
             where = np.full(len(n), -1)
             where[some] = np.arange(len(some))
@@ -202,23 +224,26 @@ def _compress(asked):
 
 
 def _confirm(width: int, percent: int):
-    """Rows sorted by (hub, salt, hub first): the members whose full set is similar enough to their hub's."""
+    """Rows sorted by (hub, salt, hub first): the members whose full set, by its words, is similar enough to their hub's."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         z = zstandard.ZstdDecompressor()
-        at, own = None, np.zeros(0, np.uint64)
+        at, lead = None, b""
         for part in in_chunks(batches, "body", 1 << 18):
-            values, n = shingles([z.decompress(b) for b in part.column("body").to_pylist()], width)
+            keys = list(zip(part.column("hub").to_pylist(), part.column("salt").to_pylist()))
+            bodies = [z.decompress(b) for b in part.column("body").to_pylist()]
+            numbers, n = numbered_shingles([lead if keys[0] == at else b"", *bodies], width)
             ends, a, b = np.cumsum(n), [], []
-            for k, (hub, salt, node) in enumerate(zip(*(part.column(c).to_pylist() for c in ("hub", "salt", "node")))):
-                have = np.unique(values[ends[k] - n[k] : ends[k]])
-                if (hub, salt) != at:
-                    at, own = (hub, salt), have
-                    if node == hub:
+            own = np.unique(numbers[: n[0]])
+            for k, (key, node) in enumerate(zip(keys, part.column("node").to_pylist())):
+                have = np.unique(numbers[ends[k] : ends[k + 1]])
+                if key != at:
+                    at, own, lead = key, have, bodies[k]
+                    if node == key[0]:
                         continue
                 both = len(np.intersect1d(own, have, assume_unique=True))
                 if 100 * both >= percent * (len(own) + len(have) - both):
-                    a.append(hub)
+                    a.append(key[0])
                     b.append(node)
             yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], ["a", "b"])
 
@@ -248,7 +273,9 @@ def confirm(docs: DataFrame, pairs: DataFrame, width: int, percent: int) -> Data
     bodies = texts(docs).filter(F.col("doc_id").isNotNull()).mapInArrow(_compress(nodes), "doc_id bigint, body binary")
     rows = bodies.join(asked, bodies["doc_id"] == asked["node"]).select("hub", "salt", "node", "body")
     placed = rows.repartition("hub", "salt").sortWithinPartitions("hub", "salt", F.col("node") != F.col("hub"))
-    return cut(placed.mapInArrow(_confirm(width, percent), "a bigint, b bigint"), "links")
+    links = cut(placed.mapInArrow(_confirm(width, percent), "a bigint, b bigint"), "links")
+    drop(asked)
+    return links
 
 
 def near_dup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 5, percent: int = 75) -> DataFrame:
@@ -262,13 +289,16 @@ def near_dup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", wi
     many = docs.sparkSession.sparkContext.broadcast(bitmap.build(hubs, "band"))
     at_band = reps.mapInArrow(_shared_bands(many), "band bigint, rep bigint")
     shared = cut(at_band.join(hubs, "band"), "bands")  # members of band values that several classes have
+    drop(hubs)
     least = percent / 100 - MARGIN
     first = shared.filter("rep <> hub").groupBy("rep").agg(F.min("hub").alias("hub"))  # each member and its least hub
     first = first.join(reps.select("rep", *_unpacked("p")), "rep")
     near = (F.col("hub") == F.col("h")) & _alike(least)
     tried = cut(first.join(reps.select(F.col("rep").alias("h"), *_unpacked("q")), near).select(F.col("hub").alias("a"), F.col("rep").alias("b")), "tried")
     links = confirm(docs, tried, width, percent)
+    drop(tried)
     found = components(links)
+    drop(links)
 
     named = shared.join(found, F.col("rep") == F.col("node"), "left").select("band", "rep", F.coalesce("component", "rep").alias("component"))
     mixed = named.groupBy("band").agg(F.min("component").alias("low"), F.max("component").alias("high")).filter("low <> high").select("band")
@@ -283,6 +313,8 @@ def near_dup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", wi
         more = confirm(docs, rest, width, percent)
         if not more.isEmpty():
             found = components(found.select(F.col("node").alias("a"), F.col("component").alias("b")).unionByName(more))
+        drop(more)
+    drop(rest)
     drop(shared)
 
     of_key = reps.select("key", "rep").join(found, F.col("rep") == F.col("node"), "left").select("key", F.coalesce("component", "rep").alias("component"))
