@@ -5,16 +5,21 @@ A byte goes when a string of ``DEPTH`` bytes that covers it also starts elsewher
 (1) Distribution. Of the ``KMER``-byte words inside each ``DEPTH``-byte string the one with the least hash (the
 rightmost of equals) represents it, so equal strings have equal words at equal offsets. Words that occur once in the
 corpus cannot lie in a repeat; a bounded bitmap of the others thins the next passes. The surroundings of the other
-words meet by word, so all suffixes that could be equal for ``DEPTH`` bytes meet in one task.
+words meet by word, so all suffixes that could be equal for ``DEPTH`` bytes meet in one task. A word with more than
+``GROUP`` surroundings is split: its strings are dealt out by how many bytes they have before the word, in ranges of
+``RANGES[level]``, and by the bytes that all strings of such a range share, which are nearly whole strings. Equal strings
+still meet, so the split, repeated down to single strings, loses nothing and no task gets a hot word.
 (2) Difference cover. The suffixes of each group of words are ranked by a difference cover modulo 3: sampled triples
 are sorted and named, the names ranked by recursion (down to ``DEPTH``), the remaining suffixes merged in, and
 adjacent prefixes compared. Words with one kind of surroundings need no sort: their copies are all repeats.
 (3) The repeated ranges go back to their documents.
 
-Surroundings that are equal inside a chunk of texts travel once, so copies make no hot group.
+Surroundings that are equal inside a chunk of texts travel once, so copies make no hot group. Word hashes only bring
+strings together: strings are compared byte by byte, and surroundings are known by 128-bit digests of their bytes.
 
 Edge cases: null and short texts (under ``DEPTH`` bytes) lose nothing; matches never cross documents; repeated rows
-are repeats of each other; rows are told apart by doc_id and text, null doc_ids included; an empty table gives no rows.
+are repeats of each other; rows are told apart by doc_id and text, null doc_ids included; very long texts are parsed in
+overlapping slices; other columns are not read, so their names never clash; an empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -30,9 +35,10 @@ from pyspark.sql import functions as F
 
 from kinelattice.llm import bitmap
 from kinelattice.llm.distinct_words import spread
-from kinelattice.llm.minhash import mix, powers, segment_hashes
+from kinelattice.llm.minhash import mix
+from kinelattice.llm.skew import join_groups
 from kinelattice.llm.textcols import in_chunks
-from kinelattice.session import cut, importable
+from kinelattice.session import cut, drop, importable
 
 DEPTH, KMER = 200, 32
 _POS = 21
@@ -41,6 +47,25 @@ _MASK = (1 << _POS) - 1
 _SLICE = 1 << 20
 #: Bytes that are parsed together, and surroundings that are sorted together: small arrays stay in the CPU's cache.
 _TOGETHER, _SORTED = 1 << 18, 150
+#: Surroundings of one word that are sorted in one task, and string starts in a range at each level of a split.
+GROUP, RANGES = 2000, (21, 1)
+#: Surroundings for one task.
+TASK_ROWS = 50_000
+_BASE = 0x9E3779B97F4A7C15
+_powers: list[np.ndarray] = []
+
+
+def powers(n: int) -> list[np.ndarray]:
+    """At least the first ``n`` powers of the base and of its inverse modulo 2**64."""
+    if not _powers or len(_powers[0]) < n:
+        inverse = pow(_BASE, -1, 1 << 64)
+        made = []
+        for base in (_BASE, inverse):
+            p = np.full(1 << max(18, (n - 1).bit_length()), np.uint64(base))
+            p[0] = 1
+            made.append(np.multiply.accumulate(p))
+        _powers[:] = made
+    return _powers
 
 
 def _window_hashes(data: np.ndarray, length: int) -> np.ndarray:
@@ -108,20 +133,25 @@ def _words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([pa.array(samples(part.column("body").to_pylist())[4])], ["word"])
 
 
+def _name(offset: int, around: bytes) -> bytes:
+    """Surroundings are their bytes and the place of the word in them."""
+    return hashlib.blake2b(offset.to_bytes(4, "little") + around, digest_size=16).digest()
+
+
 def _surroundings(bodies: list[bytes], repeated: np.ndarray):
-    """Samples whose word may be repeated: their columns, and the bytes around each with a hash of them."""
+    """Samples whose word may be repeated: their columns, the bytes around each and their names."""
     found = samples(bodies)
     keep = np.flatnonzero(bitmap.may_contain(repeated, found[4])) if len(found[4]) else found[0]
     row, at, low, high, word = (c[keep] for c in found)
     around = [bodies[r][a:b] for r, a, b in zip(row.tolist(), low.tolist(), (high + DEPTH).tolist())]
-    end = np.cumsum(np.fromiter(map(len, around), np.int64, len(around)))
-    start = np.concatenate([[0], end[:-1]]).astype(np.int64) if len(around) else end
-    name = segment_hashes(np.frombuffer(b"".join(around), np.uint8), start, end) if len(around) else np.zeros(0, np.uint64)
-    # the place of the word in its surroundings is part of what they are
-    return row, at, low, word, around, mix(name + (at - low).astype(np.uint64)).view(np.int64)
+    return row, at, low, word, around, [_name(k, x) for k, x in zip((at - low).tolist(), around)]
+
 
+_FOUND = "doc_id bigint, key bigint, at bigint, word bigint, name binary, offset int, n bigint, around binary"
 
-_FOUND = "doc_id bigint, key bigint, at bigint, word bigint, name bigint, offset int, n bigint, around binary"
+
+def _names(ddl: str) -> list[str]:
+    return [c.split(" ")[0] for c in ddl.split(", ")]
 
 
 def _find(repeated):
@@ -130,12 +160,13 @@ def _find(repeated):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in in_chunks(batches, "body", 2 * _SLICE):
             row, at, low, word, around, name = _surroundings(part.column("body").to_pylist(), repeated.value)
-            _, first, count = np.unique(mix(word.view(np.uint64)) ^ name.view(np.uint64), return_index=True, return_counts=True)
-            n = np.zeros(len(word), np.int64)
-            n[first] = count
+            first: dict[bytes, int] = {}
+            n = np.zeros(len(name), np.int64)
+            for k, x in enumerate(name):
+                n[first.setdefault(x, k)] += 1
             own = [part.column(c).take(pa.array(row)) for c in ("doc_id", "key")]
             bytes_ = pa.array([x if k else None for x, k in zip(around, n.tolist())], pa.binary())
-            yield pa.RecordBatch.from_arrays([*own, pa.array(at), pa.array(word), pa.array(name), pa.array((at - low).astype(np.int32)), pa.array(n), bytes_], [c.split(" ")[0] for c in _FOUND.split(", ")])
+            yield pa.RecordBatch.from_arrays([*own, pa.array(at), pa.array(word), pa.array(name, pa.binary()), pa.array((at - low).astype(np.int32)), pa.array(n), bytes_], _names(_FOUND))
 
     return run
 
@@ -160,7 +191,7 @@ def suffix_ranks(s: np.ndarray, depth: int) -> np.ndarray:
     s = np.concatenate([s, np.zeros(3, np.int64)])
     stop = n + (n % 3 == 1)
     sample = np.concatenate([np.arange(1, stop, 3), np.arange(2, stop, 3)])
-    if s.max() < 128:
+    if s.max() < 127:  # a name must be under 2**21
         names = ((s[sample] << 14) | (s[sample + 1] << 7) | s[sample + 2]) + 1
         distinct = False
     else:
@@ -194,13 +225,10 @@ def _repeated_strings(texts: list[bytes]) -> np.ndarray:
     joined = np.frombuffer(b"\0".join(texts) + bytes(DEPTH), np.uint8)
     start = np.cumsum(size + 1) - size - 1
     at = np.repeat(start - (np.cumsum(strings) - strings), strings) + np.arange(strings.sum())
-    if len(joined) < 1 << 21:
-        present = np.flatnonzero(np.bincount(joined, minlength=256))
-        code = np.zeros(256, np.int64)
-        code[present] = np.arange(1, len(present) + 1)
-        order = np.argsort(suffix_ranks(code[joined], DEPTH)[at])
-    else:  # more than 2 MB around one word: its strings compared as they are
-        order = np.array(sorted(range(len(at)), key=lambda k: joined[at[k] : at[k] + DEPTH].tobytes()))
+    present = np.flatnonzero(np.bincount(joined, minlength=256))
+    code = np.zeros(256, np.int64)
+    code[present] = np.arange(1, len(present) + 1)
+    order = np.argsort(suffix_ranks(code[joined], DEPTH)[at])
     x, y = at[order[:-1]], at[order[1:]]
     same = np.arange(len(x))
     eight = np.ndarray((len(joined) - 7,), "<u8", joined.tobytes(), strides=(1,))
@@ -212,7 +240,7 @@ def _repeated_strings(texts: list[bytes]) -> np.ndarray:
     return hit
 
 
-def _compare(word: np.ndarray, name: np.ndarray, offset: np.ndarray, n: np.ndarray, around: list[bytes]):
+def _compare(word: np.ndarray, offset: np.ndarray, n: np.ndarray, around: list[bytes]):
     """For each surroundings and maximal run of repeated strings: its row and the removed range, relative to the word."""
     size = np.fromiter(map(len, around), np.int64, len(around))
     strings = size - DEPTH + 1
@@ -226,7 +254,7 @@ def _compare(word: np.ndarray, name: np.ndarray, offset: np.ndarray, n: np.ndarr
     alone[:-1] &= word[1:] != word[:-1]
     sort = np.flatnonzero(~alone)
     low = 0
-    while low < len(sort):  # groups of whole words; ranks have 21 bits
+    while low < len(sort):  # groups of whole words; with GROUP surroundings at most, ranks have 21 bits
         high = min(low + _SORTED, len(sort))
         while high < len(sort) and word[sort[high]] == word[sort[high - 1]]:
             high += 1
@@ -241,14 +269,20 @@ def _compare(word: np.ndarray, name: np.ndarray, offset: np.ndarray, n: np.ndarr
     return owner[first], -lead[first], DEPTH - lead[last]
 
 
+_MET = "word bigint, name binary, offset int, n bigint, around binary"
+_RANGE = "word bigint, name binary, low int, high int, n bigint"
+
+
 def _repeats(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows sorted by (word, name): whole words together, in groups of bounded size; a word with more stays whole."""
+    """Rows sorted by (word, name): whole words together, in groups of bounded size; n is the number of samples."""
 
     def flush(rows: list[tuple]) -> Iterator[pa.RecordBatch]:
         word, name, offset, n, around = zip(*rows)
-        word, name = np.array(word, np.int64), np.array(name, np.int64)
-        k, low, high = _compare(word, name, np.array(offset, np.int64), np.array(n, np.int64), list(around))
-        yield pa.RecordBatch.from_arrays([pa.array(word[k]), pa.array(name[k]), pa.array(low.astype(np.int32)), pa.array(high.astype(np.int32))], ["word", "name", "low", "high"])
+        n = np.array(n, np.int64)
+        k, low, high = _compare(np.array(word, np.int64), np.array(offset, np.int64), n, list(around))
+        yield pa.RecordBatch.from_arrays(
+            [pa.array(np.array(word, np.int64)[k]), pa.array([name[j] for j in k.tolist()], pa.binary()), pa.array(low.astype(np.int32)), pa.array(high.astype(np.int32)), pa.array(n[k])], _names(_RANGE)
+        )
 
     held: list[tuple] = []
     for batch in batches:
@@ -256,7 +290,7 @@ def _repeats(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             if held and r[:2] == held[-1][:2]:  # the same surroundings from another chunk
                 held[-1] = (*r[:3], r[3] + held[-1][3], r[4])
                 continue
-            if len(held) >= 4000 and r[0] != held[-1][0]:
+            if len(held) >= 2 * GROUP and r[0] != held[-1][0]:
                 yield from flush(held)
                 held = []
             held.append(r)
@@ -264,6 +298,63 @@ def _repeats(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield from flush(held)
 
 
+def _light(heavy):
+    """Rows whose word is not to be split."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            yield b.filter(pa.array(~bitmap.may_contain(heavy.value, b.column("word").to_numpy())))
+
+    return run
+
+
+_SPLIT = "of_word bigint, of_name binary, word bigint, name binary, offset int, n bigint, around binary"
+
+
+def _split(heavy, wide: int):
+    """The strings of words to be split, ``wide`` starts at a time, under new words made of the bytes that they share."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            rows = []
+            b = batch.filter(pa.array(bitmap.may_contain(heavy.value, batch.column("word").to_numpy())))
+            for word, name, offset, n, around in zip(*(b.column(c).to_pylist() for c in _names(_MET))):
+                last = offset - (len(around) - DEPTH)  # bytes before the word in the last string
+                for k in range(last // wide, offset // wide + 1):
+                    most, least = min(offset, k * wide + wide - 1), max(last, k * wide)
+                    own = around[offset - most : offset - least + DEPTH]
+                    shared = around[offset - k * wide : offset - (k * wide + wide - 1) + DEPTH]
+                    new = hashlib.blake2b(k.to_bytes(4, "little") + shared, digest_size=8).digest()
+                    rows.append((word, name, int.from_bytes(new, "little", signed=True), _name(most, own), most, n, own))
+            kinds = (pa.int64(), pa.binary(), pa.int64(), pa.binary(), pa.int32(), pa.int64(), pa.binary())
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows) if rows else [[]] * 7, kinds)], _names(_SPLIT))
+
+    return run
+
+
+def _ranges(met: DataFrame, level: int = 0) -> DataFrame:
+    """(word, name, low, high, n): the repeated ranges of all surroundings ``met``, relative to their word."""
+    spark = met.sparkSession
+    large = met.groupBy("word").agg(F.count("*").alias("n")).filter(F.col("n") > GROUP).select("word")
+    split = level < len(RANGES) and not large.isEmpty()
+    if split:
+        heavy = spark.sparkContext.broadcast(bitmap.build(large, "word"))
+        pieces = cut(met.mapInArrow(_split(heavy, RANGES[level]), _SPLIT), "suffix-split")
+        deeper = pieces.groupBy("word", "name").agg(F.min("offset").alias("offset"), F.sum("n").alias("n"), F.min("around").alias("around"), F.count("*").alias("pieces"))
+        deeper = cut(deeper, "suffix-pieces")
+        below = _ranges(deeper.drop("pieces"), level + 1).groupBy("word", "name").agg(F.collect_list(F.struct("low", "high")).alias("ranges"))
+        below = cut(below.join(deeper.select("word", "name", "pieces"), ["word", "name"]), "suffix-below")
+        back = join_groups(pieces.select("of_word", "of_name", "word", "name", "n"), below, ["word", "name"], "pieces")
+        back = back.select(F.col("of_word").alias("word"), F.col("of_name").alias("name"), "n", F.inline("ranges"))
+        back = cut(back.groupBy("word", "name", "low", "high").agg(F.sum("n").alias("n")).select(*_names(_RANGE)), "suffix-back")
+        for done in (pieces, deeper, below):
+            drop(done)
+        met = met.mapInArrow(_light(heavy), _MET)
+    tasks = max(int(spark.conf.get("spark.sql.shuffle.partitions")), met.count() // TASK_ROWS)
+    found = met.repartition(tasks, "word").sortWithinPartitions("word", "name").mapInArrow(_repeats, _RANGE)
+    return found.unionByName(back) if split else found
+
+
 def _compress(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     z = zstandard.ZstdCompressor(level=1)
     for b in batches:
@@ -289,11 +380,10 @@ def repeated_ranges(docs: DataFrame) -> DataFrame:
     words = rows.select("body").mapInArrow(_words, "word bigint").groupBy("word").agg(F.count("*").alias("n")).filter("n > 1").select("word")
     repeated = spark.sparkContext.broadcast(bitmap.build(words, "word"))
     samples_ = cut(rows.mapInArrow(_find(repeated), _FOUND), "suffix-samples")
-    met = samples_.filter("n > 0").select("word", "name", "offset", "n", "around")
-    n = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    found = met.repartition(n, "word").sortWithinPartitions("word", "name").mapInArrow(_repeats, "word bigint, name bigint, low int, high int")
-    hit = samples_.select("doc_id", "key", "at", "word", "name").join(found, ["word", "name"])
-    hit = hit.select("doc_id", "key", F.array(F.col("at") + F.col("low"), F.col("at") + F.col("high")).alias("range"))
+    found = _ranges(samples_.filter("n > 0").select(*_names(_MET)))
+    found = found.groupBy("word", "name").agg(F.collect_list(F.struct("low", "high")).alias("found"), F.max("n").alias("n"))
+    hit = join_groups(samples_.select("doc_id", "key", "at", "word", "name"), cut(found, "suffix-found"), ["word", "name"], "n")
+    hit = hit.select("doc_id", "key", F.flatten(F.transform("found", lambda r: F.array(F.col("at") + r["low"], F.col("at") + r["high"]))).alias("range"))
     return hit.groupBy("doc_id", "key").agg(F.flatten(F.collect_list("range")).alias("ranges"))
 
 
