@@ -3,14 +3,17 @@
 A turn is written ``<|turn:ROLE|>\\nTEXT<|end|>\\n``. Control strings inside roles and texts get a backslash after their
 first character and backslashes are doubled, so the marks in the output are the template's own and reading back is
 exact. Prefix sums of turn tokens choose the spans: a window takes turns while they fit the budget beside the system
-turn and a limited history; the history repeats the last turns of the window before. Loss spans cover the assistant
+turn and a limited history; the history repeats the last turns of the window before. Tokens are those of the written
+turn, marks and escapes included; a turn begins with ``<`` after a line end, where no token spans, so they add up. Loss spans cover the assistant
 texts of new turns only, so every target counts once.
 
 The rows of a conversation are streamed in turn order with constant state (the current window), so a conversation of
 any length needs no memory of its own; its digest needs its turns in order, and different conversations are spread.
 
 Edge cases: null roles and texts are empty; a turn longer than the budget stands in a window of its own (with the
-system turn), uncut; ties in ``turn`` go by role, then text; rows with a null conv_id are one conversation.
+system turn), uncut; ties in ``turn`` go by role, then text; repeated rows are turns of their own; rows with a null
+conv_id are one conversation; very long texts are encoded whole, one at a time; other columns are not read, so their
+names never clash; an empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -18,7 +21,7 @@ from __future__ import annotations
 import hashlib
 import re
 from bisect import bisect_left
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import pyarrow as pa
 import tiktoken
@@ -31,6 +34,7 @@ from kinelattice.session import importable
 #: Strings that chat templates give a meaning; a text must not smuggle one in.
 CONTROL = ("<|", "|>", "<s>", "</s>", "[INST]", "[/INST]", "<<SYS>>", "<</SYS>>")
 _ESCAPE = re.compile("(?=" + "|".join(re.escape(c) for c in CONTROL) + r")[\s\S]|\\")
+_END = "<|end|>\n"
 _TURN = re.compile(r"<\|turn:(.*?)\|>\n(.*?)<\|end\|>\n", re.S)
 _WINDOW = ["conv_id", "window", "formatted", "loss_start", "loss_end", "repeated", "n_new", "tokens"]
 _KINDS = [pa.int64(), pa.int32(), pa.string(), pa.list_(pa.int64()), pa.list_(pa.int64()), pa.int32(), pa.int32(), pa.int64()]
@@ -62,9 +66,11 @@ class _Conversation:
     def _keep_from(self, k: int) -> None:
         self.turns, self.ends = self.turns[k:], self.ends[k:]
 
-    def add(self, role: str, text: str, tokens: int) -> list[tuple]:
-        """Take a turn; the window that it closed, if any."""
-        turn = (f"<|turn:{escape(role)}|>\n", escape(text), role == "assistant", tokens)
+    def add(self, role: str, text: str, count: Callable[[str], int]) -> list[tuple]:
+        """Take a turn; the window that it closed, if any. ``count`` gives the tokens of what is written."""
+        header, body = f"<|turn:{escape(role)}|>\n", escape(text)
+        tokens = count(f"{header}{body}{_END}")
+        turn = (header, body, role == "assistant", tokens)
         if role == "system" and self.system is None and not self.turns:
             self.system = turn
             return []
@@ -87,7 +93,7 @@ class _Conversation:
             if target and k >= self.old + len(lead):
                 start.append(at + len(header))
                 end.append(at + len(header) + len(text))
-            parts.append(f"{header}{text}<|end|>\n")
+            parts.append(f"{header}{text}{_END}")
             at += len(parts[-1])
         row = (self.conv_id, self.window, "".join(parts), start, end, repeated, len(parts) - repeated, self._cost())
         self.window += 1
@@ -114,7 +120,7 @@ def windows(conversations: DataFrame, path: str, pattern: str, budget: int = 102
                 if conv is None or conv.conv_id != conv_id:
                     rows += [conv.close()] if conv else []
                     conv = _Conversation(conv_id, budget, history)
-                done = conv.add(role, text, len(encode(f"{role}\n{text}\n")))
+                done = conv.add(role, text, lambda written: len(encode(written)))
                 rows += done
                 size += len(text)
                 if size > 4 << 20:
