@@ -133,7 +133,7 @@ def test_near_dup_large_chain(spark):
 
 def test_signatures():
     values, n = minhash.shingles([b"A b C d e f", b"a B c D E F", b"", None, b"one two", b"x" * 3])
-    assert n.tolist() == [2, 2, 0, 0, 1, 1] and values[:2].tolist() == values[2:4].tolist() and values[4] != values[5]
+    assert n.tolist() == [2, 2, 0, 0, 1, 1] and (values[:, :2] == values[:, 2:4]).all() and (values[:, 4] != values[:, 5]).all()
     rng = np.random.default_rng(0)
     pool = rng.integers(0, 1 << 63, 3000, dtype=np.uint64)
     a, b = pool[:2000], pool[500:2500]  # similarity 0.6
@@ -141,6 +141,39 @@ def test_signatures():
     assert abs((low[0] == low[1]).mean() - 0.6) < 0.06
 
 
+def morse(n, flip=False):
+    """The Thue-Morse word of n letters or its complement, which polynomial hashes modulo a power of two take for equal."""
+    return "".join("ab"[(bin(k).count("1") + flip) % 2] for k in range(n))
+
+
+@pytest.mark.parametrize("n", [256, 1024, 4096])
+def test_no_structural_collisions(spark, n):
+    """Words, lines and passages that differ only by complement are different to all operators that hash."""
+    docs = frame(spark, [(1, morse(n)), (2, morse(n, True)), (3, morse(n))])
+    assert {r["doc_id"]: r["component_id"] for r in minhash.near_dup(docs).collect()} == {1: 1, 2: 2, 3: 1}
+    x, y = "c" * 100 + morse(n) + "d" * 100, "c" * 100 + morse(n, True) + "d" * 100
+    lines = frame(spark, [(1, x), (2, y), (3, x)])
+    sets = [{t[k : k + 7] for k in range(len(t) - 6)} for t in (x, y)]
+    similar = 100 * len(sets[0] & sets[1]) >= 80 * len(sets[0] | sets[1])
+    assert {r["doc_id"]: r["dropped"] for r in line_dedup.line_dedup(lines).collect()} == {1: [], 2: [0] if similar else [], 3: [0]}
+    assert_suffix_dedup_equals_brute_force(docs, [(1, morse(n)), (2, morse(n, True)), (3, morse(n))])
+
+
+@pytest.mark.parametrize("width", [1, 5, 7])
+def test_window_numbers_are_exact(width):
+    rng = np.random.default_rng(width)
+    texts = [rng.integers(0, top, rng.integers(0, 40)) for top in (2, 3, 10**6, 1 << 40) for _ in range(12)]
+    numbers, n = minhash.number_windows(np.concatenate(texts).astype(np.int64), np.array(list(map(len, texts))), width)
+    want = [tuple(t[k : k + width].tolist()) for t in texts for k in range(max(len(t) - width + 1, min(len(t), 1)))]
+    assert n.sum() == len(want) == len(numbers)
+    assert len(set(want)) == len(set(numbers.tolist())) == len(set(zip(want, numbers.tolist())))
+
+
+def test_exact_numbers_of_shingles():
+    a, n = minhash.numbered_shingles([b"A b c d e f", b"a b c d e f x", None, b"a b"])
+    assert n.tolist() == [2, 3, 0, 1] and a[:2].tolist() == a[2:4].tolist() and len(set(a.tolist())) == 4
+
+
 def test_estimate(spark):
     rng = np.random.default_rng(1)
     low = rng.integers(0, 1 << 32, (2, 512), dtype=np.uint32)
@@ -202,14 +235,41 @@ def test_line_dedup_equals_brute_force(spark, docs, corpus):
     assert line_dedup.line_dedup(frame(spark, [])).count() == 0
 
 
-def test_line_pairs_local_and_large():
-    band = np.array([1] * 100 + [2, 2, 3], np.int64)
-    ids = np.arange(103, dtype=np.int64)
-    a, b, rest = line_dedup._pairs(band, ids, 2)
-    assert {(x, y) for x, y in zip(a.tolist(), b.tolist()) if x >= 100} == {(100, 101)}
-    near = {(x, y) for x, y in zip(a.tolist(), b.tolist()) if x < 100}
-    assert {(k, k + 1) for k in range(99)} <= near and {(0, k) for k in range(1, 100)} <= near
-    assert rest[0] and rest[100] and rest[102] and not rest[5]
+def test_line_pairs_small_and_large():
+    ids = np.arange(206, dtype=np.int64).reshape(-1, 2)
+    a, b = line_dedup._pairs(ids, np.array([100, 2, 1]))
+    got = sorted(zip((a[:, 0] // 2).tolist(), (b[:, 0] // 2).tolist()))
+    assert got == sorted([(k, k + 1) for k in range(99)] + [(0, k) for k in range(2, 100)] + [(100, 101)])
+
+
+def template(n, seed=3):
+    """Lines from one template; pairs are similar to 0.6 to 0.9, a third of them to 0.8 and more."""
+    rng = random.Random(seed)
+    words = ["".join(rng.choice(LOWER) for _ in range(rng.randint(3, 9))) for _ in range(60)]
+    rows = []
+    for k in range(n):
+        own = list(words)
+        for j in rng.sample(range(len(own)), rng.randint(1, 4)):
+            own[j] = "".join(rng.choice(LOWER) for _ in range(6))
+        rows.append((k, " ".join(own)))
+    return rows
+
+
+@pytest.mark.parametrize("n", [10, 100, 800])
+def test_line_dedup_of_templates(spark, n):
+    """Runs of any size: at least 0.99 of the true links end in one component, whatever the partitions."""
+    rows = template(n)
+    sets = [frozenset(x[j : j + 7] for j in range(len(x) - 6)) for _, x in rows]
+    true = [(a, b) for a in range(n) for b in range(a) if 100 * len(sets[a] & sets[b]) >= 80 * len(sets[a] | sets[b])]
+    answers = []
+    for parts in (1, 3, 50) if n == 100 else (3,):
+        df = frame(spark, rows).repartition(parts)
+        at = {bytes(r["node"]): bytes(r["component"]) for r in line_dedup.similar_lines(df.select("doc_id", "text")).collect()}
+        ids = [hashlib.blake2b(x.encode(), digest_size=16).digest() for _, x in rows]
+        same = [at.get(ids[a], ids[a]) == at.get(ids[b], ids[b]) for a, b in true]
+        assert len(true) > n // 2 and sum(same) >= 0.99 * len(true)
+        answers.append({r["doc_id"]: r["dropped"] for r in line_dedup.line_dedup(df).collect()})
+    assert all(x == answers[0] for x in answers)
 
 
 def star(n=250):
@@ -247,11 +307,11 @@ def test_line_dedup_star_in_one_chunk(spark):
     assert_lines_equal_brute_force(rows, frame(spark, rows).coalesce(1))
 
 
-def test_suffix_dedup_equals_brute_force(spark, docs, corpus):
-    texts = [(t or "").encode() for _, t in corpus]
+def assert_suffix_dedup_equals_brute_force(docs, rows):
+    texts = [(t or "").encode() for _, t in rows]
     count = collections.Counter(b[k : k + 200] for b in texts for k in range(len(b) - 199))
     want = collections.Counter()
-    for (i, _), b in zip(corpus, texts):
+    for (i, _), b in zip(rows, texts):
         hit = bytearray(len(b))
         for k in range(len(b) - 199):
             if count[b[k : k + 200]] > 1:
@@ -259,10 +319,58 @@ def test_suffix_dedup_equals_brute_force(spark, docs, corpus):
         kept = bytes(x for x, y in zip(b, hit) if not y)
         want[i, len(b), sum(hit), len(re.findall(b"\1+", bytes(hit))), hashlib.sha256(kept).hexdigest()] += 1
     got = collections.Counter(tuple(r) for r in suffix_dedup.suffix_dedup(docs).collect())
-    assert got == want and sum(k[2] for k in want) > 1000
+    assert got == want
+    return sum(k[2] * n for k, n in want.items())
+
+
+def test_suffix_dedup_equals_brute_force(spark, docs, corpus):
+    assert assert_suffix_dedup_equals_brute_force(docs, corpus) > 1000
     assert suffix_dedup.suffix_dedup(frame(spark, [])).count() == 0
 
 
+def hot_passages(n):
+    """Texts around one passage of 60, 150 or 190 bytes, some of them with the same bytes before or after it."""
+    rng = random.Random(n)
+    letters = lambda k: "".join(rng.choice(LOWER) for _ in range(k))
+    passage, before, after = letters(190), [letters(200) for _ in range(3)], [letters(200) for _ in range(3)]
+    rows = []
+    for k in range(n):
+        own = passage[: rng.choice([60, 150, 190])]
+        rows.append((k, (rng.choice(before) if rng.random() < 0.05 else letters(180)) + own + (rng.choice(after) if rng.random() < 0.05 else letters(180))))
+    return rows
+
+
+def test_hot_words_are_split(spark, monkeypatch):
+    monkeypatch.setattr(suffix_dedup, "GROUP", 20)
+    rows = hot_passages(300) + [(1000 + k, "z" * 150 + str(k) * 60) for k in range(9)]
+    assert assert_suffix_dedup_equals_brute_force(frame(spark, rows).repartition(3), rows) > 1000
+
+
+def test_two_megabytes_around_one_word(spark):
+    rows = hot_passages(6500)
+    assert assert_suffix_dedup_equals_brute_force(frame(spark, rows).repartition(4), rows) > 1000
+
+
+@pytest.mark.parametrize("size", [1, 2, 100, 125, 126, 127, 128, 130, 200])
+def test_suffix_ranks_of_any_alphabet(size):
+    rng = np.random.default_rng(size)
+    for _ in range(5):
+        s = np.concatenate([rng.integers(1, size + 1, 60), np.arange(1, size + 1), np.full(5, size), rng.integers(max(1, size - 2), size + 1, 300)])
+        rank = suffix_dedup.suffix_ranks(s.astype(np.int64), 200)
+        order = np.argsort(rank, kind="stable")
+        cut = [s[k : k + 200].tolist() for k in order]
+        assert cut == sorted(cut)
+
+
+@pytest.mark.parametrize("n", [126, 127])
+def test_repeats_over_many_byte_values(n):
+    rng = np.random.default_rng(n)
+    text = bytes(rng.integers(1, n + 1, 600, dtype=np.uint8))
+    other = bytes(rng.integers(1, n + 1, 250, dtype=np.uint8))
+    hit = suffix_dedup._repeated_strings([text, text[100:400], other])
+    assert hit.tolist() == [100 <= k <= 200 for k in range(401)] + [True] * 101 + [False] * 51
+
+
 @pytest.mark.parametrize("text", ["banana" * 40, "a" * 500, "abracadabra", "mississippi" * 30 + "x", "ab", "a"])
 def test_suffix_ranks_sort_prefixes(text):
     s = np.frombuffer(text.encode(), np.uint8).astype(np.int64) - 96
@@ -401,8 +509,38 @@ def test_language_id(spark):
     assert {r["doc_id"]: (r["lang_pred"], r["score"] > 0) for r in odd.collect()} == {1: ("und", False), 2: ("und", False), 3: ("und", False), 4: (next(r["lang_pred"] for r in odd.collect() if r["doc_id"] == 4), True), 5: ("aa", True)}
     none = language_id.train(df.limit(0))
     assert {r["lang_pred"] for r in language_id.predict(df, none).collect()} == {"und"}
-    folded = language_id.train(df, model_mb=1)
-    assert folded.logp.nbytes <= 1 << 20 and language_id.predict(df, folded).count() == 181
+    blocks = language_id.predict(df, model, group=2)  # the same answers, two languages at a time
+    assert all(x["lang_pred"] == y["lang_pred"] and abs(x["score"] - y["score"]) < 1e-9 for x, y in zip(*(sorted(d.collect()) for d in (blocks, language_id.predict(df, model)))))
+    assert language_id.predict(df.limit(0), model).count() == 0
+
+
+def brute_grams(text):
+    """Buckets of the 1- to 3-character n-grams of a text between spaces, character by character."""
+    chars = [c if ord(c) >= 128 or c.isalpha() else " " for c in f" {text.lower()} "]
+    for n in (1, 2, 3):
+        for k in range(len(chars) - n + 1):
+            h = 0
+            for c in chars[k : k + n]:
+                h = (h * 0x01000193 + ord(c)) & 0xFFFFFFFF
+            h = ((h ^ n) * 0x9E3779B1) & 0xFFFFFFFF
+            h = ((h ^ (h >> 15)) * 0x85EBCA77) & 0xFFFFFFFF
+            yield h >> 16
+
+
+def test_language_posterior_equals_brute_force(spark):
+    rows = [(1, "Die schöne Welt", "de"), (2, "nicht so, heute", "de"), (3, "the world is", "en"), (4, "not so today", "en"), (5, "le monde été", "fr"), (6, None, "fr"), (7, "", "en")]
+    asked = ["Welt", "so", "day été", "x", "日本 the"]
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    got = {r["doc_id"]: r for r in language_id.predict(spark.createDataFrame(list(enumerate(asked)), "doc_id long, text string"), language_id.train(df)).collect()}
+    count = {x: collections.Counter() for x in ("de", "en", "fr")}
+    docs = collections.Counter(x for *_, x in rows)
+    for _, t, x in rows:
+        count[x].update(brute_grams(t or ""))
+    for k, t in enumerate(asked):
+        logit = {x: math.log(docs[x] / 7) + sum(math.log((count[x][g] + 0.5) / (sum(count[x].values()) + 0.5 * 65536)) for g in brute_grams(t)) for x in count}
+        best = max(sorted(logit), key=logit.get)
+        score = 1 / sum(math.exp(v - logit[best]) for v in logit.values())
+        assert got[k]["lang_pred"] == best and got[k]["score"] == pytest.approx(score, abs=1e-4)
 
 
 ASSIGN = re.compile(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.I | re.A)
@@ -540,6 +678,7 @@ def test_chat_round_trip(spark):
     said = "</s>[INST] ok [/INST]"
     rows = [(-7, 0, "user", said), (-7, 1, "assistant", said), (1, 0, "system", "sys \\ <|end|>\n"), (2, 0, None, None), (2, 0, "assistant", "tie"), (3, 5, "user", "<<|turn:x|>\n\\|>"), (None, 0, "user", "no id")]
     rows += [(1, k, ["user", "assistant"][k % 2 == 0], prose(rng, rng.randint(1, 90))) for k in range(1, 60)]
+    rows += [(6, k, "user" if k % 2 else "assistant", rng.choice(["ok", "no", "<|", "\n"])) for k in range(600)]
     rows += [(4, 0, "user", prose(rng, 3000)), (4, 1, "assistant", prose(rng, 3000)), (5, 0, "assistant", "")]
     df = chats(spark, [(*r, "w") for r in rows])
     windows = chat.windows(df, BPE, public_tokenizers.PATTERN, budget=300, history=80)
@@ -549,6 +688,9 @@ def test_chat_round_trip(spark):
         turns, loss = "".join(f"{r}\n{x}\n" for _, r, x in own), "".join(x for _, r, x in own if r == "assistant")
         g = got[conv]
         assert (g["n_turns"], g["turns_sha256"], g["loss_chars"], g["loss_sha256"]) == (len(own), hashlib.sha256(turns.encode()).hexdigest(), len(loss), hashlib.sha256(loss.encode()).hexdigest())
+    enc = tiktoken.Encoding("own", pat_str=public_tokenizers.PATTERN, mergeable_ranks={base64.b64decode(a): int(b) for a, b in map(bytes.split, open(BPE, "rb"))}, special_tokens={})
+    for w in windows.collect():
+        assert len(enc.encode_ordinary(w["formatted"])) == w["tokens"] and (w["tokens"] <= 300 or w["n_new"] == 1)
     long = sorted((w for w in windows.collect() if w["conv_id"] == 1), key=lambda w: w["window"])
     assert len(long) > 5 and all(w["tokens"] <= 300 for w in long) and all(chat.parse(w["formatted"])[0][0] == "system" for w in long)
     assert any(w["repeated"] > 1 for w in long[1:]) and sum(w["n_new"] for w in long) == 60
