@@ -7,7 +7,10 @@ an anomaly. Its reject threshold is calibrated on all labelled rows that pass th
 Bounds: the forests are fitted on at most ``fit_rows`` labelled rows (lowest hash of doc_id first; of the bad ones
 among them so many that they make up ``contamination``); calibration counts
 every labelled row in ``BINS`` score bins. Edge cases: a null or empty text has all statistics 0 and fails the base
-rules; without labels of both kinds, the method rejects nothing; repeated rows get equal verdicts.
+rules; without labels of both kinds, the method rejects nothing; repeated rows get equal verdicts; of ties between
+thresholds the middle one is taken, and of labels of one doc_id the lesser; a very long text is a chunk of its own and
+read whole; other columns stay or are not read (names that begin with ``_kl_`` are the module's own); an empty table
+gives no rows.
 """
 
 from __future__ import annotations
@@ -20,9 +23,10 @@ import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import LongType, StructField, StructType
 
 from kinelattice.llm.textcols import ASCII_SPACE, in_chunks, texts
-from kinelattice.session import cut
+from kinelattice.session import cut, importable
 
 SYMBOLS = b"#*$%&|<>"
 BINS = 2000
@@ -207,11 +211,15 @@ def calibrate(labelled: DataFrame, fit_rows: int = 8192, trees: int = 100, sampl
     return Verdict(judges)
 
 
+def _labelled(own: DataFrame, labels: DataFrame) -> DataFrame:
+    known = labels.select(F.col("doc_id"), "quality").groupBy("doc_id").agg(F.min("quality").alias("quality"))
+    return own.join(known, "doc_id")
+
+
 def fit_verdict(docs: DataFrame, labels: DataFrame, **params) -> tuple[Verdict, DataFrame]:
     """The calibrated verdict and the statistics of all documents (written once, small rows)."""
     own = cut(stats(docs), "quality-stats")
-    known = labels.select(F.col("doc_id"), "quality").groupBy("doc_id").agg(F.min("quality").alias("quality"))
-    return calibrate(own.join(known, "doc_id"), **params), own
+    return calibrate(_labelled(own, labels), **params), own
 
 
 def quality_rules(docs: DataFrame, labels: DataFrame, **params) -> DataFrame:
@@ -230,14 +238,26 @@ def quality_rules(docs: DataFrame, labels: DataFrame, **params) -> DataFrame:
 
 
 def keep_good(docs: DataFrame, labels: DataFrame, **params) -> DataFrame:
-    """The rows of ``docs`` that the rules keep, with all their columns. Judged row by row: no join on ids."""
-    verdict, _ = fit_verdict(docs, labels, **params)
+    """The rows of ``docs`` that the rules keep, with all their columns.
+
+    Every text is parsed once: its statistics travel with the row, and the verdict is found and applied row by row.
+    """
+    importable(docs.sparkSession)
+    names = [f"_kl_{c}" for c in (*COUNTS, *EXTRA)]
+
+    def measure(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for part in in_chunks(batches, "text"):
+            rows = np.array([text_stats(b) for b in part.column("text").cast(pa.binary()).to_pylist()], np.int64).reshape(part.num_rows, -1)
+            yield pa.RecordBatch.from_arrays([*part.columns, *(pa.array(rows[:, k]) for k in range(len(names)))], [*part.schema.names, *names])
+
+    own = cut(docs.mapInArrow(measure, StructType([*docs.schema.fields, *(StructField(c, LongType()) for c in names)])), "quality-rows")
+    verdict = calibrate(_labelled(own.select("doc_id", *(F.col(c).alias(c.removeprefix("_kl_")) for c in names)), labels), **params)
     shared = docs.sparkSession.sparkContext.broadcast(verdict)
+    columns = docs.columns
 
     def judge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for part in in_chunks(batches, "text"):
-            bodies = part.column("text").cast(pa.binary()).to_pylist()
-            rows = np.array([text_stats(b) for b in bodies], np.int64).reshape(part.num_rows, -1)
-            yield part.filter(pa.array(shared.value.kept(dict(zip((*COUNTS, *EXTRA), rows.T)))[0]))
+        for b in batches:
+            x = {c: b.column(f"_kl_{c}").to_numpy(zero_copy_only=False) for c in (*COUNTS, *EXTRA)}
+            yield b.select(columns).filter(pa.array(shared.value.kept(x)[0]))
 
-    return docs.mapInArrow(judge, docs.schema)
+    return own.mapInArrow(judge, docs.schema)
