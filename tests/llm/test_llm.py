@@ -17,7 +17,7 @@ import tiktoken
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
-from kinelattice.llm import bitmap, byte_bpe, chat, components, exact_dedup, language_id, line_dedup, minhash, packing, quality_rules, queries, secrets_scan, suffix_dedup
+from kinelattice.llm import bitmap, byte_bpe, chat, components, exact_dedup, language_id, line_dedup, minhash, packing, quality_rules, queries, secrets_scan, skew, suffix_dedup
 
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, kept string, body string, n_words string"
 #: Nulls, empty texts, white space only, one word, ties, repeated rows, a text with control characters, non-ASCII.
@@ -81,6 +81,20 @@ def test_exact_dedup(spark, docs, corpus):
     assert exact_dedup.exact_dedup(frame(spark, [])).count() == 0
     kept = exact_dedup.keep_first(docs)
     assert kept.columns == docs.columns and kept.count() == len(groups)
+    first = {norm(r["text"]): r["doc_id"] for r in kept.collect()}
+    assert first == {t: min((i for i in ids if i is not None), default=None) for t, ids in groups.items()}
+
+
+@pytest.mark.parametrize("parts", [2, 1024])
+def test_hot_groups_join_by_broadcast(spark, monkeypatch, parts):
+    """One text fills most of the table, others few rows: the same rows whatever counts as hot."""
+    monkeypatch.setattr(skew, "PARTS", parts)
+    rows = [(k, "hot text") for k in range(60)] + [(100 + k, f"text {k % 7}") for k in range(30)] + [(3, "hot  text"), (3, "hot text"), (None, "hot\ttext"), (None, "alone")]
+    got = collections.Counter((r["doc_id"], r["keep_id"], r["group_size"], r["kept"]) for r in exact_dedup.exact_dedup(frame(spark, rows)).collect())
+    want = collections.Counter({(k, 0, 63, k == 0): 1 for k in range(60)}) + collections.Counter([(3, 0, 63, False)] * 2 + [(None, 0, 63, False), (None, None, 1, True)])
+    want += collections.Counter((100 + k, 100 + k % 7, 5 if k % 7 < 2 else 4, k < 7) for k in range(30))
+    assert got == want
+    assert sorted(r["doc_id"] for r in exact_dedup.keep_first(frame(spark, rows)).collect() if r["doc_id"] is not None) == [0, *range(100, 107)]
 
 
 def brute_near(rows, percent=75):
@@ -496,6 +510,44 @@ def test_quality_rules(spark):
     assert free.count() == 0 and quality_rules.quality_rules(frame(spark, []), labels).count() == 0
 
 
+def test_forest_verdict_equals_brute_force(spark):
+    """Path lengths by walking every tree, thresholds by trying every one on all labelled rows, verdicts by hand."""
+    df, labels = quality_corpus(spark)
+    verdict, own = quality_rules.fit_verdict(df, labels, trees=20, sample=64)
+    rows = [r for r in own.collect() if r["doc_id"] is not None]
+    names = (*quality_rules.COUNTS, *quality_rules.EXTRA)
+    kinds = {r["doc_id"]: r["quality"] for r in labels.collect() if r["doc_id"] is not None and r["quality"] is not None}
+    key = lambda r: tuple(r[c] for c in ("doc_id", *quality_rules.COUNTS))
+    judged = {key(r): r for r in quality_rules.quality_rules(df, labels, trees=20, sample=64).collect()}
+    expected = lambda n: 0.0 if n <= 1 else 1.0 if n == 2 else 2 * (math.log(n - 1) + 0.5772156649015329) - 2 * (n - 1) / n
+
+    def walk(forest, tree, x):
+        node = 0
+        while forest.feature[tree][node] >= 0:
+            node = forest.left[tree][node] + int(x[forest.feature[tree][node]] >= forest.value[tree][node])
+        return forest.path[tree][node]
+
+    assert len(verdict.judges) >= 2
+    passed = [r for r in rows if r["n_words"] >= 50 and 100 * r["n_repeat_words"] <= 50 * r["n_words"]]
+    worst = {key(r): -1.0 for r in rows}
+    for which, forest, threshold in verdict.judges:
+        assert forest.norm == pytest.approx(expected(64))
+        score = {}
+        for r in rows:
+            x = quality_rules.features({c: np.array([r[c]]) for c in names})[0, which]
+            score[key(r)] = 2 ** (-np.mean([walk(forest, t, x) for t in range(20)]) / forest.norm)
+            worst[key(r)] = max(worst[key(r)], score[key(r)] - threshold)
+        gain = []
+        for b in range(quality_rules.BINS + 1):
+            share = [np.mean([int(score[key(r)] * quality_rules.BINS) >= b for r in passed if kinds.get(r["doc_id"]) == q]) for q in (0, 1)]
+            gain.append(share[0] - share[1] if share[1] <= 0.003 else -1.0)
+        best = [b for b, g in enumerate(gain) if g == max(gain)]
+        assert threshold == best[len(best) // 2] / quality_rules.BINS
+    for r in rows:
+        base = not (r["n_words"] >= 50 and 100 * r["n_repeat_words"] <= 50 * r["n_words"])
+        assert judged[key(r)]["kept"] == (not base and worst[key(r)] < 0)
+
+
 def test_language_id(spark):
     rng = random.Random(3)
     langs = {"aa": ["the", "and", "thing", "with", "other"], "bb": ["der", "und", "nicht", "keit", "schön"], "cc": ["les", "eau", "été", "que", "mention"]}
