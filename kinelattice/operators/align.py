@@ -77,3 +77,17 @@ def split_truth_key(key: Column) -> tuple[Column, Column, Column]:
 
 def subset_axis4(v: Column, positions: list[int]) -> Column:
     return F.array(*(F.element_at(v, k + 1) for k in positions))
+
+
+def labels_containing(df: DataFrame, part: str, label: str = "label") -> DataFrame:
+    """Rows whose label has ``part`` in it."""
+    return df.filter(F.col(label).contains(part))
+
+
+def evaluation_entries(wanted: DataFrame, algorithms: dict[str, list[str]]) -> DataFrame:
+    """(dataset, component, algorithm): ``wanted`` (dataset, component) with the algorithms of each component.
+
+    Components without an algorithm have no entry.
+    """
+    mapping = wanted.sparkSession.createDataFrame([(c, a) for c, own in algorithms.items() for a in own], "component string, algorithm string")
+    return wanted.select("dataset", "component").distinct().join(mapping, "component").select("dataset", "component", "algorithm")

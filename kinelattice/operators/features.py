@@ -64,6 +64,27 @@ def leaning(points: DataFrame, keys: list[str], pairs: list[tuple[str, str]], la
     return temporal.gradient(out, [k for k in keys if k != "frame"], "angle")
 
 
+def gaze_interaction(heads: DataFrame, gaze: DataFrame, keys: list[str], person: str = "person", threshold: float = 0.4) -> DataFrame:
+    """Distance of every gaze line from every face, looking at and mutual looking."""
+    return dyads.gaze_contact(heads, gaze, keys, person, threshold)
+
+
+def gaze_multiview(inputs: list[DataFrame], keys: list[str], coords: list[str], weight: str | None = None, calibration: DataFrame | None = None) -> DataFrame:
+    """Gaze fused over the cameras of all algorithms and, with calibration, its vector in every camera's image."""
+    fused = fusion.ensemble(inputs, keys, coords, weight)
+    return fused if calibration is None else fusion.project_gaze(fused, calibration, keys)
+
+
+#: The feature functions by name.
+FEATURES: dict[str, Callable[..., DataFrame]] = {
+    "kinematics": kinematics,
+    "proximity": proximity,
+    "leaning": leaning,
+    "gaze_interaction": gaze_interaction,
+    "gaze_multiview": gaze_multiview,
+}
+
+
 def model_hook(rows: DataFrame, predict: Callable[[pd.DataFrame], pd.DataFrame], schema: str) -> DataFrame:
     """A user's model over Arrow batches: the place of the external detectors."""
     importable(rows.sparkSession)

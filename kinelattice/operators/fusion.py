@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from kinelattice.functions.vec import matvec, pitch_yaw, pixel_vector, unit
+from kinelattice.functions.vec import matvec, pitch_yaw, pixel_vector, strict_mean, unit
 
 
 def fuse_mean(df: DataFrame, keys: list[str], coords: list[str], normalise: bool = True) -> DataFrame:
@@ -81,6 +81,11 @@ def mid_point(points: DataFrame, keys: list[str], coords: list[str], labels: lis
     return points.filter(F.col(label).isin(*labels)).groupBy(*keys).agg(*(F.when(F.count(c) == len(labels), F.avg(c)).alias(c) for c in coords))
 
 
+def time_mean(points: DataFrame, keys: list[str], coords: list[str]) -> DataFrame:
+    """keys and coords: the mean point over all frames; missing if one of them is."""
+    return points.groupBy(*keys).agg(*(strict_mean(F.col(c)).alias(c) for c in coords))
+
+
 def face_centre(x: Column, y: Column, rank: Column, width: Column, height: Column) -> tuple[Column, Column]:
     """A face centre for display; where it is missing, a third or two thirds across the image for the first or second person."""
     return F.coalesce(x, width * (rank + 1) / 3), F.coalesce(y, height / 3)

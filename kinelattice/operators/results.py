@@ -86,8 +86,9 @@ class Results:
     def to_dataframe(self, dropna: bool = False) -> DataFrame:
         return self.view.na.drop("any") if dropna else self.view
 
-    def to_csv(self, output_dir: str, file_name: str = "summary") -> str:
-        return write_csv(self.view, output_dir, file_name)
+    def to_csv(self, output_dir: str, file_name: str = "summary", single: bool = False) -> str:
+        """Write the view as CSV and return the path: a folder written by the tasks or, if asked for, one file."""
+        return str(write_small_csv(self.view, output_dir, file_name)) if single else write_csv(self.view, output_dir, file_name)
 
 
 def write_csv(df: DataFrame, output_dir: str, file_name: str) -> str:
@@ -137,12 +138,12 @@ def summarise(results: Results, summary: Summary, check: bool = True) -> DataFra
     return view.aggregate(groups, list(summary.agg_funcs))
 
 
-def create_summaries(results: Results, summaries: list[Summary], output_dir: str) -> dict[str, str | None]:
-    """Write every summary; the path by name, None for those skipped."""
+def create_summaries(results: Results, summaries: list[Summary], output_dir: str, single: bool = False) -> dict[str, str | None]:
+    """Write every summary, as a folder or as one file; the path by name, None for those skipped."""
     out = {}
     for s in summaries:
         table = summarise(results, s)
-        out[s.name] = None if table is None else write_csv(table, output_dir, s.name)
+        out[s.name] = None if table is None else str(write_small_csv(table, output_dir, s.name)) if single else write_csv(table, output_dir, s.name)
     return out
 
 

@@ -91,3 +91,8 @@ def drop_last(df: DataFrame, order: str) -> DataFrame:
     """All rows but the last by ``order`` (unique): one aggregate, no global window."""
     last = df.agg(F.max(order).alias("_last"))
     return df.join(F.broadcast(last), F.col(order) < F.col("_last")).drop("_last")
+
+
+def work_total(parts: DataFrame, length: str, keys: list[str] | None = None) -> DataFrame:
+    """keys, frames: the frames of all parts together."""
+    return parts.groupBy(*(keys or [])).agg(F.coalesce(F.sum(length), F.lit(0)).cast("bigint").alias("frames"))

@@ -76,17 +76,15 @@ def savgol(df: DataFrame, keys: list[str], column: str, window: int = 11, order:
     if window % 2 == 0 or order >= window:
         raise ValueError("the window must be odd and longer than the order")
     w, half = series(keys, frame), window // 2
-    at = F.row_number().over(w) - 1
-    n = F.count(F.lit(1)).over(Window.partitionBy(*keys))
-    values = F.collect_list(F.struct(F.col(column).alias("x"))).over(w.rowsBetween(-(window - 1), window - 1))
-    out = df.withColumns({"_at": at, "_n": n, "_values": values})
-    start = F.greatest(F.lit(0), F.least(F.col("_at") - half, F.col("_n") - window))
-    have = F.greatest(F.lit(0), F.col("_at") - (window - 1))
+    at, n, x = F.row_number().over(w) - 1, F.count(F.lit(1)).over(Window.partitionBy(*keys)), F.col(column)
+    near = {k: x if k == 0 else F.lag(x, -k).over(w) if k < 0 else F.lead(x, k).over(w) for k in range(-(window - 1), window)}
+    out = df.withColumns({"_at": at, "_n": n, **{f"_x{k}": c for k, c in near.items()}})
     short = F.raise_error(F.lit(f"a series is shorter than the window of {window}")).cast("double")
-    part = F.slice("_values", (start - have + 1).cast("int"), F.lit(window))
-    weights = F.element_at(F.array(*(F.array(*(F.lit(float(c)) for c in row)) for row in savgol_matrix(window, order))), (F.col("_at") - start + 1).cast("int"))
-    smooth = F.aggregate(F.zip_with(part, weights, lambda p, c: p["x"] * c), F.lit(0.0), lambda acc, x: acc + x)
-    return out.withColumn("smoothed", F.when(F.col("_n") < window, short).otherwise(smooth)).drop("_at", "_n", "_values")
+    spot = F.col("_at") - F.greatest(F.lit(0), F.least(F.col("_at") - half, F.col("_n") - window))  # this row's place in its window
+    smooth = F.when(F.col("_n") < window, short)
+    for j, row in enumerate(savgol_matrix(window, order)):
+        smooth = smooth.when(spot == j, reduce(lambda a, b: a + b, (F.col(f"_x{i - j}") * F.lit(float(c)) for i, c in enumerate(row))))
+    return out.withColumn("smoothed", smooth).select(*df.columns, "smoothed")
 
 
 def interpolate(df: DataFrame, keys: list[str], coords: list[str], max_empty: int = 10, order: str = "frame", compat: bool = False) -> DataFrame:

@@ -1 +1,5 @@
+"""Registered queries; both modules add to the tables of ``catalog``."""
 
+from kinelattice.plans import catalog, scenes
+
+__all__ = ["catalog", "scenes"]

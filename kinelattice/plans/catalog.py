@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from kinelattice.functions import vec
-from kinelattice.operators import align, cameras, detections, dyads, features, fusion, metrics, tables, temporal
+from kinelattice.operators import align, cameras, detections, dyads, fusion, metrics, tables, temporal
 from kinelattice.operators.results import Results, Summary, summarise
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -165,11 +165,6 @@ def savgol_interior(spark, sf_dir):
     return out.select("event_type", "frame", r6("smoothed").alias("smoothed"))
 
 
-@query()
-def savgol(spark, sf_dir):
-    return temporal.savgol(_daily(spark, sf_dir), ["event_type"], "x").select("event_type", "frame", r6("smoothed").alias("smoothed"))
-
-
 _GAPS = f"(SELECT user_id, frame, CASE WHEN conf >= 0.06 OR conf IS NULL THEN x END AS x FROM {_S})"
 
 
@@ -464,17 +459,6 @@ def bodypart_means_all(spark, sf_dir):
     return fusion.bodypart_means(s, ["event_type", "frame"], "x", parts, "joint").withColumn("x", r6("x"))
 
 
-@query()
-def leaning(spark, sf_dir):
-    """Body angle over three midpoints of joints, with its gradient along the vectors of a label."""
-    names = [f"k{i}" for i in range(6)]
-    joints = F.array(*(F.struct(F.lit(n).alias("label"), F.slice("v", 1 + 3 * i, 3).alias("v")) for i, n in enumerate(names)))
-    e = _vectors(spark, sf_dir).select(F.col("label").alias("person"), F.col("vec_id").alias("frame"), F.explode(joints).alias("j"))
-    points = e.select("person", "frame", F.col("j.label").alias("label"), F.col("j.v").alias("v"))
-    out = features.leaning(points, ["person", "frame"], [("k0", "k1"), ("k2", "k3"), ("k4", "k5")])
-    return out.select("person", "frame", r6("angle").alias("angle"), r6("gradient").alias("gradient"))
-
-
 @query(f"SELECT vec_id, round(v[1], 4) AS x, round(v[2], 4) AS y, round(v[3], 4) AS z, 0.9::DOUBLE AS conf FROM {_E}")
 def triangulated(spark, sf_dir):
     """Points of ``embeddings`` seen by two cameras and brought back to 3-D."""
@@ -489,13 +473,3 @@ def triangulated(spark, sf_dir):
         seen = own if seen is None else seen.unionByName(own)
     out = cameras.triangulate_joints(seen, one, two, ("c1", "c2"), ["vec_id"])
     return out.select("vec_id", *(F.round(c, 4).alias(c) for c in "xyz"), "conf")
-
-
-@query()
-def corrected_people(spark, sf_dir):
-    """Detections of an order's lines: suppressed, ordered, and carried over where their number is wrong."""
-    b = _boxed(spark, sf_dir)
-    li = b.withColumn("score", F.pmod(F.hash("l_orderkey", "person"), F.lit(100)) / 100.0)
-    d = li.select((F.col("l_orderkey") % 50).alias("camera"), F.col("l_orderkey").alias("frame"), F.col("person").alias("pos"), "x1", "y1", "x2", "y2", "score")
-    out = detections.correct_people(d, ["camera"], "frame", 2, above=0.3)
-    return out.select("camera", "frame", F.size("people").alias("n"), F.array_join(F.transform("people", lambda p: p["pos"].cast("string")), ",").alias("people"))

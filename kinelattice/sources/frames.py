@@ -61,6 +61,16 @@ def batches(paths: DataFrame, size: int) -> DataFrame:
     return frames.groupBy("batch").agg(F.array_sort(F.collect_list(F.struct("frame_idx", "frame", F.map_entries("images").alias("images")))).alias("frames"))
 
 
+def rows_by_path(rows: DataFrame, paths: DataFrame) -> DataFrame:
+    """Detector rows (path and others) with the frame and camera of their image; rows of unknown paths go."""
+    return rows.join(paths.select("path", "frame", "frame_idx", "camera"), "path")
+
+
+def integer_fps(fps: Column) -> Column:
+    """Frames per second cut to an integer, -1 where they are unknown."""
+    return F.coalesce(fps.cast("int"), F.lit(-1))
+
+
 def fraction(rate: Column) -> Column:
     """A rational like "30000/1001"; NULL for a zero denominator."""
     parts = F.split(rate, "/")

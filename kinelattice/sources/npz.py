@@ -203,15 +203,53 @@ def write_npz(values: DataFrame, root: str) -> DataFrame:
     return values.select(*keys, "metric_name", "person", "camera", "frame", "label", "value").groupBy(*keys).applyInPandas(write, "path string, arrays int")
 
 
-def long_values(arrays: DataFrame, axis: DataFrame | None = None) -> DataFrame:
+def write_features(arrays: DataFrame, root: str) -> DataFrame:
+    """Packed arrays (the columns of ``read_npz``) to archives <root>/<dataset>__<session>[__<sequence>]/<component>/<algorithm>.npz.
+
+    One task writes one file, array by array: a dense grid [person, camera, frame, label, coordinate], the confidence
+    last where there is one, NaN where there is no value; rows without a label give [person, camera, frame, coordinate].
+    Reading gives the same rows again. Returns (path, arrays); collect it to write. The root must be visible to all
+    executors.
+    """
+    keys = ["dataset", "session", "sequence", "component", "algorithm"]
+    importable(arrays.sparkSession)
+
+    def write(rows: pd.DataFrame) -> pd.DataFrame:
+        first = rows.iloc[0]
+        folder = "__".join(str(first[k]) for k in keys[:3] if pd.notna(first[k]))
+        path = os.path.join(root, folder, str(first["component"]), f"{first['algorithm']}.npz")
+        grids, known = {}, {}
+        for name, own in rows.groupby("array_name"):
+            labelled, sure = own["label"].notna().all(), own["conf"].notna().any()
+            columns = ["person", "camera", "frame", *(["label"] if labelled else [])]
+            axes = [sorted(own[c].unique()) for c in columns]
+            v = np.array(own["v"].tolist(), float).reshape(len(own), -1)
+            v = np.column_stack([v, own["conf"].to_numpy(float)]) if sure else v
+            grid = np.full([*map(len, axes), v.shape[1]], np.nan)
+            grid[tuple(np.searchsorted(a, own[c]) for a, c in zip(axes, columns))] = v
+            shown = [*(own["axis"].iloc[0] if own["axis"].iloc[0] is not None else [f"v{k}" for k in range(v.shape[1] - sure)]), *(["confidence_score"] if sure else [])]
+            grids[name] = grid
+            known[name] = {f"axis{k}": [f"{int(x):09d}" for x in a] if k == 2 else [str(x) for x in a] for k, a in enumerate([*axes, shown])}
+        os.makedirs(os.path.dirname(path), exist_ok=True)
+        np.savez_compressed(path, data_description=np.array(json.dumps(known)), **grids)
+        return pd.DataFrame({"path": [path], "arrays": [len(grids)]})
+
+    return arrays.select(*keys, "array_name", "person", "camera", "frame", "label", "v", "conf", "axis").groupBy(*keys).applyInPandas(write, "path string, arrays int")
+
+
+def long_values(arrays: DataFrame, axis: DataFrame | None = None, joined: bool = False) -> DataFrame:
     """Read metric archives in the long schema; the algorithm's ``__`` suffix is the metric type.
 
     The label is the array's own or, in grids [person, camera, frame, label], the last axis' name at pos; ``axis``
-    (pos, label) goes before the names in the archive.
+    (pos, label) goes before the names in the archive. With ``joined``, all of the folder's name after the dataset is the
+    sequence, and there is no session level.
     """
     parts = F.split("algorithm", "__", 2)
     out = arrays.withColumns({"metric_type": F.try_element_at(parts, F.lit(2)), "algorithm": F.element_at(parts, 1), "metric_name": F.col("array_name")})
     head = ["metric_name", "dataset", "session", "sequence", "component", "algorithm", "metric_type", "person", "camera"]
+    if joined:
+        out = out.withColumn("sequence", F.concat_ws("__", "session", "sequence"))
+        head.remove("session")
     out = out.select(*head, "label", "axis", "frame", "frame_idx", F.posexplode("v").alias("pos", "value"))
     names = [F.col("label"), F.get("axis", "pos")]
     if axis is not None:

@@ -210,6 +210,35 @@ def test_detections(spark):
     assert sorted(r["subject"] for r in detections.assign_visible(df.filter("frame = 0"), ["camera", "frame"], vis, fallback=2).collect()) == [1, 1]
 
 
+def test_single_file_csv(spark, tmp_path):
+    r = Results.of(spark.createDataFrame([("jpe", "a", 1.5), ("jpe", "b", float("nan"))], "metric_name string, person string, value double"))
+    path = r.to_csv(str(tmp_path), "one", single=True)
+    assert sorted(open(path).read().split()) == ["jpe,a,1.5", "jpe,b,", "metric_name,person,value"]
+
+
+def test_feature_registry(spark):
+    assert set(features.FEATURES) == {"kinematics", "proximity", "leaning", "gaze_interaction", "gaze_multiview"}
+    one = spark.createDataFrame([(0, "c1", 3.0, 4.0, 0.0), (0, "c2", 3.0, 4.0, 0.0)], "frame int, camera string, x double, y double, z double")
+    fused = features.FEATURES["gaze_multiview"]([one], ["frame"], ["x", "y", "z"]).first()["fused"]
+    assert fused == pytest.approx([0.6, 0.8, 0.0])
+    people = spark.createDataFrame([(0, "a", 0.0, 0.0, 0.0), (0, "b", 3.0, 4.0, 0.0)], "frame int, person string, x double, y double, z double")
+    assert [r["distance"] for r in features.FEATURES["proximity"](people, ["frame"], ["x", "y", "z"]).collect()] == [5.0, 5.0]
+
+
+def test_savgol_ends_and_gaps(spark):
+    """Every place of a window by a polynomial fit; a missing value spreads; a short series is an error."""
+    rng = np.random.default_rng(2)
+    x = rng.normal(size=23)
+    df = spark.createDataFrame([("a", k, float(v)) for k, v in enumerate(x)] + [("b", k, None if k == 9 else float(k)) for k in range(20)], "s string, frame int, x double")
+    got = {(r["s"], r["frame"]): r["smoothed"] for r in temporal.savgol(df, ["s"], "x", 7, 3).collect()}
+    for k in range(23):
+        start = min(max(k - 3, 0), 16)
+        assert got["a", k] == pytest.approx(np.polyval(np.polyfit(np.arange(7), x[start : start + 7], 3), k - start))
+    assert [k for k in range(20) if got["b", k] is None] == list(range(6, 13)) and got["b", 0] == pytest.approx(0.0, abs=1e-9)
+    with pytest.raises(Exception, match="shorter than the window"):
+        temporal.savgol(df.filter("frame < 5"), ["s"], "x", 7, 3).collect()
+
+
 def test_correct_people_above_equals_brute_force(spark):
     rng = np.random.default_rng(3)
     rows = []

@@ -65,6 +65,17 @@ def test_npz_round_trip(spark, tmp_path):
     assert view.aggregate("person").count() == 2
 
 
+def test_feature_archives_round_trip(spark, tmp_path):
+    rows = [("d", "s", q, "kinematics", "vel", a, p, "c1", f, x, [float(f), float(len(x)), None if f == 4 else 1.0], 0.5 if a == "sure" else None, ["x", "y", "z"]) for q in (None, "q1") for a in ("sure", "plain") for p in ("a", "b") for f in (3, 4) for x in ("nose", "hip")]
+    schema = "dataset string, session string, sequence string, component string, algorithm string, array_name string, person string, camera string, frame int, label string, v array<double>, conf double, axis array<string>"
+    done = npz.write_features(spark.createDataFrame(rows, schema), str(tmp_path)).collect()
+    assert sorted(r["path"].removeprefix(str(tmp_path)) for r in done) == ["/d__s/kinematics/vel.npz", "/d__s__q1/kinematics/vel.npz"]
+    back = npz.read_npz(spark, str(tmp_path))
+    assert sorted(map(str, map(tuple, back.select(*(c.split(" ")[0] for c in schema.split(", "))).collect()))) == sorted(map(str, rows))
+    assert {r["sequence"] for r in npz.long_values(back, joined=True).select("sequence").collect()} == {"s", "s__q1"}
+    assert "session" not in npz.long_values(back, joined=True).columns
+
+
 def test_npz_round_trip_keeps_labels(spark, tmp_path):
     rows = [("jpe", "d", "s", None, "body", "alg", "kp", p, c, f, l, float(k)) for k, (p, c, f, l) in enumerate(itertools.product("ab", ("c1", "c2"), (3, 4), ("nose", "hip", "knee")))]
     schema = "metric_name string, dataset string, session string, sequence string, component string, algorithm string, metric_type string, person string, camera string, frame int, label string, value double"
