@@ -1,10 +1,12 @@
 """Byte-level BPE over a global shuffle of distinct words (see ``distinct_words``).
 
 Each match of the pattern is one pre-token; distinct pre-tokens are encoded once for the whole corpus and documents are
-put together again by position. Decoding looks ids up in the token-byte table, whose size the vocabulary fixes.
+put together again by position. Decoding joins ids with the token-byte table on the map side: each task holds the table,
+whose size the vocabulary fixes, so ids are never shuffled.
 
-Edge cases: a null or empty text has no ids; repeated rows are separate rows; special-token strings in a text are
-ordinary text; doc_id may be null.
+Edge cases: a null or empty text has no ids; ties and repeated rows are separate rows; special-token strings in a text are
+ordinary text; doc_id may be null; a very long text is a chunk of its own and encoded whole; other columns are not read,
+so their names never clash; an empty table gives no rows.
 """
 
 from __future__ import annotations

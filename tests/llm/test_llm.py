@@ -487,6 +487,8 @@ def test_quality_statistics():
     for text in ("", "a", "a a a a", "a b c a b c", "é # b\nx\nx\n \n\n x", "one two three four one two three", "x y \x1c z", "a b c d\na b c d\n"):
         assert quality_rules.text_stats(text.encode())[:5] == brute(text), text
     assert quality_rules.text_stats(None)[:5] == (0,) * 5
+    long = "\n".join(prose(random.Random(k), 400) for k in range(500)) + " #" * 1000
+    assert quality_rules.text_stats(long.encode())[:5] == brute(long)
 
 
 def quality_corpus(spark):
@@ -731,6 +733,7 @@ def test_chat_round_trip(spark):
     rows = [(-7, 0, "user", said), (-7, 1, "assistant", said), (1, 0, "system", "sys \\ <|end|>\n"), (2, 0, None, None), (2, 0, "assistant", "tie"), (3, 5, "user", "<<|turn:x|>\n\\|>"), (None, 0, "user", "no id")]
     rows += [(1, k, ["user", "assistant"][k % 2 == 0], prose(rng, rng.randint(1, 90))) for k in range(1, 60)]
     rows += [(6, k, "user" if k % 2 else "assistant", rng.choice(["ok", "no", "<|", "\n"])) for k in range(600)]
+    rows += [(7, 0, "user", "twice")] * 2 + [(7, 1, "assistant", "yes")] * 2
     rows += [(4, 0, "user", prose(rng, 3000)), (4, 1, "assistant", prose(rng, 3000)), (5, 0, "assistant", "")]
     df = chats(spark, [(*r, "w") for r in rows])
     windows = chat.windows(df, BPE, public_tokenizers.PATTERN, budget=300, history=80)
