@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from kinelattice.functions.vec import box_iou, distance, point_line_distance, strict_mean
@@ -11,11 +11,11 @@ from kinelattice.functions.vec import box_iou, distance, point_line_distance, st
 def pairs(df: DataFrame, keys: list[str], member: str, columns: list[str], include_self: bool = False, only_dyads: bool = False) -> DataFrame:
     """Every ordered pair of members of a group: keys, <member>_a, <member>_b, <column>_a, <column>_b.
 
-    One equi-join on the group keys with a residual on the members. ``only_dyads`` keeps groups of exactly two.
+    One equi-join on the group keys with a residual on the members. ``only_dyads`` keeps groups of exactly two, counted
+    over the partitioning that the join needs anyway.
     """
     if only_dyads:
-        two = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("n")).filter("n = 2").select(*keys)
-        df = df.join(two, keys, "left_semi")
+        df = df.withColumn("_n", F.count(F.lit(1)).over(Window.partitionBy(*keys))).filter("_n = 2")
     side = lambda s: df.select(*keys, *(F.col(c).alias(f"{c}_{s}") for c in (member, *columns)))
     out = side("a").join(side("b"), keys)
     return out if include_self else out.filter(F.col(f"{member}_a") != F.col(f"{member}_b"))
@@ -40,13 +40,11 @@ def gaze_contact(heads: DataFrame, gaze: DataFrame, keys: list[str], person: str
     """
     one = heads.join(gaze, [*keys, person])
     both = pairs(one, keys, person, ["head", "direction"])
-    d = point_line_distance(F.col("head_b"), F.col("head_a"), F.col("direction_a"))
-    seen = both.select(*keys, F.col(f"{person}_a").alias(person), F.col(f"{person}_b").alias("target"), d.alias("distance"))
-    seen = seen.withColumn("look_at", F.coalesce(F.col("distance") <= threshold, F.lit(False)))
-    pair = [F.least(person, "target").alias("_low"), F.greatest(person, "target").alias("_high")]
-    seen = seen.select("*", *pair)
-    mutual = seen.groupBy(*keys, "_low", "_high").agg(F.bool_and("look_at").alias("mutual"))
-    out = seen.join(mutual, [*keys, "_low", "_high"]).drop("_low", "_high")
+    there = point_line_distance(F.col("head_b"), F.col("head_a"), F.col("direction_a"))
+    back = point_line_distance(F.col("head_a"), F.col("head_b"), F.col("direction_b"))
+    hits = lambda c: F.coalesce(F.col(c) <= threshold, F.lit(False))
+    seen = both.select(*keys, F.col(f"{person}_a").alias(person), F.col(f"{person}_b").alias("target"), there.alias("distance"), back.alias("_back"))
+    out = seen.select(*keys, person, "target", "distance", hits("distance").alias("look_at"), (hits("distance") & hits("_back")).alias("mutual"))
     own = one.select(*keys, person, F.col(person).alias("target"), F.lit(0.0).alias("distance"), F.lit(False).alias("look_at"), F.lit(False).alias("mutual"))
     return out.unionByName(own)
 

@@ -7,6 +7,9 @@ from pyspark.sql import functions as F
 
 from kinelattice.functions.vec import matvec, pitch_yaw, pixel_vector, strict_mean, unit
 
+#: Rows of a calibration table that is repeated for every vector.
+MOST_CAMERAS = 1000
+
 
 def fuse_mean(df: DataFrame, keys: list[str], coords: list[str], normalise: bool = True) -> DataFrame:
     """keys, fused: mean of every coordinate over what is there, at unit length."""
@@ -60,9 +63,11 @@ def eye_region(landmarks: DataFrame, keys: list[str], coords: list[str], pos: st
 def project_gaze(gaze: DataFrame, cameras: DataFrame, keys: list[str], v: str = "fused") -> DataFrame:
     """keys, camera, dx, dy: the gaze in every camera's image, stored negated.
 
-    ``cameras`` (camera, R, image_width) is calibration: one row per camera, repeated for every vector. A missing vector
-    stays missing.
+    ``cameras`` (camera, R, image_width) is calibration: one row per camera, repeated for every vector. More than
+    ``MOST_CAMERAS`` are a ValueError, so what is broadcast is small. A missing vector stays missing.
     """
+    if cameras.limit(MOST_CAMERAS + 1).count() > MOST_CAMERAS:
+        raise ValueError(f"a calibration of more than {MOST_CAMERAS} cameras")
     wide = gaze.select(*keys, v).crossJoin(F.broadcast(cameras.select("camera", "R", "image_width")))
     pitch, yaw = pitch_yaw(matvec(F.col("R"), F.col(v)))
     wide = wide.withColumns({"_pitch": pitch, "_yaw": yaw})

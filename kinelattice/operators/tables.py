@@ -36,7 +36,7 @@ def dense_position(frame: str, keys: list[str]) -> Column:
 def explode_axis(df: DataFrame, v: str, axis: DataFrame) -> DataFrame:
     """Packed arrays to rows: adds pos and label from an axis table (pos, label)."""
     out = df.select("*", F.posexplode(v).alias("pos", "value"))
-    return out.join(F.broadcast(axis.select("pos", "label")), "pos") if axis is not None else out
+    return out.join(axis.select("pos", "label"), "pos") if axis is not None else out
 
 
 def keypoint_names(groups: dict[str, int | list[int] | dict]) -> dict[int, str]:

@@ -1,9 +1,9 @@
 """Array archives (.npz) as a Spark data source and sink.
 
 Every array starts with persons, cameras and frames; its ``data_description`` names the positions of each axis. Reading
-gives the packed form: one row per person, camera, frame and label, the last axis in ``v`` and its names in ``axis``. One input partition is one
-array of one file, and filters on ``array_name`` and ``component`` reach the planner, so arrays that nobody asks for
-are never opened. Descriptions may be JSON text or a pickled dict; pickles pass a reader that admits plain containers
+gives the packed form: one row per person, camera, frame and label, the last axis in ``v`` and its names in ``axis``. The
+driver only lists files; one input partition is one file, opened in its task. Filters on ``component`` reach the planner
+and those on ``array_name`` the tasks, so arrays that nobody asks for are never read. Descriptions may be JSON text or a pickled dict; pickles pass a reader that admits plain containers
 and arrays only.
 """
 
@@ -77,9 +77,8 @@ def parse_path(path: str) -> dict[str, str | None]:
 
 
 @dataclass
-class ArrayPartition(InputPartition):
+class ArchivePartition(InputPartition):
     path: str
-    array: str
 
 
 class NpzReader(DataSourceReader):
@@ -102,27 +101,26 @@ class NpzReader(DataSourceReader):
         for folder, _, names in sorted(os.walk(self.root)):
             yield from (os.path.join(folder, n) for n in sorted(names) if n.endswith(".npz"))
 
-    def partitions(self) -> list[ArrayPartition]:
-        out, files = [], 0
-        for path in self._files():
-            files += 1
-            component = parse_path(path)["component"]
-            if component not in self.wanted.get("component", {component}):
-                continue
-            try:
-                known = description(path)
-            except (KeyError, OSError, ValueError, zipfile.BadZipFile, pickle.UnpicklingError):
-                continue  # archives without a readable description are no results
-            out += [ArrayPartition(path, n) for n in array_names(path) if n in known and n in self.wanted.get("array_name", {n})]
+    def partitions(self) -> list[ArchivePartition]:
+        files = list(self._files())
         if not files:
             raise FileNotFoundError(f"no .npz archives under {self.root!r}")
-        return out
+        return [ArchivePartition(p) for p in files if (c := parse_path(p)["component"]) in self.wanted.get("component", {c})]
 
-    def read(self, partition: ArrayPartition | None) -> Iterator[pa.RecordBatch]:
+    def read(self, partition: ArchivePartition | None) -> Iterator[pa.RecordBatch]:
         if partition is None:  # no archive had what was asked for
             return
-        axes = description(partition.path)[partition.array]
-        data = np.asarray(read_array(partition.path, partition.array), float)
+        path = partition.path
+        try:
+            known = description(path)
+        except (KeyError, OSError, ValueError, zipfile.BadZipFile, pickle.UnpicklingError):
+            return  # archives without a readable description are no results
+        for name in array_names(path):
+            if name in known and name in self.wanted.get("array_name", {name}):
+                yield from self._array(path, name, known[name])
+
+    def _array(self, path: str, array: str, axes: dict) -> Iterator[pa.RecordBatch]:
+        data = np.asarray(read_array(path, array), float)
         names = [axes.get(f"axis{k}") for k in range(data.ndim)]
         persons, cameras, frames = (list(map(str, names[k])) if names[k] is not None and len(names[k]) else ["none"] for k in range(3))
         labels = names[3] if data.ndim == 5 else None
@@ -131,7 +129,7 @@ class NpzReader(DataSourceReader):
         split = isinstance(last, (list, tuple)) and len(last) and str(last[-1]) in _CONF
         shown = [last] if isinstance(last, str) else list(map(str, last)) if last is not None else []
         shown = (shown[:-1] if split else shown) or None
-        base = parse_path(partition.path)
+        base = parse_path(path)
         for i, person in enumerate(persons):
             for j, camera in enumerate(cameras):
                 block = data[i, j].reshape(len(frames), len(labels) if labels else 1, -1)
@@ -141,7 +139,7 @@ class NpzReader(DataSourceReader):
                 conf = rows[:, -1] if split else np.full(n * k, np.nan)
                 v = rows[:, :-1] if split else rows
                 flat = pa.array(v.ravel(), pa.float64(), from_pandas=True)
-                same = {c: pa.array([x] * (n * k), pa.string()) for c, x in {"path": partition.path, **base, "array_name": partition.array, "person": person, "camera": camera}.items()}
+                same = {c: pa.array([x] * (n * k), pa.string()) for c, x in {"path": path, **base, "array_name": array, "person": person, "camera": camera}.items()}
                 own = {
                     "frame": pa.array(np.repeat(frame, k)), "frame_idx": pa.array(np.repeat(np.arange(n, dtype=np.int32), k)),
                     "label": pa.array(list(labels) * n if labels else [None] * n, pa.string()),
