@@ -4,11 +4,13 @@ from __future__ import annotations
 
 from collections.abc import Callable
 from dataclasses import dataclass, field
+from typing import Protocol
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from kinelattice.functions.vec import distance
+from kinelattice.operators.align import align
 
 GROUP = ["component", "algorithm", "person", "camera"]
 
@@ -70,6 +72,44 @@ def jump_count(flags: DataFrame, group: list[str]) -> DataFrame:
     return flags.groupBy(*group).agg(F.count_if("jump").cast("double").alias("jump_count"))
 
 
+class Metric(Protocol):
+    """A metric plans two tables from predictions and ground truth: values by frame, and their summary by group."""
+
+    name: str
+
+    def plan(self, pred: DataFrame, gt: DataFrame) -> tuple[DataFrame, DataFrame]: ...
+
+
+@dataclass(frozen=True)
+class JointError:
+    """Joint error by frame over ``keys``; its mean by ``group``, frames without a value left out."""
+
+    keys: tuple[str, ...]
+    group: tuple[str, ...]
+    values: str = "v"
+    name: str = "jpe"
+
+    def plan(self, pred: DataFrame, gt: DataFrame) -> tuple[DataFrame, DataFrame]:
+        frames = joint_error(align(pred, gt, list(self.keys), values=self.values)).select(*self.keys, self.name)
+        return frames, frames.groupBy(*self.group).agg(F.avg(self.name).alias(self.name))
+
+
+@dataclass(frozen=True)
+class Agreement:
+    """Whether a flag agrees with the truth by frame; accuracy, precision, recall and F1 by ``group``."""
+
+    keys: tuple[str, ...]
+    group: tuple[str, ...]
+    values: str = "v"
+    name: str = "agreement"
+
+    def plan(self, pred: DataFrame, gt: DataFrame) -> tuple[DataFrame, DataFrame]:
+        both = align(pred, gt, list(self.keys), values=self.values, how="inner")
+        said, true = F.col("v_pred") != 0, F.col("v_gt") != 0
+        frames = both.select(*self.keys, (said == true).alias(self.name))
+        return frames, confusion(both, list(self.group), said, true).select(*self.group, *(m().alias(n) for n, m in CATEGORICAL.items()))
+
+
 @dataclass
 class MetricRun:
     """Plans of the metrics asked for; names that no metric has are kept in ``unknown``, failures in ``failed``."""

@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from kinelattice.functions import vec
-from kinelattice.operators import align, cameras, detections, dyads, features, fusion, tables, temporal
+from kinelattice.operators import align, cameras, detections, dyads, features, fusion, metrics, tables, temporal
 from kinelattice.operators.results import Results
 from kinelattice.plans.catalog import _B, _DAILY, _DOT, _E, _L, _LONG, _S, _boxed, _daily, _lines, _series, _slices, _values, _vectors, query, r6, read
 from kinelattice.sources import frames
@@ -144,6 +144,27 @@ def work_total(spark, sf_dir):
     return tables.work_total(read(spark, sf_dir, "lineitem"), "l_linenumber", ["l_returnflag"])
 
 
+@query(f"SELECT a.label, round(avg(list_distance(a.v, b.v)), 6) AS jpe FROM {_E} a LEFT JOIN (SELECT vec_id - 1 AS vec_id, v FROM {_E}) b ON b.vec_id = a.vec_id GROUP BY 1")
+def joint_error_summary(spark, sf_dir):
+    """The joint error of every vector against the next one, by label."""
+    pred = _vectors(spark, sf_dir)
+    gt = pred.select((F.col("vec_id") - 1).alias("vec_id"), "v").join(pred.select("vec_id", "label"), "vec_id")
+    return _rounded(metrics.JointError(("vec_id", "label"), ("label",)).plan(pred, gt)[1], "jpe")
+
+
+_AGREE = "(SELECT d.source, l.toxic <> 0 AS p, l.quality <> 0 AS g FROM labels l JOIN documents d USING (doc_id))"
+
+
+@query(f"""SELECT source, round((tp + tn) / (tp + tn + fp + fn), 6) AS accuracy, round(coalesce(tp / nullif(tp + fp, 0), 0), 6) AS precision, round(coalesce(tp / nullif(tp + fn, 0), 0), 6) AS recall,
+ round(coalesce(2 * tp / nullif(2 * tp + fp + fn, 0), 0), 6) AS f1 FROM (SELECT source, count_if(p AND g) AS tp, count_if(NOT p AND NOT g) AS tn, count_if(p AND NOT g) AS fp, count_if(NOT p AND g) AS fn FROM {_AGREE} GROUP BY 1)""")
+def agreement_summary(spark, sf_dir):
+    """Two flags of a document set against each other, by source."""
+    labels = read(spark, sf_dir, "labels").join(read(spark, sf_dir, "documents").select("doc_id", "source"), "doc_id")
+    side = lambda c: labels.select("doc_id", "source", F.col(c).alias("v"))
+    out = metrics.Agreement(("doc_id", "source"), ("source",)).plan(side("toxic"), side("quality"))[1]
+    return _rounded(out, "accuracy", "precision", "recall", "f1")
+
+
 # cameras and visibility ---------------------------------------------------------------------------------------------
 
 _TURN = [[0.9210609940028851, 0.0, 0.3894183423086505], [0.0, 1.0, 0.0], [-0.3894183423086505, 0.0, 0.9210609940028851]]
