@@ -24,6 +24,13 @@ def load_toml(path: str | Path) -> dict:
         return tomllib.load(f)
 
 
+def load_json(path: str | Path) -> dict:
+    path = Path(path)
+    if path.suffix != ".json":
+        raise ValueError(f"{path} is no .json file")
+    return json.loads(path.read_text())
+
+
 def latest_config(folder: str | Path) -> Path:
     """The last ``config_*.toml`` by name."""
     found = sorted(Path(folder).glob("config_*.toml"))

@@ -71,6 +71,14 @@ def integer_fps(fps: Column) -> Column:
     return F.coalesce(fps.cast("int"), F.lit(-1))
 
 
+def real_frames(images: DataFrame, start: int, expected: int, n: str = "n") -> DataFrame:
+    """Adds frame: the n-th extracted image, from 1, is frame ``start`` + n - 1. AssertionError unless all are there."""
+    found = images.select(F.count_distinct(n), F.min(n), F.max(n)).first()
+    if tuple(found) != (expected, 1, expected):
+        raise AssertionError(f"{expected} frames were expected; found {found[0]}, numbered {found[1]} to {found[2]}")
+    return images.withColumn("frame", F.col(n) + F.lit(start - 1))
+
+
 def fraction(rate: Column) -> Column:
     """A rational like "30000/1001"; NULL for a zero denominator."""
     parts = F.split(rate, "/")

@@ -350,3 +350,21 @@ def test_result_does_not_depend_on_partitions(spark):
     df = spark.range(200).select((F.col("id") % 3).alias("k"), F.col("id").alias("frame"), F.sin("id").alias("x"))
     got = [sorted(map(tuple, temporal.velocity(df.repartition(n), ["k"], ["x"], 30.0).collect()), key=str) for n in (1, 7)]
     assert got[0] == got[1]
+
+
+def test_axis_subset_and_label_predicate(spark):
+    df = spark.createDataFrame([("left_eye", [1.0, 2.0, 3.0]), ("nose", [4.0, 5.0, 6.0])], "label string, v array<double>")
+    assert [r[0] for r in df.select(align.subset_axis4(F.col("v"), [2, 0])).collect()] == [[3.0, 1.0], [6.0, 4.0]]
+    assert [r["label"] for r in align.labels_containing(df, "eye").collect()] == ["left_eye"]
+    wanted = spark.createDataFrame([("d1", "body"), ("d1", "face"), ("d2", "body")], "dataset string, component string")
+    assert sorted(map(tuple, align.evaluation_entries(wanted, {"body": ["x", "y"]}).collect())) == [(d, "body", a) for d in ("d1", "d2") for a in "xy"]
+    assert tables.work_total(wanted.selectExpr("length(dataset) AS n"), "n").first()["frames"] == 6
+    assert tables.work_total(wanted.selectExpr("length(dataset) AS n").limit(0), "n").first()["frames"] == 0
+
+
+def test_calibration_size_is_checked(spark, monkeypatch):
+    monkeypatch.setattr(fusion, "MOST_CAMERAS", 1)
+    eye = [[1.0, 0.0, 0.0], [0.0, 1.0, 0.0], [0.0, 0.0, 1.0]]
+    table = spark.createDataFrame([("a", eye, 100.0), ("b", eye, 100.0)], "camera string, R array<array<double>>, image_width double")
+    with pytest.raises(ValueError, match="more than 1"):
+        fusion.project_gaze(spark.createDataFrame([(0, [0.0, 0.0, -1.0])], "frame int, fused array<double>"), table, ["frame"])

@@ -178,3 +178,26 @@ def test_stream_equals_batch(spark, tmp_path):
         q.stop()
     got = {r["frame"]: r["jump"] for r in spark.table("jumped").collect()}
     assert got == {0: None, 1: False, 2: False, 3: True, 4: True, 5: False}
+
+
+def test_segments_and_json(spark, tmp_path):
+    (tmp_path / "s.csv").write_text("file,start,end\na.mp4,0.5,2\nb.mp4,1,\n")
+    assert [tuple(r) for r in config.segments(spark, str(tmp_path / "s.csv")).orderBy("file").collect()] == [("a.mp4", 0.5, 2.0), ("b.mp4", 1.0, None)]
+    (tmp_path / "x.json").write_text('{"a": [1]}')
+    assert config.load_json(tmp_path / "x.json") == {"a": [1]}
+    with pytest.raises(ValueError):
+        config.load_json(tmp_path / "s.csv")
+
+
+def test_real_frames(spark):
+    images = spark.range(1, 5).withColumnRenamed("id", "n")
+    assert sorted(r["frame"] for r in frames.real_frames(images, 100, 4).collect()) == [100, 101, 102, 103]
+    with pytest.raises(AssertionError, match="5 frames"):
+        frames.real_frames(images, 100, 5)
+
+
+def test_integer_fps_and_paths(spark):
+    df = spark.createDataFrame([("a", 29.97), ("b", None)], "path string, fps double")
+    assert [r[0] for r in df.select(frames.integer_fps(F.col("fps"))).collect()] == [29, -1]
+    paths = spark.createDataFrame([("a", 7, 0, "c1")], "path string, frame int, frame_idx int, camera string")
+    assert [(r["path"], r["frame"]) for r in frames.rows_by_path(df, paths).collect()] == [("a", 7)]
