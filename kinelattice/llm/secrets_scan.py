@@ -30,8 +30,8 @@ from kinelattice.session import cut
 KINDS = ("assign", "access", "hex", "random")
 _ASSIGN = r"""(?i:(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+))"""
 _ACCESS = r"AKIA[A-Z0-9]{14,}"
-_HEX = r"[0-9a-f]{16,}"
-_TOKEN = r"[A-Za-z0-9+/_=-]{12,}"
+_HEX, _HEX_LETTERS = r"[0-9a-f]", "0123456789abcdef"
+_TOKEN, _TOKEN_LETTERS = r"[A-Za-z0-9+/_=-]", "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/-_="
 #: Inferred encodings, the first that fits: pattern, alphabet, least deviation from uniformity per character of text
 #: that is not random (k * sum of squared letter shares - 1, for prose or numbers in that alphabet, halved).
 ENCODINGS = (
@@ -101,6 +101,22 @@ def _found(text: Column, pattern: str, valid=None) -> Column:
     return _let(pairs, spans)
 
 
+def _long_runs(text: Column, letter: str, letters: str, least: int) -> Column:
+    """Spans of the runs of at least ``least`` of the ``letters``: as ``_found``, in one pass.
+
+    A run is tried at its first letter only. Each run comes with the gap before it and is all that its letters trim off.
+    """
+    pieces = F.regexp_extract_all(text, F.lit(rf"(?s).*?(?:(?<!{letter}){letter}{{{least},}}|\z)"), F.lit(0))
+
+    def spans(pieces: Column) -> Column:
+        ends = _running(F.transform(pieces, F.length), lambda a, b: a + b)
+        hit = lambda p: F.substring(p, F.length(F.rtrim(p, F.lit(letters))) + 1, F.length(p))
+        every = F.zip_with(ends, F.transform(pieces, hit), lambda e, h: F.struct((e - F.length(h)).alias("start"), e.alias("end"), h.alias("hit")))
+        return F.filter(every, lambda s: F.length(s["hit"]) >= least)
+
+    return _let(pieces, spans)
+
+
 def _if(could: Column, spans: Column) -> Column:
     """``spans`` where a cheap necessary condition holds."""
     return F.when(could, spans).otherwise(_none(_SPANS))
@@ -156,8 +172,12 @@ def _serial(codes: Column, n: Column) -> Column:
     return _let(_sum(codes) / n, z)
 
 
-def battery(token: Column) -> Column:
-    """(encoding, uniform, runs, serial): the inferred encoding, from 1, and the three p-values of a token."""
+def battery(token: Column, whole: bool = True) -> Column:
+    """(encoding, uniform, runs, serial): the inferred encoding, from 1, and the three p-values of a token.
+
+    Without ``whole``, runs and serial correlation are 1 where the p-value of uniformity is 0.5 or more: such a token's
+    greatest p-value is beyond any discovery already.
+    """
     encoding = F.lit(len(ENCODINGS))
     for k in range(len(ENCODINGS) - 2, -1, -1):
         encoding = F.when(token.rlike(ENCODINGS[k][1]), F.lit(k + 1)).otherwise(encoding)
@@ -171,9 +191,10 @@ def battery(token: Column) -> Column:
 
         def tests(body: Column) -> Column:
             codes = F.transform(F.filter(F.split(body, ""), lambda c: c != ""), lambda c: F.call_function("instr", alphabet, c).cast("double"))
-            both = lambda c: F.struct(_uniform(body, letters, n, k, least).alias("u"), _runs(c, n, k).alias("r"), _serial(c, n).alias("s"))
-            z = _let(codes, both)
-            return _let(z, lambda z: F.struct(e.alias("encoding"), phi(z["u"]).alias("uniform"), phi(z["r"]).alias("runs"), phi(z["s"]).alias("serial")))
+            answer = lambda u, r, s: F.struct(e.alias("encoding"), phi(u).alias("uniform"), r.alias("runs"), s.alias("serial"))
+            rest = lambda u: _let(codes, lambda c: _let(F.struct(_runs(c, n, k).alias("r"), _serial(c, n).alias("s")), lambda z: answer(u, phi(z["r"]), phi(z["s"]))))
+            short = lambda u: rest(u) if whole else F.when(u >= 0, answer(u, F.lit(1.0), F.lit(1.0))).otherwise(rest(u))
+            return _let(_uniform(body, letters, n, k, least), short)
 
         return _let(F.when(e == len(ENCODINGS), token).otherwise(F.lower(token)), tests)  # all others are of one case
 
@@ -189,7 +210,7 @@ def _tested(span: Column) -> Column:
         stratum = (b["encoding"] * 32 + F.floor(F.log2(F.length(span["hit"]).cast("double")))).cast("int")
         return F.struct(span["start"].alias("start"), span["end"].alias("end"), stratum.alias("stratum"), at.alias("bin"))
 
-    return _let(battery(span["hit"]), judged)
+    return _let(battery(span["hit"], whole=False), judged)
 
 
 def _free(tokens: Column, base: Column) -> Column:
@@ -220,14 +241,16 @@ def scan(docs: DataFrame, text_col: str = "text") -> DataFrame:
         _found(text, _ASSIGN, lambda hit: F.length(F.regexp_extract(hit, _ASSIGN, 2)) >= 12),
     )
     access = _if(text.contains("AKIA"), _found(text, _ACCESS))
-    hexes = _if(text.rlike(_HEX), _found(text, _HEX))
+    hexes = _if(text.rlike(rf"{_HEX}{{16}}"), _long_runs(text, _HEX, _HEX_LETTERS, 16))
     base = F.array_sort(F.concat(_kind(assign, 1), _kind(access, 2), _kind(hexes, 3)))
-    out = docs.withColumn("_kl_base", base).withColumn("_kl_found", _found(text, _TOKEN))
+    out = docs.withColumn("_kl_base", base).withColumn("_kl_found", _long_runs(text, _TOKEN, _TOKEN_LETTERS, 12))
     return out.withColumn("_kl_tokens", F.transform(_free(F.col("_kl_found"), F.col("_kl_base")), _tested)).drop("_kl_found")
 
 
 def thresholds(scanned: DataFrame, q: float = 0.05) -> dict[int, int]:
-    """For each stratum the least p-bin at which the expected share of false discoveries is at most ``q``."""
+    """For each stratum the least p-bin at which the expected share of false discoveries is at most ``q``, under 0.5."""
+    if not 0 < q < 0.5:
+        raise ValueError(f"q is {q}; it must be between 0 and 0.5")
     rows = scanned.select(F.explode("_kl_tokens").alias("t")).groupBy("t.stratum", "t.bin").count().collect()  # strata x P_BINS rows at most
     counts: dict[int, list[int]] = defaultdict(lambda: [0] * P_BINS)
     for r in rows:
