@@ -32,6 +32,7 @@ from pyspark.sql import functions as F
 from kinelattice.llm import bitmap
 from kinelattice.llm.components import components
 from kinelattice.llm.minhash import bands, minima, number_windows
+from kinelattice.llm.skew import join_groups
 from kinelattice.llm.textcols import ASCII_SPACE, in_chunks, tasks_for, texts
 from kinelattice.session import cut, drop
 
@@ -346,10 +347,10 @@ def _across(runs: DataFrame, found: DataFrame, lines: DataFrame, percent: int) -
     parts = named.groupBy("run", "component").agg(F.struct(F.count("*").alias("n"), F.sum("bytes").alias("bytes"), "component").alias("part"))
     whole = parts.groupBy("run").agg(F.max("part").alias("top"), F.sum("part.n").alias("n"), F.sum("part.bytes").alias("bytes")).filter("n > top.n")
     blocks = lambda n, size: F.ceil(F.greatest(n / BLOCK, size / BLOCK_BYTES))
-    whole = whole.select("run", F.col("top.component").alias("top"), blocks(F.col("n") - F.col("top.n"), F.col("bytes") - F.col("top.bytes")).alias("less"), blocks(F.col("top.n"), F.col("top.bytes")).alias("more"))
+    whole = whole.select("run", "n", F.col("top.component").alias("top"), blocks(F.col("n") - F.col("top.n"), F.col("bytes") - F.col("top.bytes")).alias("less"), blocks(F.col("top.n"), F.col("top.bytes")).alias("more"))
     spot = F.xxhash64("id")
     block = F.when(F.col("component") == F.col("top"), F.col("less") + F.pmod(spot, "more")).otherwise(F.pmod(spot, "less"))
-    placed = named.join(whole, "run").withColumn("block", block)
+    placed = join_groups(named, cut(whole, "line-blocks"), ["run"], "n").withColumn("block", block)
     cell = lambda x, y: F.struct(x.cast("bigint").alias("x"), y.cast("bigint").alias("y"))
     as_y = F.transform(F.sequence(F.lit(0), F.least("block", F.col("less") - 1)), lambda x: cell(x, F.col("block")))
     last = F.col("less") + F.col("more") - 1
