@@ -34,7 +34,8 @@ def shared_dir(spark: SparkSession) -> str:
     """The shared folder for intermediate tables: ``spark.checkpoint.dir``, or one of our own where it is unset."""
     got = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if not got:
-        if not spark.sparkContext.master.startswith("local["):
+        master = spark.sparkContext.master
+        if master != "local" and not master.startswith("local["):
             raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         got = tempfile.mkdtemp(prefix="kinelattice-")
         spark.conf.set("spark.checkpoint.dir", got)
@@ -57,17 +58,23 @@ def drop(df: DataFrame) -> None:
         _delete(df.sparkSession, path)
 
 
+def shared_path(spark: SparkSession, label: str) -> str:
+    """A new folder name in the shared folder, for files of one's own; what is there goes when the driver ends."""
+    path = f"{shared_dir(spark)}/kinelattice/{label}-{uuid.uuid4().hex}"
+    _written[path] = spark
+    return path
+
+
 def cut(df: DataFrame, label: str = "cut") -> DataFrame:
     """Write ``df`` once to the shared folder and read it back: later plans start from the files.
 
     Unlike a cache, the table survives the loss of executors. Tables that are left go when the driver ends.
     """
     spark = df.sparkSession
-    path = f"{shared_dir(spark)}/kinelattice/{label}-{uuid.uuid4().hex}"
+    path = shared_path(spark, label)
     df.write.option("compression", "zstd").parquet(path)
     out = spark.read.schema(df.schema).parquet(path)
     out._kl_path = path
-    _written[path] = spark
     return out
 
 
