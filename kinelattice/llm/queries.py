@@ -8,7 +8,8 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from kinelattice.llm import byte_bpe, chat, exact_dedup, language_id, line_dedup, minhash, packing, quality_rules, secrets_scan, suffix_dedup
+from kinelattice.llm import byte_bpe, chat, exact_dedup, language_id, line_dedup, minhash, packing, quality_rules, secrets_scan, suffix_dedup, warc
+from kinelattice.session import shared_path
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -109,3 +110,20 @@ SELECT doc_id, min(doc_id) OVER g AS keep_id, CAST(count(*) OVER g AS BIGINT) AS
        doc_id = min(doc_id) OVER g AS kept, sha256(body) AS text_sha256
 FROM d WINDOW g AS (PARTITION BY body)
 """
+
+
+def op11_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = shared_path(spark, "warc")
+    warc.write_warc(_table(spark, sf_dir, "pages"), path)
+    return warc.pages_of(warc.read_warc(spark, path))
+
+
+QUERIES["op11_warc"] = op11_warc
+ORACLES["op11_warc"] = """
+WITH p AS (SELECT page_id, encode(coalesce(html, '')) AS body FROM pages),
+k AS (SELECT *, octet_length(body) AS n, max(page_id) OVER (PARTITION BY body) AS keep FROM p)
+SELECT page_id, CAST(n AS BIGINT) AS payload_bytes, sha1(body) AS payload_digest,
+       CASE WHEN n >= 1000 AND page_id <> keep THEN 'revisit' ELSE 'response' END AS record_type,
+       CASE WHEN n >= 1000 AND page_id <> keep THEN keep END AS refers_to
+FROM k
+"""

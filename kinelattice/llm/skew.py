@@ -9,8 +9,8 @@ from pyspark.sql import functions as F
 PARTS = 1024
 
 
-def join_groups(rows: DataFrame, groups: DataFrame, on: list[str], weight: str, total: int | None = None) -> DataFrame:
-    """The inner join of ``rows`` with ``groups`` (one row for each ``on``; ``weight``: how many of ``rows`` it matches).
+def join_groups(rows: DataFrame, groups: DataFrame, on: list[str], weight: str, total: int | None = None, how: str = "inner") -> DataFrame:
+    """The inner (or ``how="left"``) join of ``rows`` with ``groups`` (one row for each ``on``; ``weight``: how many of ``rows`` it matches).
 
     ``total`` is the sum of all weights, by default the number of rows. Groups with more than a ``PARTS``-th of all rows are fewer than ``PARTS``: they are broadcast and their rows are not
     shuffled. All others meet by hash, so no task gets a hot group. Both sides should be written tables.
@@ -19,4 +19,4 @@ def join_groups(rows: DataFrame, groups: DataFrame, on: list[str], weight: str,
     is_hot = F.col(weight) * PARTS > total
     hot = F.broadcast(groups.filter(is_hot))
     rest = rows.join(F.broadcast(groups.filter(is_hot).select(*on)), on, "left_anti")
-    return rows.join(hot, on).unionByName(rest.join(groups.filter(~is_hot), on))
+    return rows.join(hot, on).unionByName(rest.join(groups.filter(~is_hot), on, how))
