@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from kinelattice.llm import byte_bpe, chat, exact_dedup, language_id, line_dedup, minhash, packing, quality_rules, secrets_scan, suffix_dedup, warc
+from kinelattice.llm import byte_bpe, chat, exact_dedup, language_id, line_dedup, minhash, packing, quality_rules, secrets_scan, suffix_dedup, turn_repair, warc
 from kinelattice.session import shared_path
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -127,3 +127,11 @@ SELECT page_id, CAST(n AS BIGINT) AS payload_bytes, sha1(body) AS payload_digest
        CASE WHEN n >= 1000 AND page_id <> keep THEN keep END AS refers_to
 FROM k
 """
+
+
+def op12_turn_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = _table(spark, sf_dir, "conversations")
+    return turn_repair.report(turn_repair.repair(turn_repair.damage(rows)), rows)
+
+
+QUERIES["op12_turn_repair"] = op12_turn_repair
