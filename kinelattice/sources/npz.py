@@ -2,9 +2,12 @@
 
 Every array starts with persons, cameras and frames; its ``data_description`` names the positions of each axis. Reading
 gives the packed form: one row per person, camera, frame and label, the last axis in ``v`` and its names in ``axis``. The
-driver only lists files; one input partition is one file, opened in its task. Filters on ``component`` reach the planner
-and those on ``array_name`` the tasks, so arrays that nobody asks for are never read. Descriptions may be JSON text or a pickled dict; pickles pass a reader that admits plain containers
-and arrays only.
+driver only lists files and deals each one out in parts of ``split_bytes``; a task reads the headers of its archive, keeps
+the blocks (array, person, camera, frames) that the filters leave, and takes its share of them. Filters on the parts of
+the path reach the planner, those on ``array_name``, ``person``, ``camera`` and ``frame`` the blocks: in an uncompressed
+archive a task seeks to its blocks and reads nothing else; a compressed member is decoded up to the last block that is
+wanted. Descriptions may be JSON text or a pickled dict; pickles pass a reader that admits plain containers and arrays
+only. :func:`read_axes` gives the axes of all arrays from headers alone.
 """
 
 from __future__ import annotations
@@ -22,7 +25,7 @@ import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.datasource import DataSource, DataSourceReader, EqualTo, Filter, In, InputPartition
+from pyspark.sql.datasource import DataSource, DataSourceReader, EqualTo, Filter, GreaterThan, GreaterThanOrEqual, In, InputPartition, LessThan, LessThanOrEqual
 
 from kinelattice.session import importable
 
@@ -40,20 +43,58 @@ class _Plain(pickle.Unpickler):
         return super().find_class(module, name)
 
 
+def _header(raw) -> tuple[tuple[int, ...], bool, np.dtype]:
+    """Shape, order and type of an array file; ``raw`` stands at its first value afterwards."""
+    version = np.lib.format.read_magic(raw)
+    return np.lib.format.read_array_header_1_0(raw) if version == (1, 0) else np.lib.format.read_array_header_2_0(raw)
+
+
 def read_array(path: str, name: str) -> np.ndarray:
     """One array of an archive; KeyError for an unknown name."""
     with zipfile.ZipFile(path) as z:
         if f"{name}.npy" not in z.namelist():
             raise KeyError(f"{name} is not in {path}")
         raw = io.BytesIO(z.read(f"{name}.npy"))
-    version = np.lib.format.read_magic(raw)
-    shape, _, dtype = np.lib.format.read_array_header_1_0(raw) if version == (1, 0) else np.lib.format.read_array_header_2_0(raw)
+    shape, _, dtype = _header(raw)
     if dtype.hasobject:
         return _Plain(raw).load()
     raw.seek(0)
     return np.lib.format.read_array(raw, allow_pickle=False).reshape(shape)
 
 
+class Member:
+    """An array inside an archive, read in runs of frames.
+
+    A stored member is sought by its offset, so only what is asked for is read; a deflated one is decoded in order, and
+    runs that come in ascending order are decoded once. ``taken`` counts the bytes of values that were read.
+    """
+
+    def __init__(self, archive: zipfile.ZipFile, name: str):
+        self.info, self.raw, self.taken = archive.getinfo(f"{name}.npy"), archive.open(f"{name}.npy"), 0
+        self.shape, self.fortran, self.dtype = _header(self.raw)
+        self.first = self.raw.tell()
+        self.stored = self.info.compress_type == zipfile.ZIP_STORED
+        self.whole: np.ndarray | None = None
+
+    def frames(self, person: int, camera: int, low: int, high: int) -> np.ndarray:
+        """Values of frames ``low`` to ``high`` of one person and camera."""
+        if self.dtype.hasobject:
+            raise ValueError("an array of objects has no frames")
+        if self.fortran:  # frames do not stand together
+            if self.whole is None:
+                self.raw.seek(0)
+                self.whole = np.lib.format.read_array(self.raw, allow_pickle=False)
+                self.taken += self.whole.nbytes
+            return self.whole[person, camera, low:high]
+        rest = self.shape[3:]
+        step = int(np.prod(rest, dtype=np.int64)) * self.dtype.itemsize
+        start = self.first + ((person * self.shape[1] + camera) * self.shape[2] + low) * step
+        self.raw.seek(start)  # within a deflated member: decodes and drops what lies between
+        got = self.raw.read((high - low) * step)
+        self.taken += len(got)
+        return np.frombuffer(got, self.dtype).reshape(high - low, *rest)
+
+
 def array_names(path: str) -> list[str]:
     with zipfile.ZipFile(path) as z:
         return [n[:-4] for n in z.namelist() if n.endswith(".npy")]
@@ -79,76 +120,185 @@ def parse_path(path: str) -> dict[str, str | None]:
 @dataclass
 class ArchivePartition(InputPartition):
     path: str
+    part: int = 0
+    parts: int = 1
+
+
+_PATH = ("dataset", "session", "sequence", "component", "algorithm")
+_BLOCK_FRAMES = 4096
+
+
+class _Wanted:
+    """What filters leave: values by column, and bounds of the frame. Filters that it doesn't know stay with Spark."""
+
+    def __init__(self):
+        self.values: dict[str, set] = {}
+        self.low, self.high = 0, 1 << 62
+
+    def take(self, f: Filter) -> bool:
+        name = f.attribute[0] if len(getattr(f, "attribute", ())) == 1 else None
+        if isinstance(f, (EqualTo, In)) and name in (*_PATH, "array_name", "person", "camera", "frame"):
+            own = {f.value} if isinstance(f, EqualTo) else set(f.value)
+            self.values[name] = self.values[name] & own if name in self.values else own
+            return True
+        if name == "frame" and isinstance(f, (GreaterThan, GreaterThanOrEqual)):
+            self.low = max(self.low, f.value + isinstance(f, GreaterThan))
+            return True
+        if name == "frame" and isinstance(f, (LessThan, LessThanOrEqual)):
+            self.high = min(self.high, f.value - isinstance(f, LessThan))
+            return True
+        return False
+
+    def has(self, name: str, value) -> bool:
+        return name not in self.values or value in self.values[name]
+
+    def frame(self, value: int) -> bool:
+        return self.low <= value <= self.high and self.has("frame", value)
+
+
+def _files(root: str) -> Iterator[str]:
+    if os.path.isfile(root):
+        yield root
+    for folder, _, names in sorted(os.walk(root)):
+        yield from (os.path.join(folder, n) for n in sorted(names) if n.endswith(".npz"))
+
+
+def _described(path: str) -> dict[str, dict] | None:
+    """The descriptions of an archive's arrays; None where there are none that can be read."""
+    try:
+        known = description(path)
+    except (KeyError, OSError, ValueError, zipfile.BadZipFile, pickle.UnpicklingError):
+        return None
+    return {k: v for k, v in known.items() if isinstance(v, dict)} if isinstance(known, dict) else None
 
 
-class NpzReader(DataSourceReader):
+def _names(axes: dict, k: int) -> list[str] | None:
+    """Names on an axis; None where it has none."""
+    own = axes.get(f"axis{k}")
+    return None if own is None or not len(own) else [own] if isinstance(own, str) else list(map(str, own))
+
+
+class _ArchiveReader(DataSourceReader):
     def __init__(self, options: dict):
-        self.root = options.get("path", "").removeprefix("file://")
-        self.wanted: dict[str, set] = {}
+        self.root, self.split = options.get("path", "").removeprefix("file://"), int(options.get("split_bytes", 64 << 20))
+        self.wanted = _Wanted()
 
     def pushFilters(self, filters: list[Filter]) -> Iterator[Filter]:
-        for f in filters:
-            if isinstance(f, (EqualTo, In)) and f.attribute in (("array_name",), ("component",)):
-                values = {f.value} if isinstance(f, EqualTo) else set(f.value)
-                have = self.wanted.get(f.attribute[0])
-                self.wanted[f.attribute[0]] = values if have is None else have & values
-            else:
-                yield f
-
-    def _files(self) -> Iterator[str]:
-        if os.path.isfile(self.root):
-            yield self.root
-        for folder, _, names in sorted(os.walk(self.root)):
-            yield from (os.path.join(folder, n) for n in sorted(names) if n.endswith(".npz"))
+        yield from (f for f in filters if not self.wanted.take(f))
 
-    def partitions(self) -> list[ArchivePartition]:
-        files = list(self._files())
+    def _paths(self) -> list[str]:
+        files = list(_files(self.root))
         if not files:
             raise FileNotFoundError(f"no .npz archives under {self.root!r}")
-        return [ArchivePartition(p) for p in files if (c := parse_path(p)["component"]) in self.wanted.get("component", {c})]
+        parts = ((p, parse_path(p)) for p in files)
+        return [p for p, own in parts if all(self.wanted.has(c, own[c]) for c in _PATH)]
+
+
+class NpzReader(_ArchiveReader):
+    def partitions(self) -> list[ArchivePartition]:
+        out = []
+        for path in self._paths():
+            n = max(1, -(-os.path.getsize(path) // self.split))
+            out += [ArchivePartition(path, k, n) for k in range(n)]
+        return out
+
+    def _blocks(self, archive: zipfile.ZipFile, known: dict[str, dict]) -> list[tuple]:
+        """(array, person, camera, low, high, bytes) that the filters leave, in the order of the file."""
+        out = []
+        for name in (n[:-4] for n in archive.namelist() if n.endswith(".npy")):
+            if name not in known or not self.wanted.has("array_name", name):
+                continue
+            with archive.open(f"{name}.npy") as raw:
+                shape, _, dtype = _header(raw)
+            if len(shape) < 3 or dtype.hasobject:
+                continue
+            step = int(np.prod(shape[3:], dtype=np.int64)) * dtype.itemsize
+            persons, cameras, frames = (_names(known[name], k) or ["none"] for k in range(3))
+            good = np.flatnonzero([self.wanted.frame(int(f)) for f in frames])
+            runs = np.split(good, np.flatnonzero(np.diff(good) > 1) + 1) if len(good) else []
+            for i, person in enumerate(persons):
+                for j, camera in enumerate(cameras):
+                    if self.wanted.has("person", person) and self.wanted.has("camera", camera):
+                        out += [(name, i, j, a, min(a + _BLOCK_FRAMES, int(r[-1]) + 1), step * min(_BLOCK_FRAMES, int(r[-1]) + 1 - a)) for r in runs for a in range(int(r[0]), int(r[-1]) + 1, _BLOCK_FRAMES)]
+        return out
 
     def read(self, partition: ArchivePartition | None) -> Iterator[pa.RecordBatch]:
-        if partition is None:  # no archive had what was asked for
+        if partition is None or (known := _described(partition.path)) is None:
+            return  # nothing was asked for, or an archive that holds no results; read_axes lists those
+        with zipfile.ZipFile(partition.path) as archive:
+            blocks = self._blocks(archive, known)
+            total = sum(b[-1] for b in blocks)
+            done, held, member = 0, None, None
+            for name, i, j, low, high, size in blocks:
+                owner = (done + size // 2) * partition.parts // max(total, 1)
+                done += size
+                if owner == partition.part:
+                    if held != name:
+                        held, member = name, Member(archive, name)
+                    yield self._rows(partition.path, name, known[name], member.frames(i, j, low, high), i, j, low)
+
+    def _rows(self, path: str, array: str, axes: dict, block: np.ndarray, i: int, j: int, low: int) -> pa.RecordBatch:
+        persons, cameras, frames = (_names(axes, k) or ["none"] for k in range(3))
+        labels = _names(axes, 3) if block.ndim == 3 else None
+        shown = _names(axes, block.ndim + 1) if block.ndim > 1 else None
+        split = shown is not None and not isinstance(axes[f"axis{block.ndim + 1}"], str) and shown[-1] in _CONF
+        shown = (shown[:-1] if split else shown) if shown is not None else None
+        values = np.asarray(block, float).reshape(len(block), len(labels) if labels else 1, -1)
+        n, k = values.shape[:2]
+        rows = values.reshape(n * k, -1)
+        conf = rows[:, -1] if split else np.full(n * k, np.nan)
+        v = rows[:, :-1] if split else rows
+        same = {c: pa.array([x] * (n * k), pa.string()) for c, x in {"path": path, **parse_path(path), "array_name": array, "person": persons[i], "camera": cameras[j]}.items()}
+        own = {
+            "frame": pa.array(np.repeat(np.array([int(x) for x in frames[low : low + n]], np.int32), k)), "frame_idx": pa.array(np.repeat(np.arange(low, low + n, dtype=np.int32), k)),
+            "label": pa.array(list(labels) * n if labels else [None] * n, pa.string()),
+            "v": pa.ListArray.from_arrays(pa.array(np.arange(n * k + 1, dtype=np.int32) * v.shape[1]), pa.array(v.ravel(), pa.float64(), from_pandas=True)), "conf": pa.array(conf, from_pandas=True),
+            "axis": pa.array([shown or None] * (n * k), pa.list_(pa.string())),
+        }
+        columns = same | own
+        order = [c.split(" ")[0] for c in SCHEMA.split(", ")]
+        return pa.RecordBatch.from_arrays([columns[c] for c in order], order)
+
+
+AXES = "path string, dataset string, session string, sequence string, component string, algorithm string, array_name string, shape array<bigint>, axis0 array<string>, axis1 array<string>, axis2 array<string>, axis3 array<string>, axis4 array<string>, problem string"
+
+
+class AxesReader(_ArchiveReader):
+    """Shapes and axis names of all arrays: headers and descriptions only, no values."""
+
+    def partitions(self) -> list[ArchivePartition]:
+        return [ArchivePartition(p) for p in self._paths()]
+
+    def read(self, partition: ArchivePartition | None) -> Iterator[tuple]:
+        if partition is None:
             return
-        path = partition.path
-        try:
-            known = description(path)
-        except (KeyError, OSError, ValueError, zipfile.BadZipFile, pickle.UnpicklingError):
-            return  # archives without a readable description are no results
-        for name in array_names(path):
-            if name in known and name in self.wanted.get("array_name", {name}):
-                yield from self._array(path, name, known[name])
-
-    def _array(self, path: str, array: str, axes: dict) -> Iterator[pa.RecordBatch]:
-        data = np.asarray(read_array(path, array), float)
-        names = [axes.get(f"axis{k}") for k in range(data.ndim)]
-        persons, cameras, frames = (list(map(str, names[k])) if names[k] is not None and len(names[k]) else ["none"] for k in range(3))
-        labels = names[3] if data.ndim == 5 else None
-        labels = [labels] if isinstance(labels, str) else labels
-        last = names[-1] if data.ndim > 3 else None
-        split = isinstance(last, (list, tuple)) and len(last) and str(last[-1]) in _CONF
-        shown = [last] if isinstance(last, str) else list(map(str, last)) if last is not None else []
-        shown = (shown[:-1] if split else shown) or None
-        base = parse_path(path)
-        for i, person in enumerate(persons):
-            for j, camera in enumerate(cameras):
-                block = data[i, j].reshape(len(frames), len(labels) if labels else 1, -1)
-                n, k = block.shape[:2]
-                frame = np.array([int(x) for x in frames], np.int32)
-                rows = block.reshape(n * k, -1)
-                conf = rows[:, -1] if split else np.full(n * k, np.nan)
-                v = rows[:, :-1] if split else rows
-                flat = pa.array(v.ravel(), pa.float64(), from_pandas=True)
-                same = {c: pa.array([x] * (n * k), pa.string()) for c, x in {"path": path, **base, "array_name": array, "person": person, "camera": camera}.items()}
-                own = {
-                    "frame": pa.array(np.repeat(frame, k)), "frame_idx": pa.array(np.repeat(np.arange(n, dtype=np.int32), k)),
-                    "label": pa.array(list(labels) * n if labels else [None] * n, pa.string()),
-                    "v": pa.ListArray.from_arrays(pa.array(np.arange(n * k + 1, dtype=np.int32) * v.shape[1]), flat), "conf": pa.array(conf, from_pandas=True),
-                    "axis": pa.array([shown] * (n * k), pa.list_(pa.string())),
-                }
-                columns = same | own
-                order = [c.split(" ")[0] for c in SCHEMA.split(", ")]
-                yield pa.RecordBatch.from_arrays([columns[c] for c in order], order)
+        base = tuple(parse_path(partition.path).values())
+        known = _described(partition.path)
+        if known is None:
+            yield (partition.path, *base, None, None, *[None] * 5, "no readable description")
+            return
+        with zipfile.ZipFile(partition.path) as archive:
+            for name in (n[:-4] for n in archive.namelist() if n.endswith(".npy") and n != "data_description.npy"):
+                if not self.wanted.has("array_name", name):
+                    continue
+                with archive.open(f"{name}.npy") as raw:
+                    shape, _, _ = _header(raw)
+                axes = [_names(known[name], k) for k in range(5)] if name in known else [None] * 5
+                off = [k for k, own in enumerate(axes) if own is not None and k < len(shape) and len(own) != shape[k]]
+                problem = "no description" if name not in known else f"axes {off} differ from the shape" if off else None
+                yield (partition.path, *base, name, list(shape), *axes, problem)
+
+
+class AxesDataSource(DataSource):
+    @classmethod
+    def name(cls) -> str:
+        return "npz_axes"
+
+    def schema(self) -> str:
+        return AXES
+
+    def reader(self, schema) -> AxesReader:
+        return AxesReader(self.options)
 
 
 class NpzDataSource(DataSource):
@@ -165,11 +315,25 @@ class NpzDataSource(DataSource):
         return NpzReader(self.options)
 
 
-def read_npz(spark: SparkSession, path: str) -> DataFrame:
+def _load(spark: SparkSession, source: type[DataSource], path: str, **options: str) -> DataFrame:
     importable(spark)
     spark.conf.set("spark.sql.python.filterPushdown.enabled", "true")
-    spark.dataSource.register(NpzDataSource)
-    return spark.read.format("npz").load(path)
+    spark.dataSource.register(source)
+    return spark.read.format(source.name()).options(**options).load(path)
+
+
+def read_npz(spark: SparkSession, path: str, split_bytes: int = 64 << 20) -> DataFrame:
+    """The packed rows of all archives under ``path``; large archives are read by several tasks."""
+    return _load(spark, NpzDataSource, path, split_bytes=str(split_bytes))
+
+
+def read_axes(spark: SparkSession, path: str) -> DataFrame:
+    """One row per array: path, its parts, array_name, shape, axis0 to axis4 (names, NULL where an axis has none), problem.
+
+    ``problem`` tells of an archive without a readable description, an array that it doesn't describe, or axes that differ
+    from the shape.
+    """
+    return _load(spark, AxesDataSource, path)
 
 
 def write_npz(values: DataFrame, root: str) -> DataFrame:
