@@ -147,7 +147,8 @@ def create_summaries(results: Results, summaries: list[Summary], output_dir: str
     return out
 
 
-def write_metric_summaries(summary: DataFrame, output_dir: str, dataset: str) -> list[str]:
-    """One CSV folder ``<dataset>_<metric_type>_summary.csv`` per metric type of (metric_type, metric, ..., value) rows."""
+def write_metric_summaries(summary: DataFrame, output_dir: str, dataset: str, single: bool = False) -> list[str]:
+    """One CSV ``<dataset>_<metric_type>_summary.csv``, a folder or, with ``single``, a file, per metric type of (metric_type, metric, ..., value) rows."""
     types = [r[0] for r in summary.select("metric_type").distinct().orderBy("metric_type").collect()]
-    return [write_csv(summary.filter(F.col("metric_type") == t), output_dir, f"{dataset}_{t}_summary") for t in types]
+    write = (lambda *a: str(write_small_csv(*a))) if single else write_csv
+    return [write(summary.filter(F.col("metric_type") == t), output_dir, f"{dataset}_{t}_summary") for t in types]

@@ -1,5 +1,5 @@
-"""Registered queries; both modules add to the tables of ``catalog``."""
+"""Registered queries; the other modules add to the tables of ``catalog``."""
 
-from kinelattice.plans import catalog, scenes
+from kinelattice.plans import catalog, runs, scenes
 
-__all__ = ["catalog", "scenes"]
+__all__ = ["catalog", "runs", "scenes"]

@@ -31,7 +31,8 @@ from kinelattice.session import importable
 
 SCHEMA = "path string, dataset string, session string, sequence string, component string, algorithm string, array_name string, person string, camera string, frame int, frame_idx int, label string, v array<double>, conf double, axis array<string>"
 _ADMITTED = {("numpy.core.multiarray", "_reconstruct"), ("numpy._core.multiarray", "_reconstruct"), ("numpy", "ndarray"), ("numpy", "dtype"), ("numpy.core.multiarray", "scalar"), ("numpy._core.multiarray", "scalar")}
-_CONF = {"conf", "confidence", "confidence_score"}
+#: Names under which a last axis ends in a confidence (fixed values).
+CONFIDENCE = ("conf", "confidence", "confidence_score")
 
 
 class _Plain(pickle.Unpickler):
@@ -241,7 +242,7 @@ class NpzReader(_ArchiveReader):
         persons, cameras, frames = (_names(axes, k) or ["none"] for k in range(3))
         labels = _names(axes, 3) if block.ndim == 3 else None
         shown = _names(axes, block.ndim + 1) if block.ndim > 1 else None
-        split = shown is not None and not isinstance(axes[f"axis{block.ndim + 1}"], str) and shown[-1] in _CONF
+        split = shown is not None and not isinstance(axes[f"axis{block.ndim + 1}"], str) and shown[-1] in CONFIDENCE
         shown = (shown[:-1] if split else shown) if shown is not None else None
         values = np.asarray(block, float).reshape(len(block), len(labels) if labels else 1, -1)
         n, k = values.shape[:2]
