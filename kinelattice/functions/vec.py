@@ -69,6 +69,22 @@ def transpose3(m: Column) -> Column:
     return F.array(*(F.array(*(at(i, j) for i in (1, 2, 3))) for j in (1, 2, 3)))
 
 
+def inverse3(m: Column, least: float = 1e-12) -> Column:
+    """Inverse of a 3x3 matrix by cofactors; NULL where the determinant is under ``least`` of the rows' lengths, or unknown."""
+    at = lambda i, j: F.element_at(F.element_at(m, i + 1), j + 1)
+    minor = lambda i, j: at((i + 1) % 3, (j + 1) % 3) * at((i + 2) % 3, (j + 2) % 3) - at((i + 1) % 3, (j + 2) % 3) * at((i + 2) % 3, (j + 1) % 3)
+    det = at(0, 0) * minor(0, 0) + at(0, 1) * minor(0, 1) + at(0, 2) * minor(0, 2)
+    size = reduce(lambda p, q: p * q, (norm(F.element_at(m, i)) for i in (1, 2, 3)))
+    return F.when(F.abs(det) > size * least, F.array(*(F.array(*(minor(j, i) / det for j in range(3))) for i in range(3))))
+
+
+def is_rotation(m: Column, tolerance: float = 0.01) -> Column:
+    """Whether the rows of a 3x3 matrix are orthonormal."""
+    row = lambda i: F.element_at(m, i)
+    off = [F.abs(dot(row(i), row(j)) - F.lit(float(i == j))) for i in (1, 2, 3) for j in range(i, 4)]
+    return F.greatest(*off) <= tolerance
+
+
 def point_line_distance(point: Column, line_point: Column, direction: Column) -> Column:
     """Distance of a point from the infinite line through ``line_point``; NULL for a zero direction."""
     gap = sub(point, line_point)

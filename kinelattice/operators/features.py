@@ -69,10 +69,10 @@ def gaze_interaction(heads: DataFrame, gaze: DataFrame, keys: list[str], person:
     return dyads.gaze_contact(heads, gaze, keys, person, threshold)
 
 
-def gaze_multiview(inputs: list[DataFrame], keys: list[str], coords: list[str], weight: str | None = None, calibration: DataFrame | None = None) -> DataFrame:
-    """Gaze fused over the cameras of all algorithms and, with calibration, its vector in every camera's image."""
+def gaze_multiview(inputs: list[DataFrame], keys: list[str], coords: list[str], weight: str | None = None, calibration: DataFrame | None = None, session: list[str] | None = None) -> DataFrame:
+    """Gaze fused over the cameras of all algorithms and, with calibration, its vector in the images of its session's cameras."""
     fused = fusion.ensemble(inputs, keys, coords, weight)
-    return fused if calibration is None else fusion.project_gaze(fused, calibration, keys)
+    return fused if calibration is None else fusion.project_gaze(fused, calibration, keys, session=session)
 
 
 #: The feature functions by name.

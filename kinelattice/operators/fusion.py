@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -60,20 +62,26 @@ def eye_region(landmarks: DataFrame, keys: list[str], coords: list[str], pos: st
     return landmarks.filter(F.col(pos) < first).groupBy(*keys).agg(*(F.avg(c).alias(c) for c in coords))
 
 
-def project_gaze(gaze: DataFrame, cameras: DataFrame, keys: list[str], v: str = "fused") -> DataFrame:
+def project_gaze(gaze: DataFrame, cameras: DataFrame, keys: list[str], v: str = "fused", session: list[str] | None = None) -> DataFrame:
     """keys, camera, dx, dy: the gaze in every camera's image, stored negated.
 
-    ``cameras`` (camera, R, image_width) is calibration: one row per camera, repeated for every vector. More than
-    ``MOST_CAMERAS`` are a ValueError, so what is broadcast is small. A missing vector stays missing.
+    ``cameras`` (session, camera, R, image_width) is calibration. With ``session``, columns that both sides have, a vector
+    meets its own session's cameras only, by a null-safe join. Without, ``cameras`` is one session's, repeated for every vector;
+    more than ``MOST_CAMERAS`` rows make the query fail. A missing vector stays missing.
     """
-    if cameras.limit(MOST_CAMERAS + 1).count() > MOST_CAMERAS:
-        raise ValueError(f"a calibration of more than {MOST_CAMERAS} cameras")
-    wide = gaze.select(*keys, v).crossJoin(F.broadcast(cameras.select("camera", "R", "image_width")))
+    if session:
+        known = cameras.select(*(F.col(c).alias(f"_s{k}") for k, c in enumerate(session)), "camera", "R", "image_width")
+        same = reduce(lambda p, q: p & q, (F.col(c).eqNullSafe(F.col(f"_s{k}")) for k, c in enumerate(session)))
+        wide = gaze.select(*dict.fromkeys([*session, *keys]), v).join(known, same)
+    else:
+        held = cameras.select(F.struct("camera", "R", "image_width").alias("c")).limit(MOST_CAMERAS + 1).agg(F.collect_list("c").alias("all"))
+        few = F.when(F.size("all") <= MOST_CAMERAS, F.col("all")).otherwise(F.raise_error(F.lit(f"a calibration of more than {MOST_CAMERAS} cameras")))
+        wide = gaze.select(*keys, v).crossJoin(F.broadcast(held.select(few.alias("all")))).select(*keys, v, F.inline("all"))
     pitch, yaw = pitch_yaw(matvec(F.col("R"), F.col(v)))
     wide = wide.withColumns({"_pitch": pitch, "_yaw": yaw})
     known = F.col("_pitch").isNotNull() & F.col("_yaw").isNotNull()
     dx, dy = pixel_vector(F.when(known, F.col("_pitch")), F.when(known, F.col("_yaw")), F.col("image_width"))
-    return wide.select(*keys, "camera", (-dx).alias("dx"), (-dy).alias("dy"))
+    return wide.select(*dict.fromkeys([*(session or []), *keys]), "camera", (-dx).alias("dx"), (-dy).alias("dy"))
 
 
 def display_arrow(v: Column) -> Column:

@@ -181,6 +181,40 @@ def projected_gaze(spark, sf_dir):
     return fusion.project_gaze(_vectors(spark, sf_dir).select("vec_id", F.slice("v", 1, 3).alias("fused")), table, ["vec_id"])
 
 
+@query(f"""SELECT session, vec_id, camera, CAST(-trunc(-w / 5 * sin(yaw) * cos(pitch)) AS INT) AS dx, CAST(-trunc(-w / 5 * sin(pitch)) AS INT) AS dy FROM (
+SELECT session, vec_id, camera, w, asin(-u[2] / sqrt({_DOT.format("u", "u")})) AS pitch, atan2(-u[1], -u[3]) AS yaw FROM (
+SELECT 's0' AS session, vec_id, 'c1' AS camera, 1920.0::DOUBLE AS w, v[1:3] AS u FROM {_E} WHERE vec_id % 2 = 0 UNION ALL SELECT 's0', vec_id, 'c2', 1280.0::DOUBLE, {_TURNED.format("v")} FROM {_E} WHERE vec_id % 2 = 0
+UNION ALL SELECT 's1', vec_id, 'c1', 640.0::DOUBLE, {_TURNED.format("v")} FROM {_E} WHERE vec_id % 2 = 1))""")
+def projected_sessions(spark, sf_dir):
+    """Gaze vectors of two sessions, each in the images of its own cameras."""
+    table = spark.createDataFrame([("s0", "c1", _PLAIN, 1920.0), ("s0", "c2", _TURN, 1280.0), ("s1", "c1", _TURN, 640.0)], "session string, camera string, R array<array<double>>, image_width double")
+    session = F.concat(F.lit("s"), (F.col("vec_id") % 2).cast("string"))
+    gaze = _vectors(spark, sf_dir).select(session.alias("session"), "vec_id", F.slice("v", 1, 3).alias("fused"))
+    return fusion.project_gaze(gaze, table, ["vec_id"], session=["session"])
+
+
+_RIGS = {
+    "s0": {"c1": {"K": [[800.0, 0, 320], [0, 800, 240], [0, 0, 1]], "r": [0.0, 0, 0], "t": [0.0, 0, 10], "d": [0.1, -0.05, 0.002, -0.001, 0.01]}, "c2": {"K": [[700.0, 0, 300], [0, 720, 250], [0, 0, 1]], "r": [0.0, 0.4, 0], "t": [-3.0, 0, 11]}},
+    "s1": {"c1": {"K": [[900.0, 0, 400], [0, 900, 300], [0, 0, 1]], "r": [0.3, 0.1, 0], "t": [1.0, 0.5, 9]}, "c3": {"K": [[650.0, 0, 310], [0, 640, 230], [0, 0, 1]], "r": [0.0, -0.5, 0.1], "t": [2.0, 0, 12], "d": [-0.2, 0.02, 0.0, 0.001, 0.0]}},
+}
+
+
+@query(f"SELECT 's' || CAST(vec_id % 2 AS VARCHAR) AS session, vec_id, round(v[1], 4) AS x, round(v[2], 4) AS y, round(v[3], 4) AS z, 0.9::DOUBLE AS conf FROM {_E}")
+def triangulated_sessions(spark, sf_dir):
+    """Points of two sessions, seen by each session's own distorting cameras and brought back to 3-D."""
+    made = [(s, c, cameras.complete(own)) for s, rig in _RIGS.items() for c, own in rig.items()]
+    table = spark.createDataFrame([(s, c, *(m[n].tolist() for n in ("K", "R", "Rt", "P", "d"))) for s, c, m in made], "session string, camera string, K array<array<double>>, R array<array<double>>, Rt array<array<double>>, P array<array<double>>, dist array<double>")
+    points = _vectors(spark, sf_dir).select("vec_id", F.concat(F.lit("s"), (F.col("vec_id") % 2).cast("string")).alias("session"), F.concat(F.slice("v", 1, 3), F.array(F.lit(1.0))).alias("point"))
+    h = points.join(F.broadcast(table), "session").withColumn("h", vec.matvec(F.col("P"), F.col("point")))  # four cameras
+    x, y = cameras.distorted(*(F.element_at("h", k) / F.element_at("h", 3) for k in (1, 2)), F.col("K"), F.col("dist"))
+    seen = h.select("session", "vec_id", "camera", x.alias("x"), y.alias("y"), F.lit(0.9).alias("conf"))
+    return _rounded4(cameras.triangulate_sessions(seen, table, ["vec_id"], ["session"]))
+
+
+def _rounded4(df: DataFrame) -> DataFrame:
+    return df.withColumns({c: F.round(c, 4) for c in "xyz"})
+
+
 @query(f"""SELECT vec_id, round(w[1] / n, 6) AS x, round(w[2] / n, 6) AS y, round(w[3] / n, 6) AS z FROM (SELECT *, sqrt({_DOT.format("w", "w")}) AS n FROM (
 SELECT vec_id, [{", ".join("+".join(f"({_TURN[j][i]}) * v[{j + 1}]" for j in range(3)) for i in range(3))}] AS w FROM {_E}))""")
 def world_directions(spark, sf_dir):

@@ -1,5 +1,6 @@
 """Hand-computed cases, edge rules and invariants of the frame-series operators."""
 
+import functools
 import math
 
 import numpy as np
@@ -11,6 +12,7 @@ from pyspark.sql import functions as F
 from kinelattice.functions import vec
 from kinelattice.operators import align, cameras, detections, dyads, features, fusion, metrics, tables, temporal
 from kinelattice.operators.results import Results, Summary, create_summaries, summarise, write_metric_summaries, write_small_csv
+from kinelattice.sources import calibration
 
 
 def one(spark, **exprs):
@@ -366,5 +368,74 @@ def test_calibration_size_is_checked(spark, monkeypatch):
     monkeypatch.setattr(fusion, "MOST_CAMERAS", 1)
     eye = [[1.0, 0.0, 0.0], [0.0, 1.0, 0.0], [0.0, 0.0, 1.0]]
     table = spark.createDataFrame([("a", eye, 100.0), ("b", eye, 100.0)], "camera string, R array<array<double>>, image_width double")
-    with pytest.raises(ValueError, match="more than 1"):
-        fusion.project_gaze(spark.createDataFrame([(0, [0.0, 0.0, -1.0])], "frame int, fused array<double>"), table, ["frame"])
+    with pytest.raises(Exception, match="more than 1"):
+        fusion.project_gaze(spark.createDataFrame([(0, [0.0, 0.0, -1.0])], "frame int, fused array<double>"), table, ["frame"]).collect()
+
+
+def two_sessions():
+    """Cameras of two sessions: other matrices, distortions, and a third camera that only one has."""
+    k = lambda f, c: [[f, 0.0, c], [0.0, f * 1.1, c - 20], [0.0, 0.0, 1.0]]
+    return {
+        ("s1", "q"): {"c1": {"K": k(800.0, 320.0), "r": [0.0, 0, 0], "t": [0.0, 0, 10], "d": [0.1, -0.05, 0.002, -0.001, 0.01]}, "c2": {"K": k(700.0, 300.0), "r": [0.0, 0.4, 0], "t": [-3.0, 0, 11]}},
+        ("s2", None): {"c1": {"K": k(900.0, 400.0), "r": [0.3, 0.1, 0], "t": [1.0, 0.5, 9]}, "c2": {"K": k(650.0, 310.0), "r": [0.0, -0.5, 0.1], "t": [2.0, 0, 12], "d": [-0.2, 0.02, 0.0, 0.001, 0.0]}, "c9": {"K": k(1.0, 1.0), "r": [0.0, 0, 0], "t": [0.0, 0, 1]}},
+        ("s3", "q"): {"c1": {"K": k(1.0, 1.0), "r": [0.0, 0, 0], "t": [0.0, 0, 1]}},
+    }
+
+
+def seen_by(camera, point):
+    m = cameras.complete(camera)
+    x, y, z = m["Rt"] @ np.append(point, 1)
+    u, v = x / z, y / z
+    k1, k2, p1, p2, k3 = m["d"]
+    r2 = u * u + v * v
+    radial = 1 + r2 * (k1 + r2 * (k2 + r2 * k3))
+    u, v = u * radial + 2 * p1 * u * v + p2 * (r2 + 2 * u * u), v * radial + p1 * (r2 + 2 * v * v) + 2 * p2 * u * v
+    return float(m["K"][0, 0] * u + m["K"][0, 2]), float(m["K"][1, 1] * v + m["K"][1, 2])
+
+
+@pytest.mark.parametrize("named", [None, ("c1", "c2")])
+def test_triangulation_by_session(spark, tmp_path, named):
+    held = two_sessions()
+    path = calibration.save(tmp_path / "c.json", held)
+    table = functools.reduce(lambda a, b: a.unionByName(b), (calibration.load(spark, path, "d", *key, list(own)) for key, own in held.items()))
+    rng, rows, want = np.random.default_rng(0), [], {}
+    for (s, q), own in held.items():
+        for i in range(40):
+            point = rng.normal(size=3)
+            for c in own:
+                gone = (i == 5 and c == "c2") or None
+                x, y = seen_by(own[c], point)
+                if i != 6 or c != "c2":
+                    rows.append(("d", s, q, i, c, None if gone else x, y, 0.5 if c == "c1" else 0.9))
+            if len(own) > 1 and i != 6:
+                want[s, q, i] = None if i == 5 else point
+    df = spark.createDataFrame(rows, "dataset string, session string, sequence string, frame int, camera string, x double, y double, conf double")
+    got = {(r["session"], r["sequence"], r["frame"]): r for r in cameras.triangulate_sessions(df, table, ["frame"], ["dataset", "session", "sequence"], named).collect()}
+    assert got.keys() == want.keys()
+    for k, point in want.items():
+        r = got[k]
+        assert (r["x"] is None and r["conf"] is None) if point is None else (np.allclose([r["x"], r["y"], r["z"]], point, atol=1e-5) and r["conf"] == 0.5)
+
+
+def test_projection_by_session(spark):
+    eye, turn = [[1.0, 0.0, 0.0], [0.0, 1.0, 0.0], [0.0, 0.0, 1.0]], [[0.0, 0.0, 1.0], [0.0, 1.0, 0.0], [-1.0, 0.0, 0.0]]
+    table = spark.createDataFrame([("s1", "c1", eye, 100.0), ("s1", "c2", turn, 200.0), (None, "c1", turn, 500.0), ("s4", "c1", eye, 1.0)], "session string, camera string, R array<array<double>>, image_width double")
+    gaze = spark.createDataFrame([("s1", 0, [0.6, 0.0, -0.8]), (None, 1, [0.6, 0.0, -0.8]), (None, 2, None), ("s3", 3, [1.0, 0.0, 0.0])], "session string, frame int, fused array<double>")
+    got = {(r["session"], r["frame"], r["camera"]): r["dx"] for r in fusion.project_gaze(gaze, table, ["frame"], session=["session"]).collect()}
+    one = {(r["frame"], r["camera"]): r["dx"] for r in fusion.project_gaze(gaze, table.filter("session = 's1'"), ["frame"]).collect()}
+    assert got.keys() == {("s1", 0, "c1"), ("s1", 0, "c2"), (None, 1, "c1"), (None, 2, "c1")}
+    assert got["s1", 0, "c1"] == one[0, "c1"] and got["s1", 0, "c2"] == one[0, "c2"] and got[None, 2, "c1"] is None
+
+
+def test_general_inverse(spark):
+    rng = np.random.default_rng(5)
+    ms = [rng.normal(size=(3, 3)) * 10.0 ** rng.integers(-3, 4) for _ in range(30)] + [cameras.rodrigues(rng.normal(size=3)) for _ in range(5)]
+    flat = [np.outer([1.0, 2, 3], [4.0, 5, 6]), np.zeros((3, 3)), np.array([[1.0, 2, 3], [2, 4, 6], [0, 1, 5]])]
+    df = spark.createDataFrame([(k, m.tolist()) for k, m in enumerate([*ms, *flat])], "i int, m array<array<double>>")
+    v = F.array(F.lit(1.0), F.lit(-2.0), F.lit(0.5))
+    got = {r["i"]: r for r in df.select("i", vec.inverse3(F.col("m")).alias("inv"), vec.is_rotation(F.col("m")).alias("rot"), cameras.world_direction(F.col("m"), v).alias("w")).collect()}
+    for k, m in enumerate(ms):
+        inv = np.linalg.inv(m)
+        w = inv @ [1.0, -2.0, 0.5]
+        assert np.allclose(got[k]["inv"], inv, rtol=1e-8) and np.allclose(got[k]["w"], w / np.linalg.norm(w)) and got[k]["rot"] == (k >= 30)
+    assert all(got[len(ms) + k]["inv"] is None and got[len(ms) + k]["w"] is None for k in range(3))
