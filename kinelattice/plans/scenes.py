@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from kinelattice.functions import vec
 from kinelattice.operators import align, cameras, detections, dyads, features, fusion, metrics, tables, temporal
 from kinelattice.operators.results import Results
-from kinelattice.plans.catalog import _B, _DAILY, _DOT, _E, _L, _LONG, _S, _boxed, _daily, _lines, _series, _slices, _values, _vectors, query, r6, read
+from kinelattice.plans.catalog import ORACLES, QUERIES, _B, _DAILY, _DOT, _E, _L, _LONG, _S, _boxed, _daily, _lines, _series, _slices, _values, _vectors, query, r6, read
 from kinelattice.sources import frames
 
 
@@ -461,3 +461,22 @@ def detections_by_path(spark, sf_dir):
 def integer_fps(spark, sf_dir):
     rate = F.when(F.col("p_partkey") % 4 != 0, F.col("p_retailprice") / 30)
     return read(spark, sf_dir, "part").select("p_partkey", frames.integer_fps(rate).alias("fps"))
+
+
+# series in blocks ---------------------------------------------------------------------------------------------------
+
+_BLOCK = 16
+
+
+def _blocked(name: str, f) -> None:
+    """Register a query's form over blocks of a series, with the same SQL."""
+    QUERIES[f"{name}_blocks"] = f
+    ORACLES[f"{name}_blocks"] = ORACLES[name]
+
+
+_blocked("velocity", lambda spark, d: _rounded(temporal.velocity(_series(spark, d), ["user_id"], ["x", "y"], 30.0, "conf", block=_BLOCK), "velocity", "min_conf").select("user_id", "frame", "velocity", "min_conf"))
+_blocked("gradient", lambda spark, d: _rounded(temporal.gradient(_series(spark, d), ["user_id"], "x", block=_BLOCK), "gradient").select("user_id", "frame", "gradient"))
+_blocked("savgol", lambda spark, d: _rounded(temporal.savgol(_daily(spark, d), ["event_type"], "x", block=_BLOCK), "smoothed").select("event_type", "frame", "smoothed"))
+_blocked("conf_mask_interp", lambda spark, d: _rounded(temporal.interpolate(temporal.mask_low_confidence(_series(spark, d), ["x"], "conf", 0.06), ["user_id"], ["x"], block=_BLOCK), "x").select("user_id", "frame", "x"))
+_blocked("interpolate_compat", lambda spark, d: _rounded(temporal.interpolate(temporal.mask_low_confidence(_series(spark, d), ["x"], "conf", 0.06), ["user_id"], ["x"], compat=True, block=_BLOCK), "x").select("user_id", "frame", "x"))
+_blocked("carry_forward", lambda spark, d: temporal.carry_forward(read(spark, d, "conversations"), ["conv_id"], "text", F.col("role") != "assistant", "turn", block=_BLOCK).select("conv_id", "turn", "carried"))
