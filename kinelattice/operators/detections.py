@@ -2,12 +2,10 @@
 
 from __future__ import annotations
 
-import numpy as np
-import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from kinelattice.session import importable
+from kinelattice.operators import temporal
 
 
 def confident(df: DataFrame, score: str = "score", above: float = 0.7) -> DataFrame:
@@ -45,59 +43,60 @@ def top_k(df: DataFrame, keys: list[str], score: str, k: int, pos: str = "pos",
     return out.withColumn("rank", F.row_number().over(Window.partitionBy(*keys).orderBy(pos)) - 1).drop("_best", "_n")
 
 
-def kept_boxes(boxes: np.ndarray, scores: np.ndarray, threshold: float) -> list[int]:
-    """Indices left when the lower-scored box of each pair with a larger overlap goes; of equal scores the first goes."""
-    gone: set[int] = set()
-    for i in range(len(boxes)):
-        for j in range(i + 1, len(boxes)):
-            if i in gone or j in gone:
-                continue
-            w = min(boxes[i][2], boxes[j][2]) - max(boxes[i][0], boxes[j][0])
-            h = min(boxes[i][3], boxes[j][3]) - max(boxes[i][1], boxes[j][1])
-            both = max(w, 0.0) * max(h, 0.0)
-            area = sum((b[2] - b[0]) * (b[3] - b[1]) for b in (boxes[i], boxes[j])) - both
-            if area > 0 and both / area > threshold:
-                gone.add(j if scores[j] < scores[i] else i)
-    return [k for k in range(len(boxes)) if k not in gone]
+def _overlap(a: Column, b: Column) -> Column:
+    """Intersection over union of two boxes with corners in order; NULL for two empty boxes."""
+    wide = F.greatest(F.lit(0.0), F.least(a["x2"], b["x2"]) - F.greatest(a["x1"], b["x1"]))
+    tall = F.greatest(F.lit(0.0), F.least(a["y2"], b["y2"]) - F.greatest(a["y1"], b["y1"]))
+    area = lambda x: (x["x2"] - x["x1"]) * (x["y2"] - x["y1"])
+    return F.try_divide(wide * tall, area(a) + area(b) - wide * tall)
 
 
-def suppress_overlaps(df: DataFrame, keys: list[str], threshold: float = 0.9) -> DataFrame:
-    """Greedy suppression within a camera and frame. It depends on the order, so a frame's few boxes go as one array."""
-    importable(df.sparkSession)
-    corners = ["x1", "y1", "x2", "y2"]
-    frames = df.groupBy(*keys).agg(F.array_sort(F.collect_list(F.struct("pos", F.array(*corners, "score").alias("box")))).alias("boxes"))
+def without_overlaps(boxes: Column, threshold: float = 0.9) -> Column:
+    """The boxes (an array of structs with x1, y1, x2, y2, score) left when the lower-scored box of each pair with a larger overlap goes.
+
+    A fold over the pairs in order; its state is the places of the boxes that went, which take no further part. Of equal
+    scores the first one goes.
+    """
+    n = F.size(boxes)
+
+    def step(gone: Column, pair: Column) -> Column:
+        i, j = F.floor(pair / n).cast("int"), F.pmod(pair, n)
+        a, b = F.get(boxes, i), F.get(boxes, j)
+        hit = (i < j) & ~F.array_contains(gone, i) & ~F.array_contains(gone, j) & (_overlap(a, b) > threshold)
+        return F.when(hit, F.array_append(gone, F.when(b["score"] < a["score"], j).otherwise(i))).otherwise(gone)
 
-    @F.pandas_udf("array<bigint>")
-    def kept(boxes: pd.Series) -> pd.Series:
-        def one(people) -> list[int]:
-            at = np.array([p["box"] for p in people], float)
-            return [int(people[k]["pos"]) for k in kept_boxes(at[:, :4], at[:, 4], threshold)]
+    pairs = F.when(n > 1, F.sequence(F.lit(0), n * n - 1)).otherwise(F.array().cast("array<int>"))
+    gone = F.aggregate(pairs, F.array().cast("array<int>"), step)
+    return F.filter(boxes, lambda x, k: ~F.array_contains(gone, k))
 
-        return boxes.map(one)
 
-    left = frames.select(*keys, F.explode(kept("boxes")).alias("pos"))
-    return df.join(left, [*keys, "pos"], "left_semi")
+_BOX = ("x1", "y1", "x2", "y2", "score")
+
+
+def suppress_overlaps(df: DataFrame, keys: list[str], threshold: float = 0.9) -> DataFrame:
+    """Greedy suppression within a camera and frame, in order of ``pos``: a frame's few boxes meet in one array."""
+    box = F.struct("pos", *_BOX, F.struct(*df.columns).alias("row"))
+    frames = df.groupBy(*keys).agg(F.collect_list(box).alias("boxes"))
+    ordered = F.array_sort("boxes", lambda a, b: F.when(a["pos"] < b["pos"], -1).when(a["pos"] > b["pos"], 1).otherwise(0))
+    left = frames.select(ordered.alias("boxes")).select(F.explode(without_overlaps(F.col("boxes"), threshold)).alias("b"))
+    return left.select(*(F.col(f"b.row.`{c}`").alias(c) for c in df.columns))
 
 
-def correct_people(df: DataFrame, keys: list[str], frame: str, n_subjects: int, above: float = 0.7, threshold: float = 0.9) -> DataFrame:
+def correct_people(df: DataFrame, keys: list[str], frame: str, n_subjects: int, above: float = 0.7, threshold: float = 0.9, block: int | None = None) -> DataFrame:
     """keys, frame, people: the detections of each frame, left to right.
 
     Confident boxes; where their number is wrong, overlaps are suppressed; where it is still wrong, the last accepted
-    frame of the series stands in (empty at the start). Frames without detections need a row in ``df`` with NULL pos.
+    frame of the series stands in (empty at the start). Frames without detections need a row in ``df`` with NULL pos. One
+    aggregation by frame and one scan of the series, over blocks of it if asked for.
     """
-    by = [*keys, frame]
-    sure = confident(df, above=above)
-    few = sure.groupBy(*by).agg(F.count(F.lit(1)).alias("n"))
-    right = sure.join(few.filter(F.col("n") == n_subjects).select(*by), by, "left_semi")
-    wrong = suppress_overlaps(sure.join(few.filter(F.col("n") != n_subjects).select(*by), by, "left_semi"), by, threshold)
-    fixed = right.unionByName(wrong)
-    person = F.struct("x1", "pos", "y1", "x2", "y2", "score")
-    lists = fixed.groupBy(*by).agg(F.array_sort(F.collect_list(person)).alias("people"))
-    frames = df.select(*by).distinct().join(lists, by, "left")
-    ok = F.when(F.size("people") == n_subjects, F.col("people"))
-    w = Window.partitionBy(*keys).orderBy(frame).rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    kind = dict(lists.dtypes)["people"]
-    return frames.select(*by, F.coalesce(F.last(ok, ignorenulls=True).over(w), F.array().cast(kind)).alias("people"))
+    sure = F.when((F.col("score") > above) & F.col("pos").isNotNull(), F.struct("pos", *_BOX))
+    frames = df.groupBy(*keys, frame).agg(F.array_sort(F.collect_list(sure)).alias("boxes"))
+    enough = F.size("boxes") == n_subjects
+    frames = frames.withColumn("boxes", F.when(enough, F.col("boxes")).otherwise(without_overlaps(F.col("boxes"), threshold)))
+    people = F.array_sort(F.transform("boxes", lambda b: F.struct(b["x1"].alias("x1"), b["pos"].alias("pos"), *(b[c].alias(c) for c in ("y1", "x2", "y2", "score")))))
+    found = frames.select(*keys, frame, people.alias("people"))
+    out = temporal.carry_forward(found, keys, "people", F.size("people") == n_subjects, frame, block)
+    return out.select(*keys, frame, F.coalesce("carried", F.array().cast(dict(found.dtypes)["people"])).alias("people"))
 
 
 def worst(df: DataFrame, value: str, k: int, *ties: str) -> DataFrame:

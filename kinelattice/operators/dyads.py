@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from functools import reduce
+
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from kinelattice.functions.vec import box_iou, distance, point_line_distance, strict_mean
@@ -11,13 +13,14 @@ from kinelattice.functions.vec import box_iou, distance, point_line_distance, st
 def pairs(df: DataFrame, keys: list[str], member: str, columns: list[str], include_self: bool = False, only_dyads: bool = False) -> DataFrame:
     """Every ordered pair of members of a group: keys, <member>_a, <member>_b, <column>_a, <column>_b.
 
-    One equi-join on the group keys with a residual on the members. ``only_dyads`` keeps groups of exactly two, counted
-    over the partitioning that the join needs anyway.
+    The few people of a frame meet once, in an array, and pairs are expanded from it. Groups with a NULL key have no pairs;
+    ``only_dyads`` keeps groups of exactly two.
     """
-    if only_dyads:
-        df = df.withColumn("_n", F.count(F.lit(1)).over(Window.partitionBy(*keys))).filter("_n = 2")
-    side = lambda s: df.select(*keys, *(F.col(c).alias(f"{c}_{s}") for c in (member, *columns)))
-    out = side("a").join(side("b"), keys)
+    known = reduce(lambda p, q: p & q, (F.col(k).isNotNull() for k in keys))
+    groups = df.filter(known).groupBy(*keys).agg(F.collect_list(F.struct(member, *columns)).alias("_all"))
+    groups = groups.filter(F.size("_all") == 2) if only_dyads else groups
+    both = groups.select(*keys, "_all", F.explode("_all").alias("_a")).select(*keys, "_a", F.explode("_all").alias("_b"))
+    out = both.select(*keys, *(F.col(f"_{s}.{c}").alias(f"{c}_{s}") for s in "ab" for c in (member, *columns)))
     return out if include_self else out.filter(F.col(f"{member}_a") != F.col(f"{member}_b"))
 
 
@@ -38,15 +41,13 @@ def gaze_contact(heads: DataFrame, gaze: DataFrame, keys: list[str], person: str
 
     ``heads`` has the face centre (head), ``gaze`` the direction (direction). The gaze is an infinite line.
     """
-    one = heads.join(gaze, [*keys, person])
-    both = pairs(one, keys, person, ["head", "direction"])
+    both = pairs(heads.join(gaze, [*keys, person]), keys, person, ["head", "direction"], include_self=True)
     there = point_line_distance(F.col("head_b"), F.col("head_a"), F.col("direction_a"))
     back = point_line_distance(F.col("head_a"), F.col("head_b"), F.col("direction_b"))
     hits = lambda c: F.coalesce(F.col(c) <= threshold, F.lit(False))
-    seen = both.select(*keys, F.col(f"{person}_a").alias(person), F.col(f"{person}_b").alias("target"), there.alias("distance"), back.alias("_back"))
-    out = seen.select(*keys, person, "target", "distance", hits("distance").alias("look_at"), (hits("distance") & hits("_back")).alias("mutual"))
-    own = one.select(*keys, person, F.col(person).alias("target"), F.lit(0.0).alias("distance"), F.lit(False).alias("look_at"), F.lit(False).alias("mutual"))
-    return out.unionByName(own)
+    own = F.col(f"{person}_a") == F.col(f"{person}_b")
+    seen = both.select(*keys, F.col(f"{person}_a").alias(person), F.col(f"{person}_b").alias("target"), own.alias("_own"), F.when(own, 0.0).otherwise(there).alias("distance"), back.alias("_back"))
+    return seen.select(*keys, person, "target", "distance", (~F.col("_own") & hits("distance")).alias("look_at"), (~F.col("_own") & hits("distance") & hits("_back")).alias("mutual"))
 
 
 def box_overlaps(boxes: DataFrame, keys: list[str], person: str = "person", corners: tuple[str, ...] = ("x1", "y1", "x2", "y2")) -> DataFrame:

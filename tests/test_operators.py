@@ -1,6 +1,7 @@
 """Hand-computed cases, edge rules and invariants of the frame-series operators."""
 
 import functools
+import itertools
 import math
 
 import numpy as np
@@ -15,6 +16,25 @@ from kinelattice.operators.results import Results, Summary, create_summaries, su
 from kinelattice.sources import calibration
 
 
+def kept_boxes(boxes, scores, threshold):
+    """Places left when pairs are tried in order and the lower-scored box of an overlapping pair goes."""
+    gone = set()
+    for i, j in itertools.combinations(range(len(boxes)), 2):
+        if gone & {i, j}:
+            continue
+        a, b = boxes[i], boxes[j]
+        both = max(min(a[2], b[2]) - max(a[0], b[0]), 0) * max(min(a[3], b[3]) - max(a[1], b[1]), 0)
+        whole = sum((c[2] - c[0]) * (c[3] - c[1]) for c in (a, b)) - both
+        if whole > 0 and both / whole > threshold:
+            gone.add(j if scores[j] < scores[i] else i)
+    return [k for k in range(len(boxes)) if k not in gone]
+
+
+def exchanges(df):
+    plan = df.select("*")._jdf.queryExecution().executedPlan().toString()
+    return plan.count("Exchange "), plan
+
+
 def one(spark, **exprs):
     return spark.range(1).select(*(e.alias(n) for n, e in exprs.items())).first()
 
@@ -200,8 +220,8 @@ def test_alignment(spark):
 
 
 def test_detections(spark):
-    assert detections.kept_boxes(np.array([[0, 0, 10, 10], [0, 0, 10, 10.5], [50, 50, 60, 60.0]]), np.array([0.9, 0.8, 0.7]), 0.9) == [0, 2]
-    assert detections.kept_boxes(np.array([[0, 0, 10, 10], [0, 0, 10, 10.0]]), np.array([0.5, 0.5]), 0.9) == [1]
+    assert kept_boxes(np.array([[0, 0, 10, 10], [0, 0, 10, 10.5], [50, 50, 60, 60.0]]), np.array([0.9, 0.8, 0.7]), 0.9) == [0, 2]
+    assert kept_boxes(np.array([[0, 0, 10, 10], [0, 0, 10, 10.0]]), np.array([0.5, 0.5]), 0.9) == [1]
     rows = [("c", 0, 0, 50.0, 0.0, 60.0, 10.0, 0.9), ("c", 0, 1, 0.0, 0.0, 10.0, 10.0, 0.8), ("c", 1, 0, 0.0, 0.0, 10.0, 10.0, 0.9), ("c", 2, 0, 0.0, 0.0, 10.0, 10.0, 0.9),
             ("c", 2, 1, 0.0, 0.0, 10.0, 10.2, 0.8), ("c", 2, 2, 70.0, 0.0, 80.0, 10.0, 0.95), ("c", 3, 0, 5.0, 0.0, 6.0, 1.0, 0.1)]
     df = spark.createDataFrame(rows, "camera string, frame int, pos int, x1 double, y1 double, x2 double, y2 double, score double")
@@ -254,7 +274,7 @@ def test_correct_people_above_equals_brute_force(spark):
     for frame in range(60):
         own = [r for r in rows if r[1] == frame and r[-1] > 0.3]
         if len(own) != 2 and own:
-            left = detections.kept_boxes(np.array([r[3:7] for r in own]), np.array([r[7] for r in own]), 0.9)
+            left = kept_boxes(np.array([r[3:7] for r in own]), np.array([r[7] for r in own]), 0.9)
             own = [own[k] for k in left]
         if len(own) == 2:
             last = [r[2] for r in sorted(own, key=lambda r: (r[3], r[2]))]
@@ -439,3 +459,35 @@ def test_general_inverse(spark):
         w = inv @ [1.0, -2.0, 0.5]
         assert np.allclose(got[k]["inv"], inv, rtol=1e-8) and np.allclose(got[k]["w"], w / np.linalg.norm(w)) and got[k]["rot"] == (k >= 30)
     assert all(got[len(ms) + k]["inv"] is None and got[len(ms) + k]["w"] is None for k in range(3))
+
+
+def test_suppression_is_one_aggregation(spark):
+    rng = np.random.default_rng(11)
+    rows, want = [], {}
+    for f in range(60):
+        n = int(rng.integers(0, 7))
+        low = rng.integers(0, 8, (n, 2)).astype(float)
+        boxes, scores = np.hstack([low, low + rng.integers(0, 12, (n, 2))]), rng.integers(1, 4, n) / 4
+        rows += [(f % 3 or None, f, p, *map(float, b), float(s), "x") for p, (b, s) in enumerate(zip(boxes, scores))]
+        want[f] = kept_boxes(boxes, scores, 0.4)
+    df = spark.createDataFrame(rows, "camera int, frame int, pos int, x1 double, y1 double, x2 double, y2 double, score double, extra string").repartition(7)
+    out = detections.suppress_overlaps(df, ["camera", "frame"], 0.4)
+    got = {}
+    for r in sorted(out.collect(), key=lambda r: r["pos"]):
+        got.setdefault(r["frame"], []).append(r["pos"])
+    assert out.columns == df.columns and got == {f: k for f, k in want.items() if k}
+    n, plan = exchanges(out)
+    assert n <= 2 and "Python" not in plan and "Pandas" not in plan and "Join" not in plan  # one is the test's own repartition
+    people = detections.correct_people(df, ["camera"], "frame", 2, above=0.2, threshold=0.4)
+    n, plan = exchanges(people)
+    assert n <= 3 and "Python" not in plan and "Join" not in plan
+    as_text = lambda d: sorted(str(r) for r in d.collect())
+    assert as_text(people) == as_text(detections.correct_people(df, ["camera"], "frame", 2, above=0.2, threshold=0.4, block=8))
+
+
+def test_pairs_scan_once(spark):
+    df = spark.createDataFrame([(1, "a", 1.0), (1, "b", 2.0), (2, "a", 3.0), (None, "a", 4.0), (None, "b", 5.0), (3, "a", 1.0), (3, "b", 2.0), (3, "c", 3.0)], "frame int, person string, x double")
+    out = dyads.pairs(df, ["frame"], "person", ["x"])
+    assert exchanges(out)[0] == 1
+    assert sorted((r["frame"], r["person_a"], r["person_b"]) for r in out.collect()) == sorted([(1, "a", "b"), (1, "b", "a"), *((3, a, b) for a, b in itertools.permutations("abc", 2))])
+    assert {r["frame"] for r in dyads.pairs(df, ["frame"], "person", ["x"], only_dyads=True).collect()} == {1}
