@@ -10,8 +10,12 @@ texts of new turns only, so every target counts once.
 The rows of a conversation are streamed in turn order with constant state (the current window), so a conversation of
 any length needs no memory of its own; its digest needs its turns in order, and different conversations are spread.
 
-Edge cases: null roles and texts are empty; a turn longer than the budget stands in a window of its own (with the
-system turn), uncut; ties in ``turn`` go by role, then text; repeated rows are turns of their own; rows with a null
+A window holds at most the budget, with one exception: where the system turn and one other turn are longer together (or one
+of them alone is), the window holds just these, uncut and without history, and ``over_budget`` is true. The system turn is
+retained in that case too, so a system turn beyond the budget makes every window of its conversation such a window, with
+one turn each.
+
+Edge cases: null roles and texts are empty; ties in ``turn`` go by role, then text; repeated rows are turns of their own; rows with a null
 conv_id are one conversation; very long texts are encoded whole, one at a time; other columns are not read, so their
 names never clash; an empty table gives no rows.
 """
@@ -36,9 +40,9 @@ CONTROL = ("<|", "|>", "<s>", "</s>", "[INST]", "[/INST]", "<<SYS>>", "<</SYS>>"
 _ESCAPE = re.compile("(?=" + "|".join(re.escape(c) for c in CONTROL) + r")[\s\S]|\\")
 _END = "<|end|>\n"
 _TURN = re.compile(r"<\|turn:(.*?)\|>\n(.*?)<\|end\|>\n", re.S)
-_WINDOW = ["conv_id", "window", "formatted", "loss_start", "loss_end", "repeated", "n_new", "tokens"]
-_KINDS = [pa.int64(), pa.int32(), pa.string(), pa.list_(pa.int64()), pa.list_(pa.int64()), pa.int32(), pa.int32(), pa.int64()]
-_DDL = "conv_id bigint, window int, formatted string, loss_start array<bigint>, loss_end array<bigint>, repeated int, n_new int, tokens bigint"
+_WINDOW = ["conv_id", "window", "formatted", "loss_start", "loss_end", "repeated", "n_new", "tokens", "over_budget"]
+_KINDS = [pa.int64(), pa.int32(), pa.string(), pa.list_(pa.int64()), pa.list_(pa.int64()), pa.int32(), pa.int32(), pa.int64(), pa.bool_()]
+_DDL = "conv_id bigint, window int, formatted string, loss_start array<bigint>, loss_end array<bigint>, repeated int, n_new int, tokens bigint, over_budget boolean"
 
 
 def escape(text: str) -> str:
@@ -95,7 +99,7 @@ class _Conversation:
                 end.append(at + len(header) + len(text))
             parts.append(f"{header}{text}{_END}")
             at += len(parts[-1])
-        row = (self.conv_id, self.window, "".join(parts), start, end, repeated, len(parts) - repeated, self._cost())
+        row = (self.conv_id, self.window, "".join(parts), start, end, repeated, len(parts) - repeated, self._cost(), self._cost() > self.budget)
         self.window += 1
         return row
 
@@ -105,7 +109,7 @@ def _in_order(df: DataFrame, *order: str) -> DataFrame:
 
 
 def windows(conversations: DataFrame, path: str, pattern: str, budget: int = 1024, history: int = 256) -> DataFrame:
-    """Training windows: conv_id, window, formatted, loss_start, loss_end, repeated, n_new, tokens.
+    """Training windows: conv_id, window, formatted, loss_start, loss_end, repeated, n_new, tokens, over_budget.
 
     ``repeated`` leading turns (system turn and history) were in an earlier window already. ``loss_start`` and
     ``loss_end`` are the code-point bounds of the escaped texts under the loss mask.

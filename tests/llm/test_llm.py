@@ -745,7 +745,7 @@ def test_chat_round_trip(spark):
         assert (g["n_turns"], g["turns_sha256"], g["loss_chars"], g["loss_sha256"]) == (len(own), hashlib.sha256(turns.encode()).hexdigest(), len(loss), hashlib.sha256(loss.encode()).hexdigest())
     enc = tiktoken.Encoding("own", pat_str=public_tokenizers.PATTERN, mergeable_ranks={base64.b64decode(a): int(b) for a, b in map(bytes.split, open(BPE, "rb"))}, special_tokens={})
     for w in windows.collect():
-        assert len(enc.encode_ordinary(w["formatted"])) == w["tokens"] and (w["tokens"] <= 300 or w["n_new"] == 1)
+        assert len(enc.encode_ordinary(w["formatted"])) == w["tokens"] and (w["tokens"] > 300) == w["over_budget"]
     long = sorted((w for w in windows.collect() if w["conv_id"] == 1), key=lambda w: w["window"])
     assert len(long) > 5 and all(w["tokens"] <= 300 for w in long) and all(chat.parse(w["formatted"])[0][0] == "system" for w in long)
     assert any(w["repeated"] > 1 for w in long[1:]) and sum(w["n_new"] for w in long) == 60
@@ -760,3 +760,28 @@ def test_escape(text):
 
 def test_registered_queries():
     assert {int(re.match(r"op(\d+)_", n)[1]) for n in queries.QUERIES} == set(range(1, 11))
+
+
+def test_windows_keep_their_budget(spark):
+    """1,000 conversations with system turns of any length: a window is within the budget, or is marked and holds the system turn and one other."""
+    rng = random.Random(12)
+    rows = []
+    for c in range(1000):
+        k = 0
+        if rng.random() < 0.7:
+            rows.append((c, 0, "system", prose(rng, rng.choice([1, 10, 40, 70, 150]))))
+            k = 1
+        rows += [(c, k + t, ("user", "assistant")[t % 2], prose(rng, rng.choice([1, 5, 20, 45, 90]))) for t in range(rng.randint(0 if k else 1, 9))]
+    df = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string").repartition(4)
+    windows = chat.windows(df, BPE, public_tokenizers.PATTERN, budget=200, history=60).collect()
+    turns = collections.Counter(r[0] for r in rows)
+    system = {c: t for c, k, role, t in rows if role == "system"}
+    seen = collections.Counter()
+    for w in windows:
+        parts = chat.parse(w["formatted"])
+        assert w["over_budget"] == (w["tokens"] > 200)
+        if w["over_budget"]:
+            assert [r for r, _ in parts].count("system") == (w["conv_id"] in system) and len(parts) <= 1 + (w["conv_id"] in system)
+        assert (w["conv_id"] not in system) or parts[0] == ("system", system[w["conv_id"]])
+        seen[w["conv_id"]] += w["n_new"]
+    assert seen == turns and sum(w["over_budget"] for w in windows) > 50 and sum(w["repeated"] > 1 for w in windows) > 50
