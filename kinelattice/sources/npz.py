@@ -16,16 +16,18 @@ import io
 import json
 import os
 import pickle
+import shutil
+import uuid
 import zipfile
 from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+import pyarrow.compute
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.datasource import DataSource, DataSourceReader, EqualTo, Filter, GreaterThan, GreaterThanOrEqual, In, InputPartition, LessThan, LessThanOrEqual
+from pyspark.sql.datasource import DataSource, DataSourceArrowWriter, DataSourceReader, EqualTo, Filter, GreaterThan, GreaterThanOrEqual, In, InputPartition, LessThan, LessThanOrEqual, WriterCommitMessage
 
 from kinelattice.session import importable
 
@@ -315,6 +317,9 @@ class NpzDataSource(DataSource):
     def reader(self, schema) -> NpzReader:
         return NpzReader(self.options)
 
+    def writer(self, schema, overwrite: bool) -> NpzWriter:
+        return NpzWriter(self.options)
+
 
 def _load(spark: SparkSession, source: type[DataSource], path: str, **options: str) -> DataFrame:
     importable(spark)
@@ -337,67 +342,185 @@ def read_axes(spark: SparkSession, path: str) -> DataFrame:
     return _load(spark, AxesDataSource, path)
 
 
+# sink ---------------------------------------------------------------------------------------------------------------
+
+_CELLS = "file string, array_name string, kind int, person string, camera string, frame int, label string, cell array<double>, persons array<string>, cameras array<string>, frames array<int>, labels array<string>, width int, shown array<string>, grid boolean"
+_FILL = 1 << 18
+
+
+@dataclass
+class Written(WriterCommitMessage):
+    folder: str
+    files: list[str]
+
+
+class _MemberOut:
+    """A dense array written cell by cell in ascending order; cells that no row has are NaN. Of rows for one cell the last wins."""
+
+    def __init__(self, archive: zipfile.ZipFile, head: dict):
+        self.axes = {"person": pa.array(head["persons"]), "camera": pa.array(head["cameras"]), "frame": pa.array(head["frames"], pa.int32())}
+        if head["labels"]:
+            self.axes["label"] = pa.array(head["labels"])
+        self.shape = [len(a) for a in self.axes.values()]
+        self.cells, self.width, self.type = int(np.prod(self.shape, dtype=np.int64)), head["width"], np.dtype(np.float32 if head["grid"] else np.float64)
+        self.out = archive.open(f"{head['array_name']}.npy", "w", force_zip64=True)
+        whole = tuple(self.shape) if head["grid"] else (*self.shape, self.width)
+        np.lib.format.write_array_header_2_0(self.out, {"descr": self.type.str, "fortran_order": False, "shape": whole})
+        self.next, self.held = 0, None  # the cell to be written next; one cell and its values, until the next row is known
+        names = [[str(x) for x in a.to_pylist()] if c != "frame" else [f"{x:09d}" for x in a.to_pylist()] for c, a in self.axes.items()]
+        shown = [] if head["grid"] else [head["shown"] or [f"v{k}" for k in range(self.width)]]
+        self.description = {f"axis{k}": own for k, own in enumerate([*names, *shown])}
+
+    def _put(self, at: np.ndarray, values: np.ndarray) -> None:
+        """Cells in ascending order, each once, from ``next`` on."""
+        while len(at):
+            end = min(self.next + _FILL, int(at[-1]) + 1)
+            n = int(np.searchsorted(at, end))
+            block = np.full((end - self.next, self.width), np.nan, self.type)
+            block[at[:n] - self.next] = values[:n]
+            self.out.write(block.tobytes())
+            self.next, at, values = end, at[n:], values[n:]
+
+    def add(self, rows: pa.RecordBatch) -> None:
+        at = np.zeros(rows.num_rows, np.int64)
+        for name, axis in self.axes.items():
+            at = at * len(axis) + np.asarray(pa.compute.index_in(rows.column(name), axis))
+        values = np.asarray(rows.column("cell").flatten().fill_null(np.nan)).reshape(-1, self.width)
+        if self.held is not None:
+            at, values = np.append(self.held[0], at), np.vstack([self.held[1], values])
+        last = np.append(at[1:] != at[:-1], True)
+        at, values = at[last], values[last]
+        self._put(at[:-1], values[:-1])
+        self.held = at[-1:], values[-1:]
+
+    def close(self) -> None:
+        if self.held is not None:
+            self._put(*self.held)
+        while self.next < self.cells:
+            n = min(_FILL, self.cells - self.next)
+            self.out.write(np.full((n, self.width), np.nan, self.type).tobytes())
+            self.next += n
+        self.out.close()
+
+
+class NpzWriter(DataSourceArrowWriter):
+    """Sorted rows, each array's axes before its cells, streamed into archives under a temporary name until the commit."""
+
+    def __init__(self, options: dict):
+        self.root = options["path"].removeprefix("file://")
+
+    def write(self, iterator: Iterator[pa.RecordBatch]) -> Written:
+        folder = os.path.join(self.root, "_temporary", uuid.uuid4().hex)
+        done = Written(folder, [])
+        archive = member = None
+        known: dict[str, dict] = {}
+
+        def finish(whole: bool) -> None:
+            nonlocal archive, member
+            if member is not None:
+                member.close()
+                member = None
+            if whole and archive is not None:
+                raw = io.BytesIO()
+                np.save(raw, np.array(json.dumps(known)))
+                archive.writestr("data_description.npy", raw.getvalue())
+                archive.close()
+                known.clear()
+
+        for batch in iterator:
+            kinds = np.asarray(batch.column("kind"))
+            heads = np.flatnonzero(kinds == 0).tolist()
+            for a, b in zip([0, *heads], [*heads, batch.num_rows]):  # what comes before the first head belongs to the array before
+                rows = batch.slice(a, b - a)
+                if not rows.num_rows:
+                    continue
+                if kinds[a] == 0:
+                    head = rows.slice(0, 1).to_pylist()[0]
+                    fresh = not done.files or done.files[-1] != head["file"]
+                    finish(fresh)
+                    if fresh:
+                        done.files.append(head["file"])
+                        path = os.path.join(folder, head["file"])
+                        os.makedirs(os.path.dirname(path), exist_ok=True)
+                        archive = zipfile.ZipFile(path, "w", zipfile.ZIP_DEFLATED, allowZip64=True)
+                    member = _MemberOut(archive, head)
+                    known[head["array_name"]] = member.description
+                    rows = rows.slice(1)
+                if rows.num_rows:
+                    member.add(rows)
+        finish(True)
+        return done
+
+    def commit(self, messages: list[Written | None]) -> None:
+        for m in filter(None, messages):
+            for file in m.files:
+                os.makedirs(os.path.dirname(os.path.join(self.root, file)), exist_ok=True)
+                os.replace(os.path.join(m.folder, file), os.path.join(self.root, file))
+        self._clean()
+
+    def abort(self, messages: list[Written | None]) -> None:
+        self._clean()
+
+    def _clean(self) -> None:
+        shutil.rmtree(os.path.join(self.root, "_temporary"), ignore_errors=True)
+
+
+def _save(cells: DataFrame, root: str) -> DataFrame:
+    """Write (file, array_name, person, camera, frame, label, cell, shown, grid); returns (path, arrays).
+
+    An array's axes are one aggregate, sent ahead of its cells in one sorted stream, so a task holds the axes and a block
+    of cells, however large the grid is. The files appear when all of them are whole.
+    """
+    spark = cells.sparkSession
+    importable(spark)
+    spark.dataSource.register(NpzDataSource)
+    some = lambda c: F.coalesce(F.col(c), F.lit("none"))
+    cells = cells.withColumns({"person": some("person"), "camera": some("camera")})
+    axis = lambda c, n: F.array_sort(F.collect_set(c)).alias(n)
+    heads = cells.groupBy("file", "array_name").agg(
+        axis("person", "persons"), axis("camera", "cameras"), axis("frame", "frames"), axis("label", "labels"), F.max(F.size("cell")).alias("width"), F.first("shown", ignorenulls=True).alias("shown"), F.first("grid").alias("grid")
+    )
+    names = [x.split(" ")[0] for x in _CELLS.split(", ")]
+    kinds = dict(x.split(" ") for x in _CELLS.split(", "))
+    rows = [df.select(*(F.col(n) if n in df.columns else F.lit(kind if n == "kind" else None).cast(kinds[n]).alias(n) for n in names)) for kind, df in ((0, heads), (1, cells.drop("shown", "grid")))]
+    both = rows[0].unionByName(rows[1])
+    order = ["file", "array_name", "kind", "person", "camera", "frame", "label"]
+    both.repartition("file").sortWithinPartitions(*order).write.format("npz").mode("append").save(root)
+    return heads.groupBy("file").agg(F.count("*").cast("int").alias("arrays")).select(F.concat(F.lit(root.rstrip("/") + "/"), "file").alias("path"), "arrays")
+
+
+def _folder() -> Column:
+    return F.concat_ws("__", "dataset", "session", "sequence")
+
+
 def write_npz(values: DataFrame, root: str) -> DataFrame:
     """Metric values to archives <root>/<dataset>__<session>[__<sequence>]/<component>/<algorithm>__<metric_type>.npz.
 
-    ``values`` has the long schema (metric_name ... frame, label, value). One task writes one file: a dense grid
-    [person, camera, frame, label] per metric, NaN where there is no value, axes sorted, the last of equal keys wins.
-    Returns (path, arrays); collect it to write. The root must be visible to all executors.
+    ``values`` has the long schema (metric_name ... frame, label, value). A file holds a dense grid [person, camera, frame,
+    label] per metric, NaN where there is no value, axes sorted; of equal keys the greatest value wins. Returns the files
+    written, (path, arrays). The root must be visible to all executors.
     """
-    keys = ["dataset", "session", "sequence", "component", "algorithm", "metric_type"]
-    importable(values.sparkSession)
-
-    def write(rows: pd.DataFrame) -> pd.DataFrame:
-        first = rows.iloc[0]
-        folder = "__".join(str(first[k]) for k in ("dataset", "session", "sequence") if pd.notna(first[k]))
-        path = os.path.join(root, folder, str(first["component"]), f"{first['algorithm']}__{first['metric_type']}.npz")
-        arrays, known = {}, {}
-        for metric, own in rows.groupby("metric_name"):
-            axes = [sorted(own[c].unique()) for c in ("person", "camera", "frame", "label")]
-            grid = np.full([len(a) for a in axes], np.nan, np.float32)
-            at = tuple(np.searchsorted(a, own[c]) for a, c in zip(axes, ("person", "camera", "frame", "label")))
-            grid[at] = own["value"]
-            arrays[metric] = grid
-            known[metric] = {f"axis{k}": [f"{int(x):09d}" for x in a] if k == 2 else [str(x) for x in a] for k, a in enumerate(axes)}
-        os.makedirs(os.path.dirname(path), exist_ok=True)
-        np.savez_compressed(path, data_description=np.array(json.dumps(known)), **arrays)
-        return pd.DataFrame({"path": [path], "arrays": [len(arrays)]})
-
-    return values.select(*keys, "metric_name", "person", "camera", "frame", "label", "value").groupBy(*keys).applyInPandas(write, "path string, arrays int")
+    file = F.concat(F.concat_ws("/", _folder(), "component", F.concat_ws("__", "algorithm", "metric_type")), F.lit(".npz"))
+    cell = F.array(F.col("value").cast("double"))
+    own = values.groupBy(file.alias("file"), F.col("metric_name").alias("array_name"), "person", "camera", F.col("frame").cast("int").alias("frame"), F.col("label").cast("string").alias("label")).agg(F.max(cell).alias("cell"))
+    return _save(own.withColumns({"label": F.coalesce("label", F.lit("none")), "shown": F.lit(None).cast("array<string>"), "grid": F.lit(True)}), root)
 
 
 def write_features(arrays: DataFrame, root: str) -> DataFrame:
     """Packed arrays (the columns of ``read_npz``) to archives <root>/<dataset>__<session>[__<sequence>]/<component>/<algorithm>.npz.
 
-    One task writes one file, array by array: a dense grid [person, camera, frame, label, coordinate], the confidence
-    last where there is one, NaN where there is no value; rows without a label give [person, camera, frame, coordinate].
-    Reading gives the same rows again. Returns (path, arrays); collect it to write. The root must be visible to all
-    executors.
+    A file holds dense grids [person, camera, frame, label, coordinate], the confidence last where an array has one, NaN
+    where there is no value; rows without a label give [person, camera, frame, coordinate]. Reading gives the same rows
+    again. Returns the files written, (path, arrays). The root must be visible to all executors.
     """
-    keys = ["dataset", "session", "sequence", "component", "algorithm"]
-    importable(arrays.sparkSession)
-
-    def write(rows: pd.DataFrame) -> pd.DataFrame:
-        first = rows.iloc[0]
-        folder = "__".join(str(first[k]) for k in keys[:3] if pd.notna(first[k]))
-        path = os.path.join(root, folder, str(first["component"]), f"{first['algorithm']}.npz")
-        grids, known = {}, {}
-        for name, own in rows.groupby("array_name"):
-            labelled, sure = own["label"].notna().all(), own["conf"].notna().any()
-            columns = ["person", "camera", "frame", *(["label"] if labelled else [])]
-            axes = [sorted(own[c].unique()) for c in columns]
-            v = np.array(own["v"].tolist(), float).reshape(len(own), -1)
-            v = np.column_stack([v, own["conf"].to_numpy(float)]) if sure else v
-            grid = np.full([*map(len, axes), v.shape[1]], np.nan)
-            grid[tuple(np.searchsorted(a, own[c]) for a, c in zip(axes, columns))] = v
-            shown = [*(own["axis"].iloc[0] if own["axis"].iloc[0] is not None else [f"v{k}" for k in range(v.shape[1] - sure)]), *(["confidence_score"] if sure else [])]
-            grids[name] = grid
-            known[name] = {f"axis{k}": [f"{int(x):09d}" for x in a] if k == 2 else [str(x) for x in a] for k, a in enumerate([*axes, shown])}
-        os.makedirs(os.path.dirname(path), exist_ok=True)
-        np.savez_compressed(path, data_description=np.array(json.dumps(known)), **grids)
-        return pd.DataFrame({"path": [path], "arrays": [len(grids)]})
-
-    return arrays.select(*keys, "array_name", "person", "camera", "frame", "label", "v", "conf", "axis").groupBy(*keys).applyInPandas(write, "path string, arrays int")
+    file = F.concat(F.concat_ws("/", _folder(), "component", "algorithm"), F.lit(".npz"))
+    rows = arrays.select(file.alias("file"), "array_name", "person", "camera", "frame", "label", "v", "conf", "axis")
+    sure = rows.groupBy("file", "array_name").agg((F.count("conf") > 0).alias("sure"))
+    rows = rows.join(sure, ["file", "array_name"])
+    cell = F.when(F.col("sure"), F.concat("v", F.array(F.col("conf").cast("double")))).otherwise(F.col("v"))
+    names = F.coalesce("axis", F.transform(F.sequence(F.lit(0), F.size("v") - 1), lambda k: F.concat(F.lit("v"), k.cast("string"))))
+    shown = F.when(F.col("sure"), F.concat(names, F.array(F.lit(CONFIDENCE[-1])))).otherwise(names)
+    return _save(rows.select("file", "array_name", "person", "camera", "frame", "label", cell.alias("cell"), shown.alias("shown"), F.lit(False).alias("grid")), root)
 
 
 def long_values(arrays: DataFrame, axis: DataFrame | None = None, joined: bool = False) -> DataFrame:

@@ -6,6 +6,7 @@ import zipfile
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 from pyspark.sql.datasource import EqualTo, GreaterThanOrEqual, In, LessThan
 
 from kinelattice.sources import npz
@@ -86,3 +87,56 @@ def test_axes_from_headers(spark, tmp_path):
     assert rows[("alg", "4d")]["axis4"] is None and rows[("alg", "unnamed")]["problem"] == "no description"
     assert rows[("broken", None)]["problem"] == "no readable description" and "differ" in rows[("short", "3d")]["problem"]
     assert npz.read_axes(spark, str(tmp_path)).filter("algorithm = 'alg' and array_name = '4d'").count() == 1
+
+
+VALUES = "metric_name string, dataset string, session string, sequence string, component string, algorithm string, metric_type string, person string, camera string, frame int, label string, value double"
+
+
+def long_rows(n):
+    """A sparse grid: a few cells of many people, frames and labels; some with no value; two metrics in one file."""
+    rng = np.random.default_rng(4)
+    rows = {}
+    for _ in range(n):
+        key = ("jpe" if rng.random() < 0.8 else "pck", "d", f"s{rng.integers(3)}", None if rng.random() < 0.5 else "q", "body_joints", "alg", "point_cloud_metrics", f"p{rng.integers(5)}", f"c{rng.integers(2)}", int(rng.integers(0, 4000)), f"l{rng.integers(40)}")
+        rows[key] = None if rng.random() < 0.1 else float(rng.integers(0, 1000))
+    return [(*k, v) for k, v in rows.items()]
+
+
+def test_streamed_grids(spark, tmp_path):
+    rows = long_rows(3000)
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "97")
+    try:
+        out = npz.write_npz(spark.createDataFrame(rows, VALUES).repartition(6), str(tmp_path)).collect()
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+    files = {r["path"]: r["arrays"] for r in out}
+    assert len(files) == 6 and not (tmp_path / "_temporary").exists()
+    want = {}
+    for r in rows:
+        folder = "__".join(x for x in r[1:4] if x)
+        want.setdefault((f"{tmp_path}/{folder}/body_joints/alg__point_cloud_metrics.npz", r[0]), {})[r[7:11]] = r[11]
+    for (path, metric), own in want.items():
+        known, grid = npz.description(path)[metric], np.load(path)[metric]
+        axes = [sorted({k[j] for k in own}) for j in range(4)]
+        assert [known["axis0"], known["axis1"], [int(x) for x in known["axis2"]], known["axis3"]] == axes and grid.dtype == np.float32
+        full = np.full([len(a) for a in axes], np.nan, np.float32)
+        for k, v in own.items():
+            full[tuple(a.index(x) for a, x in zip(axes, k))] = np.nan if v is None else v
+        assert np.array_equal(full, grid, equal_nan=True)
+        assert files[path] == len(set(np.load(path).files) - {"data_description"})
+
+
+def test_a_failed_write_leaves_no_file(spark, tmp_path):
+    rows = spark.createDataFrame(long_rows(500), VALUES)
+    bad = rows.withColumn("value", F.when(F.col("session") == "s2", F.raise_error(F.lit("stop")).cast("double")).otherwise(F.col("value")))
+    with pytest.raises(Exception, match="stop"):
+        npz.write_npz(bad, str(tmp_path / "out"))
+    assert not (tmp_path / "out").exists() or list((tmp_path / "out").rglob("*.npz")) == []
+    npz.write_npz(rows.limit(0), str(tmp_path / "none"))
+
+
+def test_features_round_trip(spark, tmp_path):
+    path, data = fill(tmp_path / "a", 700, compressed=True)
+    rows = npz.read_npz(spark, str(tmp_path / "a"))
+    npz.write_features(rows, str(tmp_path / "b")).collect()
+    assert sorted(map(str, npz.read_npz(spark, str(tmp_path / "b")).drop("path").collect())) == sorted(map(str, rows.drop("path").collect()))
