@@ -79,6 +79,13 @@ class Member:
         self.stored = self.info.compress_type == zipfile.ZIP_STORED
         self.whole: np.ndarray | None = None
 
+    def values(self, start: int, stop: int) -> np.ndarray:
+        """Values ``start`` to ``stop`` in the order of the file."""
+        self.raw.seek(self.first + start * self.dtype.itemsize)
+        got = self.raw.read((stop - start) * self.dtype.itemsize)
+        self.taken += len(got)
+        return np.frombuffer(got, self.dtype)
+
     def frames(self, person: int, camera: int, low: int, high: int) -> np.ndarray:
         """Values of frames ``low`` to ``high`` of one person and camera."""
         if self.dtype.hasobject:
@@ -263,7 +270,7 @@ class NpzReader(_ArchiveReader):
         return pa.RecordBatch.from_arrays([columns[c] for c in order], order)
 
 
-AXES = "path string, dataset string, session string, sequence string, component string, algorithm string, array_name string, shape array<bigint>, axis0 array<string>, axis1 array<string>, axis2 array<string>, axis3 array<string>, axis4 array<string>, problem string"
+AXES = "path string, dataset string, session string, sequence string, component string, algorithm string, array_name string, shape array<bigint>, axis0 array<string>, axis1 array<string>, axis2 array<string>, axis3 array<string>, axis4 array<string>, kind string, bytes bigint, crc bigint, problem string"
 
 
 class AxesReader(_ArchiveReader):
@@ -278,18 +285,19 @@ class AxesReader(_ArchiveReader):
         base = tuple(parse_path(partition.path).values())
         known = _described(partition.path)
         if known is None:
-            yield (partition.path, *base, None, None, *[None] * 5, "no readable description")
+            yield (partition.path, *base, None, None, *[None] * 8, "no readable description")
             return
         with zipfile.ZipFile(partition.path) as archive:
             for name in (n[:-4] for n in archive.namelist() if n.endswith(".npy") and n != "data_description.npy"):
                 if not self.wanted.has("array_name", name):
                     continue
                 with archive.open(f"{name}.npy") as raw:
-                    shape, _, _ = _header(raw)
+                    shape, _, dtype = _header(raw)
+                held = archive.getinfo(f"{name}.npy")
                 axes = [_names(known[name], k) for k in range(5)] if name in known else [None] * 5
                 off = [k for k, own in enumerate(axes) if own is not None and k < len(shape) and len(own) != shape[k]]
                 problem = "no description" if name not in known else f"axes {off} differ from the shape" if off else None
-                yield (partition.path, *base, name, list(shape), *axes, problem)
+                yield (partition.path, *base, name, list(shape), *axes, dtype.str, held.file_size, held.CRC, problem)
 
 
 class AxesDataSource(DataSource):
@@ -334,8 +342,9 @@ def read_npz(spark: SparkSession, path: str, split_bytes: int = 64 << 20) -> Dat
 
 
 def read_axes(spark: SparkSession, path: str) -> DataFrame:
-    """One row per array: path, its parts, array_name, shape, axis0 to axis4 (names, NULL where an axis has none), problem.
+    """One row per array: path, its parts, array_name, shape, axis0 to axis4 (names, NULL where an axis has none), kind, bytes, crc, problem.
 
+    ``kind`` is the type of the values, ``bytes`` and ``crc`` length and checksum of the array's file as the archive lists them.
     ``problem`` tells of an archive without a readable description, an array that it doesn't describe, or axes that differ
     from the shape.
     """
