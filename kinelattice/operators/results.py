@@ -15,6 +15,8 @@ from pathlib import Path
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from kinelattice.operators.quantiles import exact_quantiles
+
 LEVELS = ("metric_name", "dataset", "session", "sequence", "component", "algorithm", "metric_type", "person", "camera", "label", "frame")
 #: Dimensions that a configured summary may aggregate over.
 AGGREGABLE = frozenset({"sequence", "person", "camera", "label", "frame"})
@@ -79,6 +81,13 @@ class Results:
         out = self.view.groupBy(*groups).agg(*(AGGREGATES[n]("value").alias("value" if single else n) for n in names))
         return out.orderBy(*groups) if ordered else out
 
+    def quantiles(self, group_by: str | list[str], q: tuple[float, ...] = (0.5,)) -> DataFrame:
+        """groups, q, quantile: exact, in bounded memory for groups of any size; the median in ``aggregate`` holds a group's values."""
+        groups = [group_by] if isinstance(group_by, str) else list(group_by)
+        if missing := [g for g in groups if g not in self.levels]:
+            raise KeyError(f"unknown levels {missing}; there are {list(self.levels)}")
+        return exact_quantiles(self.view, groups, "value", q)
+
     @property
     def available_metrics(self) -> list[str]:
         return [r[0] for r in self.base.select("metric_name").distinct().orderBy("metric_name").collect()]

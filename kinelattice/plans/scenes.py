@@ -28,6 +28,12 @@ def results_spread(spark, sf_dir):
     return _rounded(_values(spark, sf_dir).aggregate(["metric_name", "person"], ["var", "sem"], ordered=False), "var", "sem")
 
 
+@query(" UNION ALL ".join(f"SELECT metric_name, person, {q}::DOUBLE AS q, round(quantile_cont(value, {q}), 6) AS quantile FROM {_LONG} GROUP BY ALL" for q in (0.05, 0.5, 0.95)))
+def results_quantiles(spark, sf_dir):
+    """Exact quantiles by metric and person, without holding a group."""
+    return _rounded(_values(spark, sf_dir).quantiles(["metric_name", "person"], (0.05, 0.5, 0.95)), "quantile")
+
+
 @query("SELECT CAST(order_year AS INT) AS year, round(avg(value), 6) AS value FROM (SELECT year(o_orderdate) AS order_year, o_totalprice AS value FROM orders) GROUP BY 1")
 def results_other_levels(spark, sf_dir):
     """A view over levels of one's own, with one aggregate."""
