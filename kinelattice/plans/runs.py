@@ -6,11 +6,13 @@ labels and coordinates in another order, one label under a synonym, and no frame
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from kinelattice.operators import evaluation
-from kinelattice.plans.catalog import _E, query, r6, read
+from kinelattice.operators import evaluation, states
+from kinelattice.plans.catalog import _BONE_SQL, _CONFUSION, _E, _JUMPS, _LIMITS, _bone_lengths, _confusion, _series, query, r6, read
 
 _BONES = {"upper": ("j0", "j1"), "lower": ("j1", "j2"), "span": ("j0", "j3")}
 _DIAMETERS = {"j0": 0.0002, "j1": 0.0003, "j2": 0.0004}
@@ -63,3 +65,38 @@ UNION ALL SELECT person, '3d', 'jump_count', sum(value) FROM {_JUMP} GROUP BY AL
 def evaluation_summary(spark, sf_dir):
     """Summaries of the same run."""
     return _run(spark, sf_dir).summary.select("person", "camera", "metric", r6("value").alias("value"))
+
+
+# states of parts ----------------------------------------------------------------------------------------------------
+
+
+def _merged(kind: states.States, parts: list[DataFrame]) -> DataFrame:
+    """States of every part, merged two by two, then computed."""
+    own = [kind.update(p) for p in parts]
+    return kind.compute(reduce(kind.merge, own))
+
+
+@query(f"SELECT label AS person, bone, round(avg(bone_length), 6) AS mean, round(stddev_samp(bone_length), 6) AS std FROM ({_BONE_SQL}) GROUP BY ALL")
+def bone_states(spark, sf_dir):
+    """Bone statistics from the states of three parts of the rows."""
+    lengths = _bone_lengths(spark, sf_dir)
+    out = _merged(states.Moments(("person", "bone"), "bone_length"), [lengths.filter(F.col("vec_id") % 3 == k) for k in range(3)])
+    return out.withColumns({"mean": r6("mean"), "std": r6("std")})
+
+
+@query(f"SELECT user_id, event_type, CAST(count_if(jump) AS DOUBLE) AS jump_count FROM ({_JUMPS}) GROUP BY ALL")
+def jump_states(spark, sf_dir):
+    """Jumps from the states of frame ranges, borders between them included."""
+    kind = states.Jumps(("user_id", "event_type"), ("x",), spark.createDataFrame(_LIMITS, "event_type string, diameter double"), "event_type", "diameter", ("user_id", "event_type"))
+    frames = _series(spark, sf_dir)
+    return _merged(kind, [frames.filter(F.col("frame") >= 40), frames.filter(F.col("frame") < 15), frames.filter((F.col("frame") >= 15) & (F.col("frame") < 40))])
+
+
+@query(f"""SELECT source, round((tp + tn) / (tp + tn + fp + fn), 6) AS accuracy, round(p, 6) AS precision, round(r, 6) AS recall, round(coalesce(2 * p * r / nullif(p + r, 0), 0), 6) AS f1
+FROM (SELECT *, coalesce(tp / nullif(tp + fp, 0), 0) AS p, coalesce(tp / nullif(tp + fn, 0), 0) AS r FROM (SELECT source, sum(tp) AS tp, sum(tn) AS tn, sum(fp) AS fp, sum(fn) AS fn FROM {_CONFUSION} GROUP BY 1))""")
+def score_states(spark, sf_dir):
+    """Scores by source from the counts of each language."""
+    kind = states.Counts(("source",))
+    counts = _confusion(spark, sf_dir)
+    langs = (F.col("lang") == "en", F.coalesce(F.col("lang") != "en", F.lit(True)))
+    return _merged(kind, [counts.filter(c) for c in langs]).select("source", *(r6(c).alias(c) for c in ("accuracy", "precision", "recall", "f1")))
