@@ -3,7 +3,11 @@
 Each stage takes (spark, docs, sf_dir) and returns a DataFrame, which is written as Parquet and read again as the next
 stage's documents. All but the last return the columns of their input; the last returns token pieces and their places.
 
-Edge cases: an empty table passes through every stage; null texts fail the quality rules; extra columns stay.
+Edge cases: an empty table passes through every stage; null texts fail the quality rules; extra columns stay, whatever
+their names (those that begin with ``_kl_`` apart from the ones the stages use themselves). Of equal texts the smallest
+doc_id stays, of near copies too; rows that repeat a doc_id with its text are one, with different texts each is judged
+as it stands and near copies go by the id. Ties between thresholds and p-values fall together. A very long text is one row,
+read whole by every stage, and its pieces are spread over sequences.
 """
 
 from __future__ import annotations
@@ -48,7 +52,7 @@ STAGES = [
     ("packing", packing_stage),
 ]
 
-#: The forests, the near-duplicate search and the tokenizer are beyond SQL; tests hold the stages against brute force.
+#: The forests, the near-duplicate search and the tokenizer are beyond SQL; tests hold every stage against plain Python.
 ORACLE_SQL = None
 
 
