@@ -32,6 +32,7 @@ from pyspark.sql import functions as F
 
 from kinelattice.llm import bitmap
 from kinelattice.llm.components import components
+from kinelattice.llm.skew import join_groups
 from kinelattice.llm.textcols import in_chunks, texts
 from kinelattice.session import cut, drop
 
@@ -40,6 +41,8 @@ BANDS, ROWS = 32, 4
 HASHES, BITS = 512, 4
 #: Candidates are confirmed from four deviations below the threshold.
 MARGIN = 0.08
+#: Members of an open band that a task compares with all others of the band.
+OPEN = 2048
 #: A hub's members are confirmed by up to so many tasks, each with a copy of the hub.
 HUB_SALTS = 64
 _M1, _M2 = np.uint64(0xFF51AFD7ED558CCD), np.uint64(0xC4CEB9FE1A85EC53)
@@ -283,7 +286,7 @@ def near_dup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", wi
     docs = docs.select(F.col(id_col).cast("bigint").alias("doc_id"), F.col(text_col).alias("text"))
     signed = cut(texts(docs).mapInArrow(_sign(width), "doc_id bigint, n bigint, key binary, bands array<bigint>, packed array<bigint>"), "signatures")
     classes = signed.filter(F.col("key").isNotNull() & F.col("doc_id").isNotNull()).groupBy("key")
-    reps = cut(classes.agg(F.min("doc_id").alias("rep"), F.first("bands").alias("bands"), F.first("packed").alias("packed")), "classes")
+    reps = cut(classes.agg(F.min("doc_id").alias("rep"), F.first("bands").alias("bands"), F.first("packed").alias("packed"), F.count("*").alias("copies")), "classes")
     hubs = reps.select(F.explode("bands").alias("band"), "rep").groupBy("band").agg(F.min("rep").alias("hub"), F.count("*").alias("n"))
     hubs = cut(hubs.filter("n > 1").select("band", "hub"), "hubs")
     many = docs.sparkSession.sparkContext.broadcast(bitmap.build(hubs, "band"))
@@ -292,19 +295,27 @@ def near_dup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", wi
     drop(hubs)
     least = percent / 100 - MARGIN
     first = shared.filter("rep <> hub").groupBy("rep").agg(F.min("hub").alias("hub"))  # each member and its least hub
-    first = first.join(reps.select("rep", *_unpacked("p")), "rep")
-    near = (F.col("hub") == F.col("h")) & _alike(least)
-    tried = cut(first.join(reps.select(F.col("rep").alias("h"), *_unpacked("q")), near).select(F.col("hub").alias("a"), F.col("rep").alias("b")), "tried")
+    first = cut(first, "members")
+    asked = first.groupBy("hub").agg(F.count("*").alias("members"))
+    leads = cut(asked.join(reps.select(F.col("rep").alias("hub"), *_unpacked("q")), "hub"), "leads")
+    met = join_groups(first, leads, ["hub"], "members")  # a hub with many members comes to them, not they to it
+    tried = cut(met.join(reps.select("rep", *_unpacked("p")), "rep").filter(_alike(least)).select(F.col("hub").alias("a"), F.col("rep").alias("b")), "tried")
+    drop(first)
+    drop(leads)
     links = confirm(docs, tried, width, percent)
     drop(tried)
     found = components(links)
     drop(links)
 
     named = shared.join(found, F.col("rep") == F.col("node"), "left").select("band", "rep", F.coalesce("component", "rep").alias("component"))
-    mixed = named.groupBy("band").agg(F.min("component").alias("low"), F.max("component").alias("high")).filter("low <> high").select("band")
+    mixed = named.groupBy("band").agg(F.min("component").alias("low"), F.max("component").alias("high"), F.count("*").alias("members")).filter("low <> high")
+    mixed = mixed.select("band", F.ceil(F.col("members") / OPEN).cast("int").alias("salts"))
     open_ = named.join(mixed, "band").join(reps, "rep")
-    x, y = (open_.select(*(F.col(c).alias(f"{c}_{s}") for c in ("rep", "band", "component", "bands")), *_unpacked(w)) for s, w in ("xp", "yq"))
-    across = (F.col("band_x") == F.col("band_y")) & (F.col("component_x") < F.col("component_y"))
+    x, y = (open_.select(*(F.col(c).alias(f"{c}_{s}") for c in ("rep", "band", "component", "bands")), "salts", *_unpacked(w)) for s, w in ("xp", "yq"))
+    # of a large band each task gets a part of one side and all of the other
+    x = x.withColumn("salt_x", F.pmod(F.xxhash64("rep_x"), F.col("salts")).cast("int")).drop("salts")
+    y = y.withColumn("salt_y", F.explode(F.sequence(F.lit(0), F.col("salts") - 1))).drop("salts")
+    across = (F.col("band_x") == F.col("band_y")) & (F.col("salt_x") == F.col("salt_y")) & (F.col("component_x") < F.col("component_y"))
     across &= _alike(least)
     across &= F.array_min(F.array_intersect("bands_x", "bands_y")) == F.col("band_x")  # each pair at one of its bands
     rest = x.join(y, across).select(F.least("rep_x", "rep_y").alias("a"), F.greatest("rep_x", "rep_y").alias("b"))
@@ -317,8 +328,11 @@ def near_dup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", wi
     drop(rest)
     drop(shared)
 
-    of_key = reps.select("key", "rep").join(found, F.col("rep") == F.col("node"), "left").select("key", F.coalesce("component", "rep").alias("component"))
-    rows = signed.select("doc_id", "n", "key").join(of_key, "key", "left")
+    of_key = reps.select("key", "rep", "copies").join(found, F.col("rep") == F.col("node"), "left").select("key", "copies", F.coalesce("component", "rep").alias("component"))
+    of_key = cut(of_key, "components")
+    own_key = signed.select("doc_id", "n", "key")
+    known = join_groups(own_key.filter("key is not null"), of_key, ["key"], "copies", how="left")  # a text that many documents have is broadcast
+    rows = known.select("doc_id", "n", "component").unionByName(own_key.filter("key is null").select("doc_id", "n", F.lit(None).cast("bigint").alias("component")))
     own = F.when(F.col("doc_id").isNotNull(), F.coalesce("component", "doc_id"))
     return rows.select("doc_id", F.col("n").alias("n_shingles"), own.alias("component_id"), F.coalesce(F.col("doc_id") == own, F.lit(True)).alias("kept"))
 

@@ -841,3 +841,26 @@ def test_windows_keep_their_budget(spark):
         assert (w["conv_id"] not in system) or parts[0] == ("system", system[w["conv_id"]])
         seen[w["conv_id"]] += w["n_new"]
     assert seen == turns and sum(w["over_budget"] for w in windows) > 50 and sum(w["repeated"] > 1 for w in windows) > 50
+
+
+@pytest.mark.parametrize("parts, open_", [(2, 3), (1024, 1), (1 << 20, 2048)])
+def test_near_dup_of_hot_groups(spark, monkeypatch, parts, open_):
+    """A third of the rows hold one text, a family of texts is nearly similar: brute-force links, whatever counts as hot or as a large band."""
+    monkeypatch.setattr(skew, "PARTS", parts)
+    monkeypatch.setattr(minhash, "OPEN", open_)
+    rng = random.Random(17)
+    hot, base = prose(rng, 120), prose(rng, 150).split(" ")
+    rows = [(k, hot) for k in range(60)] + [(None, hot), (None, None), (7, hot), (90, ""), (91, None)]
+    for k in range(70):  # each has a few words of its own in the same text
+        w = list(base)
+        for j in rng.sample(range(0, 150, 6), rng.choice([1, 2, 3, 4, 5])):
+            w[j] = f"own{k}x{j}"
+        rows.append((200 + k, " ".join(w)))
+    rows += [(400 + k, prose(rng, 60)) for k in range(20)]
+    want = brute_near(rows)
+    got = minhash.near_dup(frame(spark, rows).repartition(6)).collect()
+    assert len(got) == len(rows)
+    for r in got:
+        if r["doc_id"] is not None:
+            assert (r["n_shingles"], r["component_id"]) == want[r["doc_id"]] and r["kept"] == (r["component_id"] == r["doc_id"])
+    assert len({c for _, c in want.values()}) > 5
