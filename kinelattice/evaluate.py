@@ -92,7 +92,7 @@ def main(argv: list[str] | None = None) -> int:
     spark = SparkSession.builder.appName("evaluate").getOrCreate()
     runs, reports, failures = run(spark, resolve(load_toml(paths[0]), {}))
     for name, found in runs.items():
-        for r in found.problems.collect():  # a row per array
+        for r in found.problems.select("path", "array_name", "problem").unionByName(found.unread).collect():  # a row per array
             failures.append(f"{name}: {r['path']} {r['array_name']}: {r['problem']}")
     print(f"evaluated {sorted(runs)}; reports {sorted(k for k, v in reports.items() if v)}")
     for line in failures:

@@ -68,19 +68,26 @@ class Task:
 
 @dataclass
 class EvaluationRun:
-    """``frames`` and ``summary`` hold what the metrics that ran gave; ``items`` the arrays that were found."""
+    """``frames`` and ``summary`` hold what the metrics that ran gave; ``items`` the arrays that were found, ``axes`` all there are."""
 
     task: Task
     items: DataFrame
     frames: DataFrame
     summary: DataFrame
+    axes: DataFrame
     unknown: list[str] = field(default_factory=list)
     failed: dict[str, str] = field(default_factory=dict)
 
     @property
     def problems(self) -> DataFrame:
+        """Arrays of a metric that it can't read, one row each."""
         return self.items.filter("problem is not null")
 
+    @property
+    def unread(self) -> DataFrame:
+        """Archives without a readable description, and arrays whose axes differ from their shape."""
+        return self.axes.filter("problem is not null and problem <> 'no description'").select("path", "array_name", "problem")
+
     def save(self, output_dir: str, single: bool = True) -> list[str]:
         """Frame values as archives, summaries as one CSV per metric type (a folder of them unless ``single``)."""
         written = [r["path"] for r in write_npz(self.frames, output_dir).collect()]
@@ -270,7 +277,7 @@ def evaluate(pred: DataFrame, truth: DataFrame | None, pred_axes: DataFrame, tru
     if truth is None:
         truth = spark.createDataFrame([], "array_name string, person string, camera string, frame int, label string, v array<double>")
     known = registry(pred, truth_rows(truth, task), items, task)
-    run = EvaluationRun(task, items, None, None)
+    run = EvaluationRun(task, items, None, None, pred_axes)
     frames, summaries = [], []
     for name in (f"{m.name}/{n}" for m in task.metric_types for n in m.metrics):
         if name not in known:

@@ -127,6 +127,7 @@ def test_two_roots(spark, roots, tmp_path):
         assert summary["jump_count", a] == sum(v for k, v in want.items() if k[0] == "jump_detection" and k[2] == a) > 0
     files = run.save(str(tmp_path))
     assert sum(f.endswith(".npz") for f in files) == 4
+    assert [(r["path"].split("/")[-1], r["problem"]) for r in run.unread.collect()] == [("broken.npz", "no readable description")]
     back = npz.long_values(npz.read_npz(spark, str(tmp_path))).filter("metric_name = 'jpe' and value is not null").collect()
     close({("jpe", r["session"], r["person"], r["camera"], r["frame"], r["label"]): r["value"] for r in back}, {k: np.float32(v) for k, v in want.items() if k[0] == "jpe" and v is not None})
     with open(tmp_path / "demo_keypoint_metrics_summary.csv") as f:
