@@ -6,7 +6,10 @@ digest group, and globally among the salt winners. A text that fills a third of
 at most one row per earlier task, so no group is ever collected.
 
 Edge cases: a null text is the empty text and groups with it; a null doc_id never wins over a number; rows repeated
-with one doc_id and one text count in ``group_size`` and only one of them is kept; an empty table gives no rows.
+with one doc_id and one text count in ``group_size`` and only one of them is kept (of rows with one doc_id and equal but
+not identical texts, the one with the least hash of the text as it is); a very long text is one row, normalised and compared
+whole; other columns are not read by ``exact_dedup`` and stay in ``keep_first``, whose own names begin with ``_kl_``; an
+empty table gives no rows.
 """
 
 from __future__ import annotations

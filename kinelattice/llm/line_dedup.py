@@ -15,7 +15,7 @@ bucket holds a hot band.
 
 Edge cases: null and empty texts have no lines; lines without a word are never dropped; lines shorter than a shingle
 are one shingle; repeated lines of one text count; rows with a null doc_id keep all lines; repeated rows share their
-doc_id's lines (the first copy's line stays in each of them); very long texts are chunks of their own and read whole;
+doc_id's lines (the first copy's line stays in each of them); ties can't occur, as lines are in order by doc_id and place; very long texts are chunks of their own and read whole;
 other columns are not read, so their names never clash; an empty table gives no rows.
 """
 

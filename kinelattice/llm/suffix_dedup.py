@@ -19,7 +19,7 @@ strings together: strings are compared byte by byte, and surroundings are known
 
 Edge cases: null and short texts (under ``DEPTH`` bytes) lose nothing; matches never cross documents; repeated rows
 are repeats of each other; rows are told apart by doc_id and text, null doc_ids included; very long texts are parsed in
-overlapping slices; other columns are not read, so their names never clash; an empty table gives no rows.
+overlapping slices; equal suffixes tie and are repeats of each other whatever their order; other columns are not read, so their names never clash; an empty table gives no rows.
 """
 
 from __future__ import annotations
