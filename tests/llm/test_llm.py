@@ -864,3 +864,22 @@ def test_near_dup_of_hot_groups(spark, monkeypatch, parts, open_):
         if r["doc_id"] is not None:
             assert (r["n_shingles"], r["component_id"]) == want[r["doc_id"]] and r["kept"] == (r["component_id"] == r["doc_id"])
     assert len({c for _, c in want.values()}) > 5
+
+
+def test_long_and_repeated_rows(spark):
+    """op1 and op6 on a very long text and on rows that repeat: one answer for equal rows, the long text read whole."""
+    rng = random.Random(31)
+    words = {"xx": ["alpha", "bravo", "delta"], "yy": ["zuzu", "wuwu", "tutu"]}
+    rows = [(k, prose(rng, 40, words[lang]), lang) for k in range(40) for lang in ("xx", "yy")]
+    schema = "doc_id long, text string, lang string, extra string"
+    model = language_id.train(spark.createDataFrame([(*r, "e") for r in rows], schema))
+    long = prose(rng, 150_000, words["xx"]) + " " + prose(rng, 400_000, words["yy"])  # the tail decides
+    asked = [(1, long, None), (2, rows[0][1], None), (2, rows[0][1], None), (3, rows[1][1], None)]
+    got = by_id(language_id.predict(spark.createDataFrame([(*r, "e") for r in asked], schema), model))
+    assert got[1][0]["lang_pred"] == "yy" and [r["lang_pred"] for r in got[2]] == ["xx", "xx"] and got[3][0]["lang_pred"] == "yy"
+    assert got[2][0]["score"] == got[2][1]["score"]
+    key = "".join(rng.choice(MIXED) for _ in range(56))
+    text = f"{prose(rng, 60_000)} {key} end password={key[:20]}"
+    spans = by_id(secrets_scan.secrets_scan(frame(spark, [(1, text), (2, f"see {key}"), (2, f"see {key}"), (3, None), (3, None)])))
+    assert spans[1][0]["n_assign"] == 1 and spans[1][0]["spans"].endswith(f"assign:{text.index('password')}:{len(text)}")
+    assert spans[2][0] == spans[2][1] and spans[3][0] == spans[3][1] and spans[3][0]["spans"] == ""
