@@ -91,7 +91,7 @@ def jump_flags(df: DataFrame, keys: list[str], coords: list[str], limits: DataFr
         return blockwise(df, keys, order, block, lambda d, k: jump_flags(d, k, coords, limits, label, limit, unit, order), before=1)
     moved = displacement(df, keys, coords, order)
     joined = moved.join(limits.select(F.col(label), F.col(limit).alias("_limit")), label, "left")
-    far = _length(coords) > F.coalesce(F.col("_limit"), F.lit(float("inf"))) * unit
+    far = F.col("_limit").isNotNull() & (_length(coords) > F.col("_limit") * unit)
     first = F.row_number().over(series(keys, order)) == 1
     return joined.withColumn("jump", F.when(~first, F.coalesce(far, F.lit(False)))).drop("_limit", *(f"d_{c}" for c in coords))
 

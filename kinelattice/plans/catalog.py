@@ -98,7 +98,7 @@ def results_dropna(spark, sf_dir):
 def _series(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Events of a user as a series: x = value, y = event_id, conf from the value, frame by time."""
     e = read(spark, sf_dir, "events")
-    w = Window.partitionBy("user_id").orderBy("ts", "event_id")
+    w = Window.partitionBy("user_id").orderBy(F.asc_nulls_last("ts"), F.asc_nulls_last("event_id"))
     return e.select("user_id", "event_type", F.row_number().over(w).alias("frame"), F.col("value").alias("x"), F.col("event_id").cast("double").alias("y"), (F.col("value") / 500).alias("conf"))
 
 
