@@ -146,5 +146,10 @@ def strict_mean(x: Column) -> Column:
     return F.when(F.count(x) == F.count(F.lit(1)), F.avg(x))
 
 
+def strict_mean_of(x: Column, rows: Column) -> Column:
+    """``strict_mean`` over the rows for which a condition holds."""
+    return F.when(F.count(F.when(rows, x)) == F.count_if(rows), F.avg(F.when(rows, x)))
+
+
 def strict_least(a: Column, b: Column) -> Column:
     return F.when(a.isNotNull() & b.isNotNull(), F.least(a, b))

@@ -4,10 +4,10 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from kinelattice.functions.vec import box_iou, distance, point_line_distance, strict_mean
+from kinelattice.functions.vec import box_iou, distance, point_line_distance, strict_mean, strict_mean_of
 
 
 def pairs(df: DataFrame, keys: list[str], member: str, columns: list[str], include_self: bool = False, only_dyads: bool = False) -> DataFrame:
@@ -30,10 +30,19 @@ def mean_point(points: DataFrame, keys: list[str], coords: list[str]) -> DataFra
 
 
 def body_distance(points: DataFrame, keys: list[str], coords: list[str], person: str = "person") -> DataFrame:
-    """keys, person, distance between the two people's mean keypoints; the same value for both. Coordinates only."""
-    centre = mean_point(points, [*keys, person], coords)
-    both = pairs(centre, keys, person, ["centre"], only_dyads=True)
-    return both.select(*keys, F.col(f"{person}_a").alias(person), distance(F.col("centre_a"), F.col("centre_b")).alias("distance"))
+    """keys, person, distance between the two people's mean keypoints; the same value for both. Coordinates only.
+
+    Windows over a frame find the frames of two people; only those are aggregated, both people in one row. Frames with a
+    NULL key or person have no distance.
+    """
+    frame, p = Window.partitionBy(*keys), F.col(person)
+    known = reduce(lambda a, b: a & b, (F.col(k).isNotNull() for k in keys))
+    ends = points.filter(known).select(*keys, person, *coords).withColumns({"_a": F.min(p).over(frame), "_b": F.max(p).over(frame)})
+    third = F.coalesce((p != F.col("_a")) & (p != F.col("_b")), F.lit(True))
+    dyads = ends.withColumn("_more", F.max(third).over(frame)).filter(~F.col("_more") & (F.col("_a") != F.col("_b")))
+    centre = lambda who: F.array(*(strict_mean_of(F.col(c), p == F.col(who)) for c in coords))
+    both = dyads.groupBy(*keys, "_a", "_b").agg(distance(centre("_a"), centre("_b")).alias("distance"))
+    return both.select(*keys, F.explode(F.array("_a", "_b")).alias(person), "distance")
 
 
 def gaze_contact(heads: DataFrame, gaze: DataFrame, keys: list[str], person: str = "person", threshold: float = 0.4) -> DataFrame:
