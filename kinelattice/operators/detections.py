@@ -54,20 +54,21 @@ def _overlap(a: Column, b: Column) -> Column:
 def without_overlaps(boxes: Column, threshold: float = 0.9) -> Column:
     """The boxes (an array of structs with x1, y1, x2, y2, score) left when the lower-scored box of each pair with a larger overlap goes.
 
-    A fold over the pairs in order; its state is the places of the boxes that went, which take no further part. Of equal
-    scores the first one goes.
+    A fold over the overlapping pairs in order; its state is the places of the boxes that went, which take no further part.
+    Of equal scores the first one goes. Each pair is compared once, as two variables; what the fold sees is the few that overlap.
     """
-    n = F.size(boxes)
 
-    def step(gone: Column, pair: Column) -> Column:
-        i, j = F.floor(pair / n).cast("int"), F.pmod(pair, n)
-        a, b = F.get(boxes, i), F.get(boxes, j)
-        hit = (i < j) & ~F.array_contains(gone, i) & ~F.array_contains(gone, j) & (_overlap(a, b) > threshold)
-        return F.when(hit, F.array_append(gone, F.when(b["score"] < a["score"], j).otherwise(i))).otherwise(gone)
+    def overlapping(a: Column, i: Column) -> Column:
+        """The later boxes that box i overlaps: i, j and which of them goes."""
+        later = F.transform(boxes, lambda b, j: F.when((i < j) & (_overlap(a, b) > threshold), F.struct(i.alias("i"), j.alias("j"), F.when(b["score"] < a["score"], j).otherwise(i).alias("lose"))))
+        return F.filter(later, lambda x: x.isNotNull())
 
-    pairs = F.when(n > 1, F.sequence(F.lit(0), n * n - 1)).otherwise(F.array().cast("array<int>"))
-    gone = F.aggregate(pairs, F.array().cast("array<int>"), step)
-    return F.filter(boxes, lambda x, k: ~F.array_contains(gone, k))
+    def step(gone: Column, x: Column) -> Column:
+        return F.when(~F.array_contains(gone, x["i"]) & ~F.array_contains(gone, x["j"]), F.array_append(gone, x["lose"])).otherwise(gone)
+
+    gone = F.aggregate(F.flatten(F.transform(boxes, overlapping)), F.array().cast("array<int>"), step)
+    left = F.transform(F.array(gone), lambda g: F.filter(boxes, lambda x, k: ~F.array_contains(g, k)))  # one fold, not one per box
+    return F.element_at(left, 1)
 
 
 _BOX = ("x1", "y1", "x2", "y2", "score")
@@ -75,11 +76,10 @@ _BOX = ("x1", "y1", "x2", "y2", "score")
 
 def suppress_overlaps(df: DataFrame, keys: list[str], threshold: float = 0.9) -> DataFrame:
     """Greedy suppression within a camera and frame, in order of ``pos``: a frame's few boxes meet in one array."""
-    box = F.struct("pos", *_BOX, F.struct(*df.columns).alias("row"))
-    frames = df.groupBy(*keys).agg(F.collect_list(box).alias("boxes"))
+    frames = df.groupBy(*keys).agg(F.collect_list(F.struct(*df.columns)).alias("boxes"))
     ordered = F.array_sort("boxes", lambda a, b: F.when(a["pos"] < b["pos"], -1).when(a["pos"] > b["pos"], 1).otherwise(0))
     left = frames.select(ordered.alias("boxes")).select(F.explode(without_overlaps(F.col("boxes"), threshold)).alias("b"))
-    return left.select(*(F.col(f"b.row.`{c}`").alias(c) for c in df.columns))
+    return left.select(*(F.col(f"b.`{c}`").alias(c) for c in df.columns))
 
 
 def correct_people(df: DataFrame, keys: list[str], frame: str, n_subjects: int, above: float = 0.7, threshold: float = 0.9, block: int | None = None) -> DataFrame:
