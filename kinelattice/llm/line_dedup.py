@@ -65,14 +65,15 @@ def _characters(lines: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
     return np.frombuffer("".join(chars).encode("utf-32-le", "replace"), np.uint32), np.fromiter(map(len, chars), np.int64, len(chars))
 
 
-def line_shingles(lines: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
-    """32-bit hashes of all character shingles of all lines, and the number of each line's (at least 1)."""
-    code, size = _characters(lines)
-    n = np.maximum(size - WIDTH + 1, 1)
+def _rolled(code: np.ndarray, size: np.ndarray, by: int, bits: int, sized: bool) -> np.ndarray:
+    """All shingles of all lines (none empty) as numbers to the base ``by``, modulo 2 ** bits, in the type of ``code``.
+
+    With ``sized``, those of lines shorter than a shingle start with their size.
+    """
     end = np.cumsum(size)
-    h = np.zeros(len(code), np.uint32)
+    h = np.zeros_like(code)
     for k in range(WIDTH):  # the shingle that starts at each character; one past the line is cut off below
-        h *= _C
+        h *= code.dtype.type(by)
         h[: len(code) - k] += code[k:]
     keep = np.ones(len(code), bool)
     for k in range(1, WIDTH):
@@ -81,11 +82,18 @@ def line_shingles(lines: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
     short = np.flatnonzero(size < WIDTH)
     first = end - size
     for k in short.tolist():
-        word = int(size[k])
+        word = int(size[k]) if sized else 0
         for c in code[first[k] : end[k]].tolist():
-            word = (word * int(_C) + c) & 0xFFFFFFFF
+            word = (word * by + c) & (1 << bits) - 1
         h[first[k]] = word
-    h = h[keep]
+    return h[keep]
+
+
+def line_shingles(lines: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+    """32-bit hashes of all character shingles of all lines, and the number of each line's (at least 1)."""
+    code, size = _characters(lines)
+    n = np.maximum(size - WIDTH + 1, 1)
+    h = _rolled(code, size, int(_C), 32, True)
     for shift, by in ((16, 0x85EBCA6B), (13, 0xC2B2AE35), (16, 1)):
         h ^= h >> np.uint32(shift)
         h *= np.uint32(by)
@@ -95,7 +103,13 @@ def line_shingles(lines: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
 def numbered_line_shingles(lines: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
     """Numbers of all character shingles, equal exactly for equal shingles of these lines, and the number of each line's."""
     code, size = _characters(lines)
-    return number_windows(np.unique(code, return_inverse=True)[1].astype(np.int64), size, WIDTH)
+    there = np.zeros(int(code.max(initial=0)) + 1, bool)
+    there[code] = True
+    kinds = np.cumsum(there)  # symbols from 1 on: as digits, they tell short shingles from long ones
+    base = int(kinds[-1]) + 1
+    if base**WIDTH > 1 << 62 or not size.all():
+        return number_windows((kinds - 1)[code], size, WIDTH)
+    return _rolled(kinds[code], size, base, 62, False), np.maximum(size - WIDTH + 1, 1)
 
 
 def _digests(digests: list[bytes]) -> np.ndarray:
@@ -247,19 +261,20 @@ def _verify(percent: int):
         for part in in_chunks(batches, "line", 1 << 19):
             keys = list(zip(part.column("hub").to_pylist(), part.column("salt").to_pylist()))
             lines = part.column("line").to_pylist()
-            numbers, n = numbered_line_shingles([lead if keys[0] == at else b"", *lines])
+            numbers, n = _distinct(*numbered_line_shingles([lead if keys[0] == at else lines[0], *lines]))
             ends, a, b = np.cumsum(n).tolist(), [], []
-            own = _sorted(numbers[: ends[0]])
+            own, full = numbers[: ends[0]], ends[0]
+            own = np.append(own, -1)  # never found
             for k, (key, node) in enumerate(zip(keys, part.column("node").to_pylist())):
-                have = _sorted(numbers[ends[k] : ends[k + 1]])
+                have, size = numbers[ends[k] : ends[k + 1]], ends[k + 1] - ends[k]
                 if key != at:
-                    at, own, lead = key, have, lines[k]
+                    at, own, full, lead = key, np.append(have, -1), size, lines[k]
                     if node == key[0]:
                         continue
-                spot = np.searchsorted(own, have)
-                spot[spot == len(own)] = 0
-                both = int(np.count_nonzero(own[spot] == have))
-                if 100 * both >= percent * (len(own) + len(have) - both):
+                if 100 * min(full, size) < percent * max(full, size):  # too different in number
+                    continue
+                both = int(np.count_nonzero(own[own[:-1].searchsorted(have)] == have))
+                if 100 * both >= percent * (full + size - both):
                     a.append(key[0])
                     b.append(node)
             yield pa.RecordBatch.from_arrays([pa.array(a, pa.binary()), pa.array(b, pa.binary())], ["a", "b"])
@@ -267,10 +282,15 @@ def _verify(percent: int):
     return run
 
 
-def _sorted(x: np.ndarray) -> np.ndarray:
-    """The distinct values in order."""
-    x = np.sort(x)
-    return x[np.append(True, x[1:] != x[:-1])] if len(x) else x
+def _distinct(numbers: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Each line's distinct numbers in order, and how many they are; every n[k] > 0."""
+    start = np.cumsum(n) - n
+    for low, size in zip(start.tolist(), n.tolist()):
+        numbers[low : low + size].sort()
+    new = np.ones(len(numbers), bool)
+    new[1:] = numbers[1:] != numbers[:-1]
+    new[start] = True
+    return numbers[new], np.add.reduceat(new, start, dtype=np.int64)
 
 
 def _compare(cell: pa.Table, percent: int) -> tuple[list[bytes], list[bytes]]:
